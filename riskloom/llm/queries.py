@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, warc
+from . import bpe, decontaminate, media, simhash, warc
 from .common import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,6 +42,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2, seed=42)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     spans = found.select("doc_id", "n_words", "item_ids", F.transform(F.arrays_zip("hit_from", "hit_to"), lambda x: x["hit_to"] - x["hit_from"]).alias("lengths"))
@@ -62,6 +67,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_byte_bpe, op8_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_byte_bpe, op6_simhash, op8_decontaminate, op10_warc)}
 
 ORACLES: dict[str, str] = {}
