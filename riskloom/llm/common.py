@@ -63,20 +63,89 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def packed(docs: DataFrame, at: Layout, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(pack, doc_id, text) dealt by pack; the exchange is the same node wherever it is used, so Spark reuses it."""
-    return docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(at.packs)).cast("int").alias("pack"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-    ).repartition(at.partitions, "pack")
+#: Internal column; a column of this name in the input is not allowed.
+PACK = "_pack"
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], pa.Table]:
+def packed(docs: DataFrame, at: Layout, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_pack``, dealt by it; the exchange is the same node wherever it is used, so Spark reuses it."""
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(at.packs)).cast("int").alias(PACK), "*").repartition(at.partitions, PACK)
+
+
+def ordered(table: pa.Table, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, list[bytes], pa.Table]:
     """(ids, UTF-8 texts, table) of a pack, in an order that any re-run repeats: by id, then text.  Null text: empty."""
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    ids = table["doc_id"].fill_null(int(NO_ID)).to_numpy()
-    return ids, [x or b"" for x in table["text"].cast(pa.binary()).to_pylist()], table
+    table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")]).combine_chunks()
+    ids = table[id_col].cast(pa.int64()).fill_null(int(NO_ID)).to_numpy()
+    return ids, [x or b"" for x in table[text_col].cast(pa.binary()).to_pylist()], table
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Bytes of an integer array, plane by plane: equal high bytes compress well in a shuffle."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
+BLOB = "bucket int, pack int, x binary, y binary, z binary"
+BLOB_TYPES = pa.schema([("bucket", pa.int32()), ("pack", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+
+
+def blobs(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(BLOB_TYPES.types)], schema=BLOB_TYPES)
+
+
+def mark_shared(buckets: int) -> "callable":
+    """Reducer of sorted distinct keys: which of them other packs hold too.
+
+    ``x`` are the low 32 bits of the keys, ``y`` bits for keys that several
+    documents of the pack hold, ``z`` bits for keys that may serve as reference
+    (empty: all).  Answers per pack: bits of the keys held by two documents or
+    more, of which at least one as reference.
+    """
+
+    def reduce(table: pa.Table) -> pa.Table:
+        packs, bucket = table["pack"].to_pylist(), table["bucket"][0].as_py()
+        keys = [np.frombuffer(x, np.uint32) for x in table["x"].to_pylist()]
+        n = np.array([len(k) for k in keys])
+        bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k).view(bool) if b else np.ones(k, bool) for b, k in zip(table[c].to_pylist(), n.tolist())])
+        several, reference = bits("y"), bits("z")
+        order = np.sort(np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.arange(n.sum(), dtype=np.uint64))
+        at, key = (order & np.uint64(0xFFFFFFFF)).astype(np.int64), order >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        good = ((size > 1) | np.logical_or.reduceat(several[at], first)) & np.logical_or.reduceat(reference[at], first)
+        out = np.zeros(len(at), bool)
+        out[at] = np.repeat(good, size)
+        ends = np.cumsum(n)
+        return blobs([(bucket, p, np.packbits(out[e - k : e]).tobytes(), None, None) for p, e, k in zip(packs, ends.tolist(), n.tolist())])
+
+    return reduce
+
+
+def offer(pack: int, keys: np.ndarray, several: np.ndarray, reference: np.ndarray | None, buckets: int) -> pa.Table:
+    """Blobs for ``mark_shared`` from sorted distinct 64-bit keys."""
+    cuts = bucket_bounds(keys, buckets).tolist()
+    low = spread(keys, buckets)
+    return blobs([
+        (b, pack, low[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes(), None if reference is None else np.packbits(reference[lo:hi]).tobytes())
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo
+    ])
+
+
+def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """32 bits of each key that tell keys of one bucket apart: those below the bits that the bucket itself fixes."""
+    return (keys >> np.uint64(max(0, 32 - max(buckets - 1, 0).bit_length()))).astype(np.uint32)
+
+
+def answers(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Flags for the same keys from the reducer's answers to one pack."""
+    cuts, out = bucket_bounds(keys, buckets), np.zeros(len(keys), bool)
+    for b, x in zip(table["bucket"].to_pylist(), table["x"].to_pylist()):
+        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cuts[b + 1] - cuts[b])).view(bool)
+    return out
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2 * MB) -> Iterator[pa.RecordBatch]:
