@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, simhash, warc
+from . import bpe, decontaminate, media, simhash, substring, suffixes, warc
 from .common import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("cut_from").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     back = media.read_back(media.store(docs).select("doc_id", "n_bytes", "media"))
@@ -47,6 +58,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    gone = F.aggregate(F.arrays_zip("cut_from", "cut_to"), F.lit(0).cast("long"), lambda a, x: a + x["cut_to"] - x["cut_from"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     spans = found.select("doc_id", "n_words", "item_ids", F.transform(F.arrays_zip("hit_from", "hit_to"), lambda x: x["hit_to"] - x["hit_from"]).alias("lengths"))
@@ -67,6 +84,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_byte_bpe, op6_simhash, op8_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_media_columns, op3_byte_bpe, op6_simhash, op7_substring, op8_decontaminate, op10_warc)}
 
 ORACLES: dict[str, str] = {}
