@@ -47,8 +47,10 @@ from .substring import differ, least_of
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NONE = np.iinfo(np.int64).max
-#: Groups reported for one fragment: start, length, smallest document.
+#: Left symbol of an interval whose suffixes extend to the left by different bytes.
 DIVERSE = -1
+#: Suffixes and fragments that one scan takes at a time, more only where one window or anchor has more.
+SUFFIXES, FRAGMENTS = 100_000, 20_000
 
 
 @lru_cache(maxsize=1)
@@ -175,40 +177,43 @@ def repeat_groups(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.nd
     count = hi - lo - window + 1
     owner = np.repeat(np.arange(len(lo)), count)
     at = ranges(lo, count)
-    hasher = Hasher(data)
-    head = hasher(at, at + window)
+    head = Hasher(data)(at, at + window)
     order = np.argsort(head, kind="stable")
     key = head[order]
     same = np.concatenate([[False], key[1:] == key[:-1]])
     many = same | np.append(same[1:], False)
     order, same = order[many], same[many]
-    if not len(order):
-        return (np.zeros(0, np.int64),) * 4
+    found = [np.zeros((4, 0), np.int64)]
+    begin = np.append(np.flatnonzero(~same), len(order))
+    edge = [0, *begin[np.flatnonzero(np.diff(begin[:-1] // SUFFIXES)) + 1].tolist(), len(order)] if len(order) else [0]
+    for i, j in zip(edge, edge[1:]):
+        found.append(_scan(data, at[order[i:j]], owner[order[i:j]], ~same[i:j], lo, hi, least, window))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _scan(data: np.ndarray, at: np.ndarray, owner: np.ndarray, new: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """``repeat_groups`` of suffixes grouped by their first ``window`` bytes; ``new`` starts a group."""
     # the bytes after the window, as big-endian words, zero-filled, with the length as last key
-    rest = int((hi - lo).max()) - window
-    room = -(-max(rest, 1) // 8) * 8
-    ends = hi[owner]
-    group = np.cumsum(~same)
-    a, b = at[order] + window, ends[order]
+    a, b = at + window, hi[owner]
+    room = -(-max(int((b - a).max()), 1) // 8) * 8
     place = a[:, None] + np.arange(room)
     tail = np.where(place < b[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
     words = tail.view(">u8").astype(np.uint64)
-    left_over = b - a
+    left_over, group = b - a, np.cumsum(new)
     inner = np.lexsort((left_over, *[words[:, j] for j in range(words.shape[1] - 1, -1, -1)], group))
-    order, tail, left_over, group = order[inner], tail[inner], left_over[inner], group[inner]
+    tail, left_over, group, place, frag = tail[inner], left_over[inner], group[inner], at[inner], owner[inner]
     unequal = tail[1:] != tail[:-1]
     prefix = np.where(unequal.any(axis=1), unequal.argmax(axis=1), room)
-    common = np.zeros(len(order), np.int64)
+    common = np.zeros(len(inner), np.int64)
     common[1:] = np.where(group[1:] == group[:-1], window + np.minimum(prefix, np.minimum(left_over[1:], left_over[:-1])), 0)
-    place, frag = at[order], owner[order]
     before = np.where(place > lo[frag], data[np.maximum(place - 1, 0)].astype(np.int64), DIVERSE)
     found = interval_groups(place.tolist(), common.tolist(), before.tolist(), least[frag].tolist(), window)
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return np.zeros((4, 0), np.int64)
     first, last, length, doc = np.array(found, dtype=np.int64).T
     size = last - first + 1
     who = ranges(first, size)
-    return frag[who], place[who] - lo[frag[who]], np.repeat(length, size), np.repeat(doc, size)
+    return np.stack([frag[who], place[who] - lo[frag[who]], np.repeat(length, size), np.repeat(doc, size)])
 
 
 def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +223,7 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     own_fields = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*own_fields, *added])
     docs = docs.select(*[docs[f.name] for f in own_fields])
-    at = layout(docs, text_col, pack_mb=2, bucket_mb=8)
+    at = layout(docs, text_col, pack_mb=2, bucket_mb=16)
     n_buckets = at.buckets
     dealt = packed(docs, at, id_col)
 
@@ -246,7 +251,7 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
 
     def tree(table: pa.Table) -> pa.Table:
         bucket, packs = table["bucket"][0].as_py(), table["pack"].to_pylist()
-        several, size, anchor, least, data, counts = [], [], [], [], [], []
+        several, size, anchor, least, data, counts, keys = [], [], [], [], [], [], []
         for x, y, z in zip(table["x"].to_pylist(), table["y"].to_pylist(), table["z"].to_pylist()):
             n = int(np.frombuffer(x, np.int64, 1)[0])
             bits = -(-n // 8)
@@ -256,11 +261,12 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             least.append(unplanes(y, np.int64))
             data.append(np.frombuffer(z, np.uint8))
             counts.append(n)
-        several, size, anchor, least, data = map(np.concatenate, (several, size, anchor, least, data))
+            ends = np.cumsum(size[-1])
+            keys.append(Hasher(data[-1])(ends - size[-1], ends) ^ mix64(size[-1].astype(np.uint64)))
+        several, size, anchor, least, data, keys = map(np.concatenate, (several, size, anchor, least, data, keys))
         hi = np.cumsum(size)
         lo = hi - size
         # one of each distinct fragment, over all packs
-        keys = Hasher(data)(lo, hi) ^ mix64(size.astype(np.uint64))
         order = np.lexsort((keys, anchor))
         new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])])
         begin = np.flatnonzero(new)
@@ -275,9 +281,16 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         pick = np.flatnonzero(twin | np.append(twin[1:], False))
         frag = np.flatnonzero(u_many)
         start, length, doc = np.zeros(len(frag), np.int64), (u_hi - u_lo)[frag], u_least[frag]
-        if len(pick):
-            g = repeat_groups(data, u_lo[pick], u_hi[pick], u_least[pick], window)
-            frag, start, length, doc = (np.concatenate(x) for x in ((frag, pick[g[0]]), (start, g[1]), (length, g[2]), (doc, g[3])))
+        groups = [(frag, start, length, doc)]
+        begin_of = np.append(np.flatnonzero(~twin[pick]), len(pick))
+        edge = [0, *begin_of[np.flatnonzero(np.diff(begin_of[:-1] // FRAGMENTS)) + 1].tolist(), len(pick)] if len(pick) else [0]
+        for i, j in zip(edge, edge[1:]):
+            own = pick[i:j]
+            n = u_hi[own] - u_lo[own]
+            ends = np.cumsum(n)
+            g = repeat_groups(data[ranges(u_lo[own], n)], ends - n, ends, u_least[own], window)
+            groups.append((own[g[0]], *g[1:]))
+        frag, start, length, doc = (np.concatenate(x) for x in zip(*groups))
         by = np.argsort(frag, kind="stable")
         frag, start, length, doc = frag[by], start[by], length[by], doc[by]
         n_of = np.bincount(frag, minlength=len(begin))
