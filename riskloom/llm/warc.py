@@ -71,12 +71,13 @@ def record(kind: str, rid: str, block: bytes, fields: dict[str, str], level: int
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(fields in lower case, block) of each record of an archive of gzip members."""
-    while archive:
+    view = memoryview(archive)
+    while view:
         d = zlib.decompressobj(31)
-        data = d.decompress(archive)
+        data = d.decompress(view)
         if not d.eof:
             raise ValueError("truncated gzip member")
-        archive, at = d.unused_data, 0
+        view, at = view[len(view) - len(d.unused_data) :], 0
         while at < len(data):
             end = data.find(CRLF * 2, at)
             if end < 0 or not data.startswith(b"WARC/1.", at):
@@ -114,9 +115,9 @@ def page_records(page_id: int | None, ordinal: str, url: str | None, payload: by
 
 
 def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload, refers_to, ordinal): of equal payloads of ``min_bytes`` or more, the largest id is kept, the others refer to it.
+    """(page_id, url, deflated, refers_to): of equal payloads of ``min_bytes`` or more, the largest id is kept, the others refer to it.
 
-    Only digests are grouped and joined; payloads stay where they are read.
+    Only digests are grouped; payloads travel to the join once, deflated.
     Rows of one id and payload (repeats) beyond it count as records of their
     own; a null id never is the largest and refers to one that is not null.
     """
@@ -126,8 +127,13 @@ def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", pay
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     last = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    out = rows.join(last, ["digest", "n"], "left")
-    return out.select("page_id", "url", "payload", F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([zlib.compress(x.as_py(), 1) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], names=["page_id", "url", "deflated", "digest", "n"])
+
+    out = rows.mapInArrow(deflate, "page_id long, url string, deflated binary, digest string, n int").join(last, ["digest", "n"], "left")
+    return out.select("page_id", "url", "deflated", F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
 
 def write(rows: DataFrame, segment_bytes: int = 16384, chunk_bytes: int = 4096, archive_mb: float = 1) -> DataFrame:
@@ -150,7 +156,7 @@ def write(rows: DataFrame, segment_bytes: int = 16384, chunk_bytes: int = 4096,
         for batch in batches:
             for row in batch.to_pylist():
                 count += 1
-                for member in page_records(row["page_id"], f"{part_no}-{count}", row["url"], row["payload"], row["refers_to"], segment_bytes, chunk_bytes):
+                for member in page_records(row["page_id"], f"{part_no}-{count}", row["url"], zlib.decompress(row["deflated"]), row["refers_to"], segment_bytes, chunk_bytes):
                     open_[turn].append(member)
                     sizes[turn] += len(member)
                     if sizes[turn] >= archive_mb * MB:
@@ -174,7 +180,7 @@ SEGMENT = "origin string, segment int, kind string, page_id long, refers_to long
 
 
 def segments(archives: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row per WARC record; ``archives`` may come from ``write`` or from ``spark.read.format('binaryFile')``."""
+    """One row per WARC record, its block deflated; ``archives`` may come from ``write`` or from ``spark.read.format('binaryFile')``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_length", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
@@ -184,7 +190,7 @@ def segments(archives: DataFrame, content_col: str = "content") -> DataFrame:
                 rows = [
                     (
                         f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 1)), f["warc-type"], number(f.get("x-page-id")), number(f.get("x-refers-to-page")),
-                        f.get("warc-payload-digest", "").removeprefix("sha1:"), number(f.get("x-payload-length")), number(f.get("warc-segment-total-length")), block,
+                        f.get("warc-payload-digest", "").removeprefix("sha1:"), number(f.get("x-payload-length")), number(f.get("warc-segment-total-length")), zlib.compress(block, 1),
                     )
                     for f, block in parse(content)
                 ]
@@ -218,7 +224,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
                     own = r["parts"]
                     if [x["segment"] for x in own] != list(range(1, len(own) + 1)):
                         raise ValueError(f"segments of {r['origin']} are missing or doubled")
-                    block = b"".join(x["block"] for x in own)
+                    block = b"".join(zlib.decompress(x["block"]) for x in own)
                     if len(own) > 1 and r["total"] != len(block):
                         raise ValueError(f"{r['origin']} has {len(block)} bytes, not {r['total']}")
                     if r["kind"] == "revisit":
