@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,65 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd base of the byte hash and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def byte_values() -> np.ndarray:
+    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Hasher:
+    """Hashes of any stretch of a byte string from prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        size = 1 << max(10, int(len(data) + 1).bit_length())
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_values()[data] * _powers(size, BASE)[: len(data)], dtype=np.uint64)])
+        self.inverse = _powers(size, INVERSE)
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
+
+    def all(self, n: int) -> np.ndarray:
+        """Of the ``n`` bytes from each position on."""
+        m = len(self.sums) - n
+        return mix64((self.sums[n:] - self.sums[:m]) * self.inverse[:m])
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def words_at(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, word starts, word ends, words per text); words end at ASCII white space."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    blank = _BLANK[data]
+    start, end = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1, np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return data, start, end, np.diff(np.concatenate([[0], np.searchsorted(start, ends, side="right")]))
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = MB) -> np.ndarray:
+    """64-bit hash of each word of a byte string, about ``piece`` bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + piece)))
+        first = start[lo]
+        out[lo:hi] = Hasher(data[first : end[hi - 1]])(start[lo:hi] - first, end[lo:hi] - first)
+        lo = hi
+    return mix64(out + (end - start).astype(np.uint64))
+
+
 def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Cut points of sorted uint64 hashes into ``buckets`` equal ranges of the hash space."""
     edges = [(i << 64) // buckets for i in range(1, buckets)]

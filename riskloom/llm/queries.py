@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, simhash, substring, suffixes, warc
+from . import bpe, decontaminate, language, lm, media, quality, simhash, substring, suffixes, warc
 from .common import cut
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -53,6 +53,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the decimal doc_id, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, learn_from=_remainder(5) != 1)
+    return out.select("doc_id", F.coalesce(_remainder(5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = quality.learn(docs, _table(spark, sf_dir, "labels"), allowed=_remainder(5) != 0)
+    return quality.predict(docs, forest).select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    field = language.learn(docs, allowed=_remainder(4) != 2)
+    return language.predict(docs.select("doc_id", "text"), field).select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2, seed=42)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -84,6 +107,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_media_columns, op3_byte_bpe, op6_simhash, op7_substring, op8_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_media_columns, op3_byte_bpe, op4_lm_score, op5_quality, op6_simhash, op7_substring, op8_decontaminate, op9_language, op10_warc)}
 
 ORACLES: dict[str, str] = {}

@@ -32,20 +32,15 @@ pass through.  Comparison of whole fragments and windows is by 64-bit hash.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
+from .common import BLOB, PACK, Hasher, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
 from .substring import differ, least_of
 
-#: Odd base of the byte hash and its inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 NONE = np.iinfo(np.int64).max
 #: Left symbol of an interval whose suffixes extend to the left by different bytes.
 DIVERSE = -1
@@ -53,35 +48,6 @@ DIVERSE = -1
 SUFFIXES, FRAGMENTS = 100_000, 20_000
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-
-
-@lru_cache(maxsize=4)
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Hasher:
-    """Hashes of any stretch of a byte string from prefix sums."""
-
-    def __init__(self, data: np.ndarray):
-        size = 1 << max(10, int(len(data) + 1).bit_length())
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[data] * _powers(size, BASE)[: len(data)], dtype=np.uint64)])
-        self.inverse = _powers(size, INVERSE)
-
-    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[hi] - self.sums[lo]) * self.inverse[lo])
-
-    def all(self, n: int) -> np.ndarray:
-        """Of the ``n`` bytes from each position on."""
-        m = len(self.sums) - n
-        return mix64((self.sums[n:] - self.sums[:m]) * self.inverse[:m])
-
-
 class Pack:
     """Bytes of one pack, its fragments and their anchors."""
 
