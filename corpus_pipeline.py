@@ -1,13 +1,76 @@
-"""Corpus pipeline: language ID, near-dedup, substring dedup, decontamination, tokens."""
+"""Corpus pipeline: language ID, near-dedup, substring dedup, benchmark decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each is
+written and read again before the next, so that a lost executor costs one
+stage at most.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskloom.llm import bpe, decontaminate, language, simhash, substring
+from riskloom.llm.common import shared_dir
+
+#: A document goes if less than this share of its words is of one known language.
+MIN_SHARE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown (no letters) or whose best language holds under MIN_SHARE go; ``lang`` becomes the prediction."""
+    field = language.learn(docs)
+    out = language.predict(docs, field).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 0.8 or more of their five-word shingles, the one with the smallest id stays."""
+    return simhash.dedup(docs, words=5, similarity=0.8)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds go from the later ones."""
+    return sized(substring.dedup(docs, window=50))
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of 10 words or more of a benchmark item go; documents that are mostly such spans go as a whole."""
+    return sized(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, max_coverage=0.5))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token ids, their number, and whether they decode to the text."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    same = F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    return out.select("doc_id", "lang", "source", F.col("ids").alias("tokens"), F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """``n_chars`` follows the text."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("benchmark_decontamination", decontaminate_benchmark),
+    ("byte_bpe", tokenize),
+]
+
+#: Trained models, components and automata are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a Parquet table in the shared folder."""
+    import uuid
+
+    docs, top = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
+        docs = spark.read.parquet(f"{top}/{k}-{name}")
     return docs

@@ -23,12 +23,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, unplanes, words_at
 from .graph import components
+from .substring import stretch_keys
 
 SLICE = 1 << 15
 
@@ -95,3 +96,131 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- near duplicates by similarity: several short fingerprints, verified exactly ---
+
+TABLES, WIDTH = 20, 32
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit keys of the word shingles of a text, lower-cased in A-Z."""
+    data, start, end, _ = words_at([text.lower()])
+    keys = hash_words(data, start, end)
+    if len(keys) > words:
+        keys = stretch_keys(keys, words)
+    elif len(keys):
+        keys = stretch_keys(keys, len(keys))
+    return np.unique(keys)
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """TABLES fingerprints of WIDTH bits from independent votes."""
+    words = TABLES * WIDTH // 64
+    ones = np.zeros(words * 64, np.int64)
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for lo in range(0, len(shingles), SLICE // 8):
+        part = mix64(shingles[lo : lo + SLICE // 8, None] + salt)
+        ones += np.unpackbits(part.view(np.uint8)).reshape(len(part), -1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles)).tobytes()
+
+
+def _candidates(classes: DataFrame, n: int) -> DataFrame:
+    """Distinct pairs (a, b) of class keys that share a variant: each owner of a variant with the least and with the one before it."""
+    n_buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (WIDTH + 1) // 4_000_000)
+    flips = np.array([0, *(1 << i for i in range(WIDTH))], dtype=np.uint64)
+    tables = np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(WIDTH)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, TABLES, 1).astype(np.uint64)
+            keys = mix64((tables | values ^ flips).ravel())
+            order = np.argsort(keys)
+            keys, owner = keys[order], (order // (TABLES * (WIDTH + 1))).astype(np.int32)
+            cuts, low = bucket_bounds(keys, n_buckets).tolist(), spread(keys, n_buckets)
+            out = []
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if hi > lo:
+                    used, index = np.unique(owner[lo:hi], return_inverse=True)
+                    out.append((b, 0, low[lo:hi].tobytes(), planes(index.astype(np.int32)), planes(own[used])))
+            yield from blobs(out).to_batches()
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, owner = [], []
+        for x, y, z in zip(*(table[c].to_pylist() for c in "xyz")):
+            keys.append(np.frombuffer(x, np.uint32))
+            owner.append(unplanes(z, np.int64)[unplanes(y, np.int32)])
+        keys, owner = np.concatenate(keys), np.concatenate(owner)
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        pick = np.zeros(len(order), bool)
+        pick[1:] |= same
+        pick[:-1] |= same
+        keys, owner = keys[order[pick]], owner[order[pick]]
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        least = np.repeat(owner[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
+        rest = np.flatnonzero(~new)
+        pairs = np.concatenate([np.stack([least[rest], owner[rest]]), np.stack([owner[rest - 1], owner[rest]])], axis=1)
+        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return classes.select("key", "sketch").mapInArrow(emit, BLOB).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
+    """(key, root) of every distinct text: texts linked by Jaccard similarity of ``words``-word shingles share a root.
+
+    A text's key is a 64-bit hash of its words.  Candidates come from TABLES
+    fingerprints of WIDTH bits, all variants within one bit of each, so that
+    two texts meet if any fingerprint differs in two bits or less; every
+    candidate pair is verified on its exact shingle sets.
+    """
+    schema = "key long, sketch binary"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t, words)) for t in texts], pa.binary())], names=["key", "sketch"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).astype(np.uint32).tobytes() for t in texts], pa.binary())], names=["key", "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.unique(np.frombuffer(x, np.uint32)), np.unique(np.frombuffer(y, np.uint32))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    classes = cut(rows.mapInArrow(draw, schema).groupBy("key").agg(F.first("sketch").alias("sketch")))
+    pairs = cut(_candidates(classes, classes.count()))
+    ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+    shingles = cut(rows.join(ends, "key", "left_semi").mapInArrow(sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    roots = components(both.mapInArrow(verify, "a long, b long"))
+    return classes.select("key").join(roots.toDF("key", "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+
+
+def text_key(text_col: str) -> Column:
+    """Hash of the words of a text: copies that differ in case or white space count as equal."""
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+
+
+def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: that with the smallest id (nulls last); null and empty texts are one group."""
+    rank = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]).alias("_row"))
+    keyed = docs.select("*", text_key(text_col).alias("_key"), rank.alias("_rank"))
+    roots = cut(similar(docs, words, similarity, text_col))
+    ranked = keyed.groupBy("_key").agg(F.min("_rank").alias("_rank"))
+    kept = roots.toDF("_key", "_root").join(ranked, "_key").groupBy("_root").agg(F.min(F.struct("_rank", "_key")).alias("_best")).select("_best._rank", "_best._key")
+    chosen = keyed.join(kept, ["_key", "_rank"], "left_semi")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.groupBy("_key", "_rank").agg(F.first(own).alias("_row")).select("_row.*")
