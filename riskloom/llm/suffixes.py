@@ -6,6 +6,9 @@ of 50) with the least hash is the anchor; equal windows have equal anchors at
 equal places.  A fragment is the text of all neighbouring windows with one
 anchor, 50 to 74 bytes.
 
+0. A text that equals one of a smaller id needs no comparison: all its windows
+   start there.  Hashes of whole texts find these copies first; they take no
+   further part (texts under a window lose nothing anyway).
 1. Distinct anchors per pack are compared corpus-wide (``mark_shared``).
 2. Fragments of shared anchors, distinct per pack, with their smallest
    document id, go to the bucket of their anchor.
@@ -35,10 +38,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, Hasher, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
+from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
 from .substring import differ, least_of
 
 NONE = np.iinfo(np.int64).max
@@ -51,14 +56,17 @@ SUFFIXES, FRAGMENTS = 100_000, 20_000
 class Pack:
     """Bytes of one pack, its fragments and their anchors."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int, id_col: str, text_col: str):
+    def __init__(self, table: pa.Table, copies: set[tuple[int, int]], window: int, gram: int, id_col: str, text_col: str):
         self.ids, self.texts, self.table = ordered(table, id_col, text_col)
         length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.end = np.cumsum(length)
         self.start = self.end - length
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.window = window
-        keep = np.flatnonzero(length >= window)
+        self.copy = np.zeros(len(length), bool)
+        if copies:
+            self.copy[:] = [(i, xxhash.xxh64_intdigest(t, 42)) in copies for i, t in zip(self.ids.tolist(), self.texts)]
+        keep = np.flatnonzero((length >= window) & ~self.copy)
         if not len(keep):
             self.lo = self.hi = self.anchor_at = self.doc = np.zeros(0, np.int64)
             self.anchors = np.zeros(0, np.uint64)
@@ -182,6 +190,17 @@ def _scan(data: np.ndarray, at: np.ndarray, owner: np.ndarray, new: np.ndarray,
     return np.stack([frag[who], place[who] - lo[frag[who]], np.repeat(length, size), np.repeat(doc, size)])
 
 
+def copy_rows(docs: DataFrame, at: Layout, window: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows whose text equals that of a smaller id: (_pack, id, text hash).  Only hashes are grouped and joined."""
+    text = F.col(text_col)
+    rows = docs.where(F.octet_length(text) >= window).select(
+        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(at.packs)).cast("int").alias(PACK), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NONE))).alias("id"),
+        F.xxhash64(text).alias("h"), F.xxhash64(F.lit("twice"), text).alias("h2"),
+    )
+    least = rows.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    return rows.join(least, ["h", "h2"]).where("id > least").select(PACK, "id", "h")
+
+
 def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``cut_from``, ``cut_to`` (half-open byte spans) and ``kept`` (binary, the bytes left)."""
     gram = window // 2 + 1
@@ -189,30 +208,38 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     own_fields = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*own_fields, *added])
     docs = docs.select(*[docs[f.name] for f in own_fields])
-    at = layout(docs, text_col, pack_mb=2, bucket_mb=16)
+    at = layout(docs, text_col, pack_mb=2, bucket_mb=8)
     n_buckets = at.buckets
     dealt = packed(docs, at, id_col)
 
-    def probe(table: pa.Table) -> pa.Table:
-        p = Pack(table, window, gram, id_col, text_col)
+    def pack(table: pa.Table, answers_: pa.Table) -> tuple[Pack, list[pa.Table]]:
+        """The pack, and its answers by kind: shared anchors, groups."""
+        of = [answers_.filter(pc.equal(answers_["kind"], k)) if len(answers_) else answers_ for k in range(3)]
+        copies = {(i, h % (1 << 64)) for i, h in zip(of[2]["id"].to_pylist(), of[2]["h"].to_pylist())}
+        return Pack(table, copies, window, gram, id_col, text_col), of[:2]
+
+    def probe(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(table):
+            return blobs([])
+        p, _ = pack(table, known)
         keys, inverse = np.unique(p.anchors, return_inverse=True)
         return offer(table[PACK][0].as_py(), keys, differ(inverse, len(keys), p.ids[p.doc]), None, n_buckets)
 
-    def extend(table: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(table) or not len(found):
+    def extend(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(table) or not len(known):
             return blobs([])
-        p = Pack(table, window, gram, id_col, text_col)
+        p, (found, _) = pack(table, known)
         p.shared(found, n_buckets)
         first, inverse = p.distinct()
         ids = p.ids[p.doc]
         least, several = least_of(inverse, len(first), ids), differ(inverse, len(first), ids)
         lo, size, anchors = p.lo[first], p.hi[first] - p.lo[first], p.anchors[first]
         cuts, low = bucket_bounds(anchors, n_buckets).tolist(), spread(anchors, n_buckets)
-        pack, out = table[PACK][0].as_py(), []
+        number, out = table[PACK][0].as_py(), []
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if j > i:
                 head = np.concatenate([np.packbits(several[i:j]), size[i:j].astype(np.uint16).view(np.uint8), low[i:j].view(np.uint8)])
-                out.append((b, pack, np.int64(j - i).tobytes() + head.tobytes(), planes(least[i:j]), p.data[ranges(lo[i:j], size[i:j])].tobytes()))
+                out.append((b, number, np.int64(j - i).tobytes() + head.tobytes(), planes(least[i:j]), p.data[ranges(lo[i:j], size[i:j])].tobytes()))
         return blobs(out)
 
     def tree(table: pa.Table) -> pa.Table:
@@ -269,15 +296,13 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             i += n
         return blobs(out)
 
-    def finish(table: pa.Table, asked: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, known: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
         if not len(table):
             return arrow.empty_table()
-        found = asked.filter(pc.equal(asked["kind"], 0)) if len(asked) else asked
-        groups = asked.filter(pc.equal(asked["kind"], 1)) if len(asked) else asked
-        p = Pack(table, window, gram, id_col, text_col)
+        p, (found, groups) = pack(table, known)
         gone = np.zeros(len(p.data), bool)
         if len(groups):
             p.shared(found, n_buckets)
@@ -301,8 +326,10 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             change = np.bincount(a, minlength=len(gone) + 1) - np.bincount(a + length[which][hit], minlength=len(gone) + 1)
             gone = np.cumsum(change)[:-1] > 0
         lo, hi, kept = [], [], []
-        for t, a, b in zip(p.texts, p.start.tolist(), p.end.tolist()):
+        for t, a, b, copy in zip(p.texts, p.start.tolist(), p.end.tolist(), p.copy.tolist()):
             mask = gone[a:b]
+            if copy:
+                mask[:] = True
             if mask.any():
                 x, y = runs(mask)
                 kept.append(p.data[a:b][~mask].tobytes())
@@ -316,9 +343,16 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         columns += [pa.array([len(t) for t in p.texts], pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=arrow.names)
 
-    asked = dealt.groupBy(PACK).applyInArrow(probe, BLOB)
-    found = asked.groupBy("bucket").applyInArrow(mark_shared(n_buckets), BLOB).withColumnRenamed("pack", PACK)
-    fragments = dealt.groupBy(PACK).cogroup(found.groupBy(PACK)).applyInArrow(extend, BLOB)
-    groups = fragments.groupBy("bucket").applyInArrow(tree, BLOB).withColumnRenamed("pack", PACK)
-    both = found.selectExpr("*", "0 AS kind").unionAll(groups.selectExpr("*", "1 AS kind"))
-    return dealt.groupBy(PACK).cogroup(both.groupBy(PACK)).applyInArrow(finish, schema)
+    kinds = f"bucket int, {PACK} int, x binary, y binary, z binary, kind int, id long, h long"
+    copies = copy_rows(docs, at, window, id_col, text_col).selectExpr("-1 AS bucket", PACK, "NULL AS x", "NULL AS y", "NULL AS z", "2 AS kind", "id", "h").to(_schema(kinds))
+    answer = lambda df, kind: df.withColumnRenamed("pack", PACK).selectExpr("*", f"{kind} AS kind", "NULL AS id", "NULL AS h").to(_schema(kinds))
+    by_pack = dealt.groupBy(PACK)
+    asked = by_pack.cogroup(copies.groupBy(PACK)).applyInArrow(probe, BLOB)
+    found = answer(asked.groupBy("bucket").applyInArrow(mark_shared(n_buckets), BLOB), 0)
+    fragments = by_pack.cogroup(found.unionAll(copies).groupBy(PACK)).applyInArrow(extend, BLOB)
+    groups = answer(fragments.groupBy("bucket").applyInArrow(tree, BLOB), 1)
+    return by_pack.cogroup(found.unionAll(groups).unionAll(copies).groupBy(PACK)).applyInArrow(finish, schema)
+
+
+def _schema(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
