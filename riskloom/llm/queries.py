@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, lm, media, quality, simhash, substring, suffixes, warc
 from .common import cut
+from .oracles import ORACLES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -109,4 +110,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_media_columns, op3_byte_bpe, op4_lm_score, op5_quality, op6_simhash, op7_substring, op8_decontaminate, op9_language, op10_warc)}
 
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
