@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
+from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, cut, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
 from .substring import differ, least_of
 
 NONE = np.iinfo(np.int64).max
@@ -51,6 +51,27 @@ NONE = np.iinfo(np.int64).max
 DIVERSE = -1
 #: Suffixes and fragments that one scan takes at a time, more only where one window or anchor has more.
 SUFFIXES, FRAGMENTS = 100_000, 20_000
+#: Bytes of text that are cut into fragments at a time.
+SLICE = 1 << 18
+
+
+def cut_fragments(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, anchor, key) of the fragments of the texts at ``start`` in ``data``, each of ``window`` bytes or more."""
+    hasher = Hasher(data)
+    grams = hasher.all(gram)
+    bits = max(24, int(len(grams)).bit_length())  # the same for all slices, so that all cut alike
+    low = (grams >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(grams), dtype=np.uint64)
+    span, have = window - gram + 1, 1
+    while have * 2 <= span:  # least key of growing stretches
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if have < span:
+        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
+    at = ranges(start, length - window + 1)  # windows inside documents
+    chosen = (low & np.uint64((1 << bits) - 1)).astype(np.int64)[at]
+    new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
+    lo, hi = at[new], at[np.append(new[1:], len(at)) - 1] + window
+    return lo, hi, grams[chosen[new]], hasher(lo, hi) ^ mix64((hi - lo).astype(np.uint64))
 
 
 class Pack:
@@ -67,41 +88,25 @@ class Pack:
         if copies:
             self.copy[:] = [(i, xxhash.xxh64_intdigest(t, 42)) in copies for i, t in zip(self.ids.tolist(), self.texts)]
         keep = np.flatnonzero((length >= window) & ~self.copy)
-        if not len(keep):
-            self.lo = self.hi = self.anchor_at = self.doc = np.zeros(0, np.int64)
-            self.anchors = np.zeros(0, np.uint64)
-            self.hash = None
-            return
-        self.hash = Hasher(self.data)
-        grams = self.hash.all(gram)
-        bits = max(1, int(len(grams)).bit_length())
-        low = (grams >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(grams), dtype=np.uint64)
-        span, have = window - gram + 1, 1
-        while have * 2 <= span:  # least key of growing stretches
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if have < span:
-            low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-        chosen = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
-        at = ranges(self.start[keep], length[keep] - window + 1)  # windows inside documents
-        chosen = chosen[at]
-        new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
-        last = np.append(new[1:], len(at)) - 1
-        self.lo, self.hi = at[new], at[last] + window
-        self.anchors = grams[chosen[new]]
-        self.doc = np.searchsorted(self.end, self.lo, side="right")
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2]
+        part = np.cumsum(length[keep]) // SLICE
+        for own in np.split(keep, np.flatnonzero(np.diff(part)) + 1) if len(keep) else []:
+            base = self.start[own[0]]  # texts between are short or copies: skipped by their starts
+            lo, hi, anchors, keys = cut_fragments(self.data[base : self.end[own[-1]]], self.start[own] - base, length[own], window, gram)
+            found.append((lo + base, hi + base, np.searchsorted(self.end, lo + base, side="right"), anchors, keys))
+        self.lo, self.hi, self.doc, self.anchors, self.keys = (np.concatenate(x) for x in zip(*found))
 
     def shared(self, found: pa.Table, buckets: int) -> None:
         """Keep the fragments of shared anchors only."""
         keys, inverse = np.unique(self.anchors, return_inverse=True)
         keep = answers(found, keys, buckets)[inverse]
-        self.lo, self.hi, self.anchors, self.doc = (x[keep] for x in (self.lo, self.hi, self.anchors, self.doc))
+        self.lo, self.hi, self.anchors, self.doc, self.keys = (x[keep] for x in (self.lo, self.hi, self.anchors, self.doc, self.keys))
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first of each distinct fragment, inverse); in order of anchor, then of fragment hash."""
         if not len(self.lo):
             return self.lo, self.lo
-        keys = self.hash(self.lo, self.hi) ^ mix64((self.hi - self.lo).astype(np.uint64))
+        keys = self.keys
         order = np.lexsort((keys, self.anchors))
         new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (self.anchors[order][1:] != self.anchors[order][:-1])])
         inverse = np.empty(len(order), np.int64)
@@ -198,7 +203,7 @@ def copy_rows(docs: DataFrame, at: Layout, window: int, id_col: str, text_col: s
         F.xxhash64(text).alias("h"), F.xxhash64(F.lit("twice"), text).alias("h2"),
     )
     least = rows.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    return rows.join(least, ["h", "h2"]).where("id > least").select(PACK, "id", "h")
+    return rows.join(cut(least), ["h", "h2"]).where("id > least").select(PACK, "id", "h")
 
 
 def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
