@@ -254,9 +254,9 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
         for batch in batches:
             f: Field = shared.value
             k = len(f.languages)
-            for part in text_slices(batch, text_col, 8 * MB):
+            for part in text_slices(batch, text_col, 4 * MB):
                 scores, per_text = [], []
-                for small in text_slices(part, text_col, MB):
+                for small in text_slices(part, text_col, MB // 4):
                     w = words_of(small.column(small.schema.get_field_index(text_col)).to_pylist())
                     scores.append(f.scores(w))
                     per_text.append(w.per_text)
