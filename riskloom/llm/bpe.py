@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import MB, ranges, text_slices
+from .common import MB, ranges, text_slices, tidy
 
 LONG = 256
 NONE = np.int32(2**31 - 1)
@@ -221,6 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     rest = [f for f in docs.schema.fields if f.name != ids_col]
     schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
@@ -237,6 +238,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
     rest = [f for f in docs.schema.fields if f.name != out_col]
     schema = T.StructType([*rest, T.StructField(out_col, T.BinaryType(), False)])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:

@@ -11,8 +11,9 @@ its own share of the hash space.
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -45,6 +46,31 @@ def layout(docs: DataFrame, text_col: str = "text", pack_mb: float = 4, bucket_m
     return Layout(parts, max(2 * parts, math.ceil(total / (pack_mb * MB))), max(parts, math.ceil(total / (bucket_mb * MB))), total)
 
 
+def bounded(spark: SparkSession, batch_mb: int = 4) -> SparkSession:
+    """Bound the bytes (not only the rows) of Arrow batches of this session: texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_mb * MB)
+    return spark
+
+
+def trim() -> None:
+    """Give freed memory back: Python workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A ``mapInArrow`` function that trims memory at the end of its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share; a local one is set only where the session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

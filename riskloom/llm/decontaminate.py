@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs
+from .common import runs, tidy
 
 #: ASCII bytes that are neither digits nor lower-case letters become spaces.
 FOLD = bytes(32 if i < 0x30 or 0x39 < i < 0x61 or 0x7A < i < 0x80 else i for i in range(256))
@@ -184,6 +184,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int =
     for block in [*_blocks(plain, block_words)] or [[]]:
         shared = sc.broadcast(Index([(i, words(t)) for i, t in block], window))
 
+        @tidy
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 index: Index = shared.value
@@ -221,6 +222,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
     for block in _blocks(plain, block_words):
         shared = sc.broadcast(Index([(i, words(t)) for i, t in block], window))
 
+        @tidy
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 index: Index = shared.value

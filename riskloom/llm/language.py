@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MB, mix64, text_slices
+from .common import MB, mix64, text_slices, tidy
 
 SLOTS = 1 << 15
 SPACE = 32
@@ -250,6 +250,7 @@ def predict(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     schema = T.StructType([*own, T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("word_share", T.MapType(T.StringType(), T.DoubleType()), False)])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f: Field = shared.value

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import text_slices, tidy
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -158,6 +158,7 @@ def store(docs: DataFrame, text_col: str = "text", media_col: str = "media") ->
     """Add ``n_bytes`` and the PNG of each text."""
     df, schema = _rest(docs, {"n_bytes": T.LongType(), media_col: T.BinaryType()})
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text_col):
@@ -172,6 +173,7 @@ def read_back(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Add ``payload`` and ``feature`` (binary, 8 bytes), both from the stored file alone."""
     df, schema = _rest(df, {"payload": T.BinaryType(), "feature": T.BinaryType()})
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, media_col):

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 FEATURES = (
     "log_bytes", "log_words", "word_mean", "word_std", "upper", "letters", "digits", "space", "punctuation", "non_ascii", "exclaim", "bar", "symbols", "stops", "commas",
     "distinct_words", "same_neighbours", "top_word", "distinct_pairs", "log_lines", "distinct_lines", "line_mean", "title_words", "entropy", "deflated", "end_marks", "long_words", "markup",
@@ -151,6 +153,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out_col: str = "sta
     own = [f for f in docs.schema.fields if f.name != out_col]
     schema = T.StructType([*own, T.StructField(out_col, T.ArrayType(T.DoubleType(), False), False)])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
@@ -178,6 +181,7 @@ def predict(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFram
     schema = T.StructType([*own, T.StructField("score", T.DoubleType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())

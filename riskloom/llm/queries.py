@@ -7,14 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, lm, media, quality, simhash, substring, suffixes, warc
-from .common import cut
+from .common import bounded, cut
 from .oracles import ORACLES
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, unplanes, words_at
+from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, tidy, unplanes, words_at
 from .graph import components
 from .substring import stretch_keys
 
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text_col: str
     rest = [f for f in docs.schema.fields if f.name != out_col]
     schema = T.StructType([*rest, T.StructField(out_col, T.LongType(), False)])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
@@ -131,8 +132,9 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
     flips = np.array([0, *(1 << i for i in range(WIDTH))], dtype=np.uint64)
     tables = np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(WIDTH)
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 2500) for b in batches for lo in range(0, len(b), 2500)):
             own = batch.column(0).to_numpy()
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, TABLES, 1).astype(np.uint64)
             keys = mix64((tables | values ^ flips).ravel())
@@ -180,16 +182,19 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col:
     """
     schema = "key long, sketch binary"
 
+    @tidy
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t, words)) for t in texts], pa.binary())], names=["key", "sketch"])
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).astype(np.uint32).tobytes() for t in texts], pa.binary())], names=["key", "shingles"])
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MB
+from .common import MB, tidy
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -127,6 +127,7 @@ def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", pay
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
     last = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    @tidy
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = pa.array([zlib.compress(x.as_py(), 1) for x in batch.column(2)], pa.binary())
@@ -142,6 +143,7 @@ def write(rows: DataFrame, segment_bytes: int = 16384, chunk_bytes: int = 4096,
     Segments of a page go to the archives in turn (four open at a time), so that a reader must reassemble them.
     """
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_no, made, turn, count = _partition(), 0, 0, 0
         open_: list[list[bytes]] = [[] for _ in range(4)]
@@ -182,6 +184,7 @@ SEGMENT = "origin string, segment int, kind string, page_id long, refers_to long
 def segments(archives: DataFrame, content_col: str = "content") -> DataFrame:
     """One row per WARC record, its block deflated; ``archives`` may come from ``write`` or from ``spark.read.format('binaryFile')``."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_length", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
         number = lambda x: int(x) if x else None
@@ -216,6 +219,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
     schema = "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
     names = ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 64):
