@@ -1,0 +1,527 @@
+"""Split searches over a histogram: arrays of rows and bad rows per cell, in order.
+
+Every search returns the chosen cuts: sorted positions i (1..cells-1), each
+meaning a border between cells i-1 and i.  All are deterministic.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+
+EPS = 1e-10
+
+
+def share(size: float, total: float) -> float:
+    """A size under 1 is a share of ``total``."""
+    return size * total if 0 < size < 1 else float(size or 0)
+
+
+def merged(n: np.ndarray, bad: np.ndarray, cuts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    at = [0, *cuts]
+    return np.add.reduceat(n, at), np.add.reduceat(bad, at)
+
+
+def _dist(n: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    good = n - bad
+    b, g = np.where(bad == 0, EPS, bad), np.where(good == 0, EPS, good)
+    return b / b.sum(), g / g.sum()
+
+
+def woe(n: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    b, g = _dist(n, bad)
+    return np.log(b / g)
+
+
+def iv(n: np.ndarray, bad: np.ndarray) -> float:
+    if not 0 < bad.sum() < n.sum():
+        return 0.0
+    b, g = _dist(n, bad)
+    return float(((b - g) * np.log(b / g)).sum())
+
+
+def ks(n: np.ndarray, bad: np.ndarray) -> float:
+    if not 0 < bad.sum() < n.sum():
+        return 0.0
+    return float(np.abs(np.cumsum(bad) / bad.sum() - np.cumsum(n - bad) / (n - bad).sum()).max())
+
+
+def rates(n: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    return bad / np.maximum(n, EPS)
+
+
+def violations(r: np.ndarray) -> int:
+    """Changes of direction against the better of rising and falling."""
+    d = np.diff(r)
+    return int(min((d < 0).sum(), (d > 0).sum()))
+
+
+def is_monotone(r: np.ndarray) -> bool:
+    return violations(r) == 0
+
+
+def _entropy(n: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    p = np.clip(rates(n, bad), EPS, 1 - EPS)
+    return -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+
+
+def _greedy_split(n: np.ndarray, bad: np.ndarray, max_bins: int, min_size: float, gain, stop) -> list[int]:
+    """Best-first binary splitting: ``gain(left n, left bad, right n, right bad)`` over all borders of a segment at once; ``stop`` may refuse."""
+    cn, cb = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(bad)])
+
+    def best(lo: int, hi: int) -> tuple[float, int]:
+        i = np.arange(lo + 1, hi)
+        ln, lb, rn, rb = cn[i] - cn[lo], cb[i] - cb[lo], cn[hi] - cn[i], cb[hi] - cb[i]
+        ok = (ln >= max(min_size, 1)) & (rn >= max(min_size, 1))
+        if not ok.any():
+            return -1.0, -1
+        g = np.where(ok, gain(ln, lb, rn, rb), -np.inf)
+        k = int(g.argmax())
+        if g[k] <= 1e-12 or stop(ln[k], lb[k], rn[k], rb[k], float(g[k])):
+            return -1.0, -1
+        return float(g[k]), int(i[k])
+
+    open_, cuts = {(0, len(n)): best(0, len(n))}, []
+    while len(cuts) < max_bins - 1:
+        segment = max(open_, key=lambda s: (open_[s][0], -s[0]))
+        value, at = open_[segment]
+        if at < 0:
+            break
+        del open_[segment]
+        cuts.append(at)
+        for s in ((segment[0], at), (at, segment[1])):
+            open_[s] = best(*s)
+    return sorted(cuts)
+
+
+def _never(*_) -> bool:
+    return False
+
+
+def tree(n, bad, max_n_bins=5, min_size=0.0, **_) -> list[int]:
+    """Decision tree on entropy, best leaf first."""
+    gain = lambda ln, lb, rn, rb: (ln + rn) * _entropy(ln + rn, lb + rb) - ln * _entropy(ln, lb) - rn * _entropy(rn, rb)
+    return _greedy_split(n, bad, max_n_bins, min_size, gain, _never)
+
+
+def cart(n, bad, max_n_bins=5, min_size=0.0, min_event_rate_diff=0.0, max_pvalue=None, **_) -> list[int]:
+    """Decision tree on Gini impurity; neighbours too alike (rate difference, chi-square p-value) stay together."""
+    gini = lambda a, b: 2 * rates(a, b) * (1 - rates(a, b))
+    gain = lambda ln, lb, rn, rb: (ln + rn) * gini(ln + rn, lb + rb) - ln * gini(ln, lb) - rn * gini(rn, rb)
+
+    def stop(ln, lb, rn, rb, _gain) -> bool:
+        if abs(lb / ln - rb / rn) < min_event_rate_diff:
+            return True
+        return max_pvalue is not None and chi2_tail(float(pair_chi2(np.array([ln, rn]), np.array([lb, rb]))[0]), 1) > max_pvalue
+
+    return _greedy_split(n, bad, max_n_bins, min_size, gain, stop)
+
+
+def mdlp(n, bad, max_n_bins=5, min_size=0.0, mdlp_weight=0.7, min_n_bins=2, **_) -> list[int]:
+    """Entropy splits accepted by a weighted description-length test; at least ``min_n_bins`` are forced."""
+    gain = lambda ln, lb, rn, rb: _entropy(ln + rn, lb + rb) - (ln * _entropy(ln, lb) + rn * _entropy(rn, rb)) / (ln + rn)
+
+    def stop(ln, lb, rn, rb, g) -> bool:
+        total = ln + rn
+        kinds = lambda a, b: int(0 < b) + int(b < a)
+        k, k1, k2 = kinds(total, lb + rb), kinds(ln, lb), kinds(rn, rb)
+        delta = math.log2(max(3**k - 2, 1)) - (k * _entropy(np.array(total), np.array(lb + rb)) - k1 * _entropy(np.array(ln), np.array(lb)) - k2 * _entropy(np.array(rn), np.array(rb)))
+        return g <= mdlp_weight * (math.log2(max(total - 1, 1)) + float(delta)) / total
+
+    cuts = _greedy_split(n, bad, max_n_bins, min_size, gain, stop)
+    return cuts if len(cuts) + 1 >= min_n_bins else _greedy_split(n, bad, min_n_bins, min_size, gain, _never)
+
+
+def pair_chi2(n: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Chi-square of each pair of neighbours."""
+    n1, n2, b1, b2 = n[:-1], n[1:], bad[:-1], bad[1:]
+    total, b = n1 + n2, b1 + b2
+    g = total - b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = total * (b1 * (n2 - b2) - b2 * (n1 - b1)) ** 2 / (n1 * n2 * b * g)
+    return np.nan_to_num(out, nan=0.0, posinf=0.0)
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """Upper tail of the chi-square distribution (regularised incomplete gamma)."""
+    if x <= 0:
+        return 1.0
+    a, z = df / 2, x / 2
+    if z < a + 1:  # series
+        term = total = 1 / a
+        k = a
+        for _ in range(1000):
+            k += 1
+            term *= z / k
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, 1 - total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
+    b, c = z + 1 - a, 1e300  # continued fraction
+    d = 1 / b
+    h = d
+    for i in range(1, 1000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return math.exp(-z + a * math.log(z) - math.lgamma(a)) * h
+
+
+def chi_merge(n, bad, max_n_bins=5, min_size=0.0, significance=0.05, min_n_bins=2, **_) -> list[int]:
+    """Merge the most alike neighbours until at most ``max_n_bins`` are left and all differ significantly."""
+    cuts = list(range(1, len(n)))
+    while len(cuts) + 1 > min_n_bins:
+        a, b = merged(n, bad, cuts)
+        chi = pair_chi2(a, b)
+        k = int(chi.argmin())
+        if len(cuts) + 1 <= max_n_bins and chi2_tail(float(chi[k]), 1) < significance:
+            break
+        del cuts[k]
+    return cuts
+
+
+def _forward(n, bad, max_n_bins, min_size, objective) -> list[int]:
+    """Add the border that improves ``objective(n, bad)`` (a tuple, larger is better) most, while it improves."""
+    cuts: list[int] = []
+    current = objective(*merged(n, bad, cuts))
+    while len(cuts) < max_n_bins - 1:
+        best = None
+        for c in range(1, len(n)):
+            if c not in cuts:
+                trial = sorted([*cuts, c])
+                a, b = merged(n, bad, trial)
+                if a.min() >= max(min_size, 1):
+                    value = objective(a, b)
+                    if best is None or value > best[0]:
+                        best = value, trial
+        if best is None or best[0] <= current:
+            break
+        current, cuts = best
+    return cuts
+
+
+def best_iv(n, bad, max_n_bins=5, min_size=0.0, **_) -> list[int]:
+    """Greedy forward search: fewest changes of direction, then largest IV."""
+    return _forward(n, bad, max_n_bins, min_size, lambda a, b: (-violations(rates(a, b)), iv(a, b)))
+
+
+def best_ks(n, bad, max_n_bins=5, min_size=0.0, **_) -> list[int]:
+    """Split each segment where the distance of the two distributions is largest, best first."""
+    total_b, total_g = max(bad.sum(), EPS), max((n - bad).sum(), EPS)
+    gain = lambda ln, lb, rn, rb: np.abs(lb / np.maximum(lb + rb, EPS) - (ln - lb) / np.maximum(ln - lb + rn - rb, EPS)) * ((lb + rb) / total_b + (ln - lb + rn - rb) / total_g)
+    return _greedy_split(n, bad, max_n_bins, min_size, gain, _never)
+
+
+def best_lift(n, bad, max_n_bins=5, min_size=0.0, **_) -> list[int]:
+    """Merge neighbours so that the extreme bins keep the most extreme lift."""
+    cuts = list(range(1, len(n)))
+    base = max(bad.sum() / max(n.sum(), 1), EPS)
+    while len(cuts) + 1 > max_n_bins or cuts and merged(n, bad, cuts)[0].min() < min_size:
+        best = None
+        for k in range(len(cuts)):
+            trial = cuts[:k] + cuts[k + 1 :]
+            a, b = merged(n, bad, trial)
+            lift = rates(a, b) / base
+            value = (min(a.min(), min_size), -violations(lift), lift.max() - lift.min())
+            if best is None or value > best[0]:
+                best = value, trial
+        cuts = best[1]
+    return cuts
+
+
+def best_dp(n, bad, max_bins: int, min_size: float, objective: str = "iv", trend: int = 0) -> list[int]:
+    """Exact optimum by dynamic programming of an additive objective; ``trend`` 1/-1 asks for rising/falling rates."""
+    m = len(n)
+    cn, cb = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(bad)])
+    total_b, total_g = max(cb[-1], EPS), max(cn[-1] - cb[-1], EPS)
+    i, j = np.triu_indices(m + 1, 1)
+    size, b = np.zeros((m + 1, m + 1)), np.zeros((m + 1, m + 1))
+    size[i, j], b[i, j] = cn[j] - cn[i], cb[j] - cb[i]
+    pb, pg = np.maximum(b, EPS) / total_b, np.maximum(size - b, EPS) / total_g
+    if objective == "gini":
+        r = rates(size, b)
+        value = -size * 2 * r * (1 - r)
+    elif objective == "entropy":
+        value = -size * _entropy(size, b)
+    else:
+        value = (pb - pg) * np.log(pb / pg)
+    value = np.where(size >= max(min_size, 1), value, -np.inf)
+    value[np.tril_indices(m + 1)] = -np.inf
+    rate = rates(size, b)
+    if not trend:
+        score, back = value[0].copy(), []
+        best = (score[m], [])
+        history = []
+        for k in range(2, max_bins + 1):
+            both = score[:, None] + value
+            back = both.argmax(axis=0)
+            score = both.max(axis=0)
+            history.append(back)
+            if score[m] > best[0] + 1e-12:
+                cuts, at = [], m
+                for h in reversed(history):
+                    at = int(h[at])
+                    cuts.append(at)
+                best = (score[m], cuts[::-1])
+        return best[1]
+    # with a trend, a state is the last bin (i, j)
+    state, best, trail = {(0, j): (value[0, j], ()) for j in range(1, m + 1) if np.isfinite(value[0, j])}, (-np.inf, ()), None
+    for k in range(1, max_bins + 1):
+        for (a, e), (v, cuts) in state.items():
+            if e == m and v > best[0] + 1e-12:
+                best = (v, cuts)
+        if k == max_bins:
+            break
+        new: dict = {}
+        for (a, e), (v, cuts) in state.items():
+            for z in range(e + 1, m + 1):
+                if np.isfinite(value[e, z]) and trend * (rate[e, z] - rate[a, e]) > 0:
+                    w = v + value[e, z]
+                    if (e, z) not in new or w > new[e, z][0]:
+                        new[e, z] = (w, (*cuts, e))
+        state = new
+    return list(best[1])
+
+
+def optimal(n, bad, max_n_bins=5, min_size=0.0, objective="iv", monotonic=False, custom_objective=None, **_) -> list[int]:
+    """Exact optimum of an additive objective (iv, gini, entropy), or the best of several candidates for ks and custom ones."""
+    n, bad, cuts0 = _coarse(n, bad, 60)
+    trends = {"ascending": [1], "descending": [-1], "auto": [0, 1, -1], True: [1, -1]}.get(monotonic, [0])
+    found = [best_dp(n, bad, max_n_bins, min_size, o, t) for t in trends for o in ([objective] if objective in ("iv", "gini", "entropy") and not custom_objective else ["iv", "gini"])]
+    found += [_forward(n, bad, max_n_bins, min_size, lambda a, b: (ks(a, b),))] if objective == "ks" else []
+    measure = custom_objective or (ks if objective == "ks" else iv if objective == "iv" else lambda a, b: -float((a * (2 * rates(a, b) * (1 - rates(a, b)) if objective == "gini" else _entropy(a, b))).sum()))
+    if monotonic not in (False, None, "auto"):
+        found = [c for c in found if is_monotone(rates(*merged(n, bad, c)))] or found
+    best = max(found, key=lambda c: (measure(*merged(n, bad, c)), -len(c)))
+    return [cuts0[c - 1] for c in best]
+
+
+def _coarse(n, bad, cells: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """At most ``cells`` cells of about equal size."""
+    if len(n) <= cells:
+        return n, bad, list(range(1, len(n)))
+    mark = np.floor(np.cumsum(n) / max(n.sum(), 1) * cells - 1e-9)
+    cuts = (np.flatnonzero(np.diff(mark)) + 1).tolist()
+    return (*merged(n, bad, cuts), cuts)
+
+
+def kmeans(n, bad, max_n_bins=5, min_size=0.0, edges=None, **_) -> list[int]:
+    """One-dimensional k-means of cell centres by rows (exact, by dynamic programming); borders between clusters."""
+    x = _centres(edges, len(n))
+    w, s, q = (np.concatenate([[0], np.cumsum(v)]) for v in (n, n * x, n * x * x))
+    m = len(n)
+    cost = np.full((m + 1, m + 1), np.inf)
+    for i in range(m):
+        j = np.arange(i + 1, m + 1)
+        total = np.maximum(w[j] - w[i], EPS)
+        cost[i, j] = (q[j] - q[i]) - (s[j] - s[i]) ** 2 / total
+    score, history = cost[0].copy(), []
+    for _k in range(2, min(max_n_bins, m) + 1):
+        both = score[:, None] + cost
+        history.append(both.argmin(axis=0))
+        score = both.min(axis=0)
+    cuts, at = [], m
+    for h in reversed(history):
+        at = int(h[at])
+        cuts.append(at)
+    return sorted({c for c in cuts if 0 < c < m})
+
+
+def _centres(edges: np.ndarray | None, m: int) -> np.ndarray:
+    e = np.arange(1, m, dtype=float) if edges is None else np.asarray(edges, float)
+    if m == 1:
+        return np.zeros(1)
+    step = np.diff(e).mean() if len(e) > 1 else 1.0
+    return np.concatenate([[e[0] - step / 2], (e[:-1] + e[1:]) / 2, [e[-1] + step / 2]])
+
+
+SHAPES = ("ascending", "descending", "peak", "valley", "convex", "concave")
+
+
+def fits_shape(r: np.ndarray, shape: str) -> bool:
+    d = np.diff(r)
+    if shape == "ascending":
+        return bool((d >= 0).all())
+    if shape == "descending":
+        return bool((d <= 0).all())
+    if shape in ("convex", "concave"):
+        dd = np.diff(d)
+        return bool((dd >= -EPS).all() if shape == "convex" else (dd <= EPS).all())
+    sign = np.sign(d[d != 0])
+    turn = np.diff(sign)
+    return bool(len(turn[turn != 0]) <= 1 and not ((turn > 0).any() if shape == "peak" else (turn < 0).any()))
+
+
+def merge_to_shape(n, bad, cuts: list[int], shape: str) -> list[int]:
+    """Merge the pair of neighbours that costs least IV until rates have the shape."""
+    cuts = list(cuts)
+    while cuts and not fits_shape(rates(*merged(n, bad, cuts)), shape):
+        cuts = max((cuts[:k] + cuts[k + 1 :] for k in range(len(cuts))), key=lambda t: (fits_shape(rates(*merged(n, bad, t)), shape), iv(*merged(n, bad, t))))
+    return cuts
+
+
+def monotonic(n, bad, max_n_bins=5, min_size=0.0, monotonic="auto", init_n_bins=20, **_) -> list[int]:
+    """Equal-frequency cells merged to the asked shape; ``auto`` takes the shape that keeps most IV."""
+    n, bad, cuts0 = _coarse(n, bad, init_n_bins)
+    start = constrain(n, bad, list(range(1, len(n))), len(n), min_size, None, False, 0.0)
+    shapes = ("ascending", "descending") if monotonic in ("auto", True) else SHAPES if monotonic == "auto_all" else (monotonic,)
+    found = []
+    for shape in shapes:
+        cuts = merge_to_shape(n, bad, start, shape)
+        while len(cuts) + 1 > max_n_bins:
+            cuts = max((cuts[:k] + cuts[k + 1 :] for k in range(len(cuts))), key=lambda t: (fits_shape(rates(*merged(n, bad, t)), shape), iv(*merged(n, bad, t))))
+        found.append(cuts)
+    best = max(found, key=lambda c: iv(*merged(n, bad, c)))
+    return [cuts0[c - 1] for c in best]
+
+
+def genetic(n, bad, max_n_bins=5, min_size=0.0, population_size=50, generations=60, mutation_rate=0.1, crossover_rate=0.8, objective="iv", seed=42, **_) -> list[int]:
+    """Genetic search over border sets: tournaments, uniform crossover, mutation, the best two survive."""
+    n, bad, cuts0 = _coarse(n, bad, 40)
+    rng, m = np.random.default_rng(seed), len(n) - 1
+    measure = ks if objective == "ks" else iv
+
+    def fitness(mask: np.ndarray) -> float:
+        cuts = (np.flatnonzero(mask) + 1).tolist()
+        a, b = merged(n, bad, cuts)
+        return measure(a, b) - 10 * max(0, len(cuts) + 1 - max_n_bins) - 10 * float((a < min_size).sum()) if cuts else 0.0
+
+    pool = rng.random((population_size, m)) < (max_n_bins - 1) / max(m, 1)
+    score = np.array([fitness(p) for p in pool])
+    for _g in range(generations):
+        order = np.argsort(-score, kind="stable")
+        new = [pool[order[0]].copy(), pool[order[1]].copy()]
+        while len(new) < population_size:
+            a, b = (pool[max(rng.integers(0, population_size, 3), key=lambda k: score[k])] for _p in range(2))
+            child = np.where(rng.random(m) < 0.5, a, b) if rng.random() < crossover_rate else a.copy()
+            child ^= rng.random(m) < mutation_rate / max(m, 1) * 4
+            new.append(child)
+        pool = np.array(new)
+        score = np.array([fitness(p) for p in pool])
+    return [cuts0[c] for c in np.flatnonzero(pool[int(score.argmax())]).tolist()]
+
+
+def smooth(n, bad, max_n_bins=5, min_size=0.0, smoothing=0.5, **_) -> list[int]:
+    """Merge neighbours with the closest Laplace-smoothed bad rates."""
+    cuts = list(range(1, len(n)))
+    base = bad.sum() / max(n.sum(), 1)
+    while cuts:
+        a, b = merged(n, bad, cuts)
+        if len(cuts) + 1 <= max_n_bins and a.min() >= min_size:
+            break
+        k = smoothing * math.sqrt(max(a.mean(), 1))
+        r = (b + k * base) / (a + k)
+        gap = np.abs(np.diff(r)) + np.where((a[:-1] < min_size) | (a[1:] < min_size), -1.0, 0.0)
+        del cuts[int(gap.argmin())]
+    return cuts
+
+
+def kernel_density(n, bad, max_n_bins=5, min_size=0.0, edges=None, bandwidth=None, min_peak_height=0.05, **_) -> list[int]:
+    """Borders in the valleys of a Gaussian density of the cells; IV splits where it has none."""
+    x = _centres(edges, len(n))
+    mean = np.average(x, weights=np.maximum(n, EPS))
+    sd = math.sqrt(np.average((x - mean) ** 2, weights=np.maximum(n, EPS))) or 1.0
+    h = bandwidth or 1.06 * sd * max(len(n), 2) ** -0.4
+    density = (n[None, :] * np.exp(-0.5 * ((x[:, None] - x[None, :]) / h) ** 2)).sum(axis=1)
+    inner = np.arange(1, len(x) - 1)
+    valley = inner[(density[inner] <= density[inner - 1]) & (density[inner] < density[inner + 1])] if len(x) > 2 else np.zeros(0, int)
+    depth = [(min(density[: v + 1].max(), density[v:].max()) - density[v], int(v)) for v in valley]
+    cuts = sorted(v for d, v in sorted(depth, reverse=True)[: max_n_bins - 1] if d >= min_peak_height * density.max())
+    return cuts or best_iv(n, bad, max_n_bins, min_size)
+
+
+def target_bad_rate(n, bad, max_n_bins=5, min_size=0.0, target_bad_rates=None, **_) -> list[int]:
+    """Borders where a bin's bad rate comes closest to each asked rate in turn; without rates the largest spread between bins."""
+    if not target_bad_rates:
+        between = lambda a, b: (float((a * (rates(a, b) - bad.sum() / max(n.sum(), 1)) ** 2).sum()),)
+        return _forward(n, bad, max_n_bins, min_size, between)
+    cn, cb = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(bad)])
+    cuts, at = [], 0
+    for goal in target_bad_rates[: max_n_bins - 1]:
+        i = np.arange(at + 1, len(n))
+        i = i[(cn[i] - cn[at] >= max(min_size, 1)) & (cn[-1] - cn[i] >= max(min_size, 1))] if len(i) else i
+        if not len(i):
+            break
+        r = (cb[i] - cb[at]) / (cn[i] - cn[at])
+        at = int(i[np.abs(r - goal).argmin()])
+        cuts.append(at)
+    return cuts
+
+
+def constrain(n, bad, cuts: list[int], max_n_bins: int, min_size: float, max_size: float | None, monotone: str | bool, min_bad_rate: float = 0.0) -> list[int]:
+    """Size limits, monotone merge, size limits, bin limit, least bad rate."""
+    cuts = _sizes(n, bad, sorted(set(cuts)), min_size, max_size)
+    if monotone:
+        names = {True: ("ascending", "descending"), "auto": SHAPES[:4], "auto_asc_desc": ("ascending", "descending"), "auto_heuristic": SHAPES[:4]}.get(monotone, (str(monotone).removesuffix("_heuristic"),))
+        cuts = max((merge_to_shape(n, bad, cuts, s) for s in names), key=lambda c: iv(*merged(n, bad, c)))
+        cuts = _sizes(n, bad, cuts, min_size, None)
+    while len(cuts) + 1 > max_n_bins:
+        r = rates(*merged(n, bad, cuts))
+        del cuts[int(np.abs(np.diff(r)).argmin())]
+    while min_bad_rate and cuts and (r := rates(*merged(n, bad, cuts))).min() < min_bad_rate:
+        _join(cuts, r, int(r.argmin()))
+    return cuts
+
+
+def _join(cuts: list[int], r: np.ndarray, k: int) -> None:
+    """Merge bin k with the neighbour of the closer rate."""
+    left = abs(r[k] - r[k - 1]) if k else np.inf
+    right = abs(r[k] - r[k + 1]) if k < len(cuts) else np.inf
+    del cuts[k - 1 if left <= right else k]
+
+
+def _sizes(n, bad, cuts: list[int], min_size: float, max_size: float | None) -> list[int]:
+    cuts = list(cuts)
+    for _ in range(200):
+        a, b = merged(n, bad, cuts)
+        small = int(a.argmin())
+        if cuts and a[small] < min_size:
+            _join(cuts, rates(a, b), small)
+            continue
+        large = int(a.argmax())
+        if max_size is None or a[large] <= max_size:
+            break
+        lo, hi = [0, *cuts][large], [*cuts, len(n)][large]
+        inner = np.arange(lo + 1, hi)
+        left = np.cumsum(n[lo:hi])[:-1]
+        ok = (left >= min_size) & (a[large] - left >= min_size)
+        if not ok.any():
+            break
+        cuts = sorted([*cuts, int(inner[ok][np.abs(left[ok] - a[large] / 2).argmin()])])
+    return cuts
+
+
+# --- composite objectives for ``optimal(custom_objective=...)`` ---
+
+def _lift(n, bad) -> np.ndarray:
+    return rates(n, bad) / max(bad.sum() / max(n.sum(), 1), EPS)
+
+
+def max_lift_iv(weight: float = 0.5):
+    return lambda n, bad: weight * float(_lift(n, bad).max()) + (1 - weight) * iv(n, bad)
+
+
+def min_lift_iv(weight: float = 0.5):
+    return lambda n, bad: -weight * float(_lift(n, bad).min()) + (1 - weight) * iv(n, bad)
+
+
+def lift_distance_iv(weight: float = 0.5, side: str = "both"):
+    def measure(n, bad) -> float:
+        lift = _lift(n, bad)
+        far = {"max": lift.max() - 1, "min": 1 - lift.min(), "both": lift.max() - lift.min()}[side]
+        return weight * float(far) + (1 - weight) * iv(n, bad)
+
+    return measure
+
+
+def max_ks_iv(weight: float = 0.5):
+    return lambda n, bad: weight * ks(n, bad) + (1 - weight) * iv(n, bad)
+
+
+def woe_variance_iv(weight: float = 0.5):
+    return lambda n, bad: weight * float(np.var(woe(n, bad))) + (1 - weight) * iv(n, bad)
