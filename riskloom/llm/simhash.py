@@ -17,6 +17,7 @@ not null.  Very long texts are hashed in slices of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -144,14 +145,14 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
             out = []
             for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if hi > lo:
-                    used, index = np.unique(owner[lo:hi], return_inverse=True)
-                    out.append((b, 0, low[lo:hi].tobytes(), planes(index.astype(np.int32)), planes(own[used])))
+                    used, index = np.unique(owner[lo:hi][np.argsort(low[lo:hi], kind="stable")], return_inverse=True)
+                    out.append((b, 0, planes(np.diff(np.sort(low[lo:hi]), prepend=np.uint32(0))), planes(index.astype(np.int32)), planes(own[used])))
             yield from blobs(out).to_batches()
 
     def meet(table: pa.Table) -> pa.Table:
         keys, owner = [], []
         for x, y, z in zip(*(table[c].to_pylist() for c in "xyz")):
-            keys.append(np.frombuffer(x, np.uint32))
+            keys.append(np.cumsum(unplanes(x, np.uint32), dtype=np.uint32))
             owner.append(unplanes(z, np.int64)[unplanes(y, np.int32)])
         keys, owner = np.concatenate(keys), np.concatenate(owner)
         order = np.argsort(keys, kind="stable")
@@ -204,9 +205,19 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col:
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
+    most = int(TABLES * WIDTH * (math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.06))  # differing bits at that similarity, and four deviations
+
+    @tidy
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+
     rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     classes = cut(rows.mapInArrow(draw, schema).groupBy("key").agg(F.first("sketch").alias("sketch")))
-    pairs = cut(_candidates(classes, classes.count()))
+    met = _candidates(classes, classes.count()).join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = cut(met.mapInArrow(close, "a long, b long"))
     ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
     shingles = cut(rows.join(ends, "key", "left_semi").mapInArrow(sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
