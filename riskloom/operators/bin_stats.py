@@ -46,14 +46,14 @@ def table_from_counts(counts: DataFrame, by: list[str] | None = None, clip: floa
         F.sum(some("good")).over(own).alias("a_good"), F.sum(some("bad")).over(own).alias("a_bad"),
     )
     n, bad, tn, tb = (F.col(c) for c in ("n", "bad", "t_n", "t_bad"))
-    overall = tb / tn
+    overall = F.coalesce(F.try_divide(tb, tn), F.lit(0.0))
     rate = F.when(n > 0, bad / n).otherwise(0.0)
 
     def effects(count: Column, bads: Column, rate_: Column) -> tuple[Column, Column, Column]:
         lift = F.when(overall > 0, rate_ / overall).otherwise(0.0)
         rest = F.when(tn > count, (tb - bads) / (tn - count)).otherwise(0.0)
         improve = F.when(overall > 0, (overall - rest) / overall).otherwise(0.0)
-        part = count / tn
+        part = F.coalesce(F.try_divide(count, tn), F.lit(0.0))
         return lift, improve, part if amount else F.when(part > 0, improve / part).otherwise(0.0)
 
     lift, improve, reject = effects(n, bad, rate)
@@ -62,7 +62,7 @@ def table_from_counts(counts: DataFrame, by: list[str] | None = None, clip: floa
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     rows = rows.withColumns({"woe": woe, "iv_bin": iv, "lift": lift, "bad_improve": improve, "risk_reject": reject, "cum_lift": c_lift, "cum_bad_improve": c_improve, "cum_risk_reject": c_reject})
     return rows.select(
-        *by, "bin", "n", "good", "bad", (n / tn).alias("n_share"), ratio("good", "t_good").alias("good_share"), ratio("bad", "t_bad").alias("bad_share"), rate.alias("bad_rate"), "woe", "iv_bin",
+        *by, "bin", "n", "good", "bad", F.coalesce(F.try_divide(n, tn), F.lit(0.0)).alias("n_share"), ratio("good", "t_good").alias("good_share"), ratio("bad", "t_bad").alias("bad_share"), rate.alias("bad_rate"), "woe", "iv_bin",
         F.sum("iv_bin").over(own).alias("iv_total"), "lift", "bad_improve", "risk_reject", "cum_lift", "cum_bad_improve", "cum_risk_reject", "cum_good", "cum_bad",
         F.abs(F.col("cum_bad") / (tb + EPS) - F.col("cum_good") / (F.col("t_good") + EPS)).alias("ks"),
     )

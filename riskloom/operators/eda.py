@@ -227,7 +227,7 @@ def segment_shares(df: DataFrame, segment: Column, is_actual: Column) -> DataFra
     """(segment, expected_share, actual_share, change, psi_part)."""
     t = df.groupBy(segment.alias("segment")).agg(F.count_if(~is_actual).alias("e"), F.count_if(is_actual).alias("a"))
     every = Window.partitionBy(F.lit(0))
-    e, a = F.col("e") / F.sum("e").over(every), F.col("a") / F.sum("a").over(every)
+    e, a = (F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0)) for c in ("e", "a"))
     return t.select("segment", e.alias("expected_share"), a.alias("actual_share"), (a - e).alias("change"), stability.psi_term(e, a).alias("psi_part"))
 
 

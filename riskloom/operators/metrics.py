@@ -65,7 +65,7 @@ def _bucket(x: Column, cuts: list[float]) -> Column:
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, highest first."""
     c = cumulate(by_score(df, label, score))
-    return c.select(F.col("score").alias("threshold"), (F.col("cum_bad") / F.col("total_bad")).alias("tpr"), ((F.col("cum_n") - F.col("cum_bad")) / (F.col("total_n") - F.col("total_bad"))).alias("fpr"))
+    return c.select(F.col("score").alias("threshold"), F.try_divide("cum_bad", "total_bad").cast("double").alias("tpr"), F.try_divide(F.col("cum_n") - F.col("cum_bad"), F.col("total_n") - F.col("total_bad")).cast("double").alias("fpr"))
 
 
 def ks_auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -75,7 +75,7 @@ def ks_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     tg, tb = F.col("total_n") - F.col("total_bad"), F.col("total_bad")
     both = F.max((tg > 0) & (tb > 0))
     out = c.agg(
-        both.alias("_both"), F.max(F.abs(F.col("cum_bad") / tb - cum_good / tg)).alias("ks"), (F.sum(F.col("bad") * (cum_good - good / 2)) / F.max(tb * tg)).alias("auc"),
+        both.alias("_both"), F.max(F.abs(F.try_divide(F.col("cum_bad"), tb) - F.try_divide(cum_good, tg))).alias("ks"), F.try_divide(F.sum(F.col("bad") * (cum_good - good / 2)), F.max(tb * tg)).alias("auc"),
         F.max("total_n").alias("n"), F.max("total_bad").alias("bad"),
     )
     valid = lambda c: F.when(F.col("_both"), c)
@@ -113,7 +113,7 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
 
 def lift(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
     y = F.col(label)
-    return df.where(y.isNotNull()).agg((F.avg(F.when(F.col(score) >= threshold, y)) / F.avg(y)).alias("lift"))
+    return df.where(y.isNotNull()).agg(F.try_divide(F.avg(F.when(F.col(score) >= threshold, y)), F.avg(y)).alias("lift"))
 
 
 def lift_at(df: DataFrame, label: str, score: str, ratios: list[float], ascending: bool = False, key: str | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def lift_at(df: DataFrame, label: str, score: str, ratios: list[float], ascendin
     rows = c.select("*", grid.alias("ratio")).withColumn("take", F.greatest(F.lit(1), F.floor(F.col("total_n") * F.col("ratio"))))
     border = rows.where("_first < take AND cum_n >= take")
     hit = F.col("_bad0") + F.col("bad") * (F.col("take") - F.col("_first")) / F.col("n")
-    return border.select("ratio", F.col("take").cast("long").alias("n"), (hit / F.col("take") / (F.col("total_bad") / F.col("total_n"))).alias("lift"), (hit / F.col("total_bad")).alias("capture"))
+    return border.select("ratio", F.col("take").cast("long").alias("n"), F.try_divide(hit / F.col("take"), F.col("total_bad") / F.col("total_n")).alias("lift"), F.try_divide(hit, F.col("total_bad")).cast("double").alias("capture"))
 
 
 def lift_monotonicity(df: DataFrame, label: str, score: str, key: str, n_bins: int = 10) -> DataFrame:
@@ -143,7 +143,7 @@ def lift_monotonicity(df: DataFrame, label: str, score: str, key: str, n_bins: i
     out = ranked.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("y").alias("bad_rate"))
     every, order = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("bin")
     overall = F.sum(F.col("bad_rate") * F.col("n")).over(every) / F.sum("n").over(every)
-    out = out.withColumn("lift", F.col("bad_rate") / overall)
+    out = out.withColumn("lift", F.try_divide(F.col("bad_rate"), overall))
     return out.withColumn("falls", F.coalesce(F.col("lift") <= F.lag("lift").over(order) + 1e-8, F.lit(True)))
 
 
@@ -170,8 +170,8 @@ def badrate_by_group(df: DataFrame, label: str, group: str, weight: str | None =
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.where(F.col(label).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("bad"), F.sum(w * F.col(label)).alias("_b"), F.sum(w).alias("_w"))
     every = Window.partitionBy(F.lit(0))
-    rate = F.col("_b") / F.col("_w")
-    return rows.select(group, "n", "bad", rate.alias("bad_rate"), (rate - F.sum("_b").over(every) / F.sum("_w").over(every)).alias("difference"))
+    rate = F.try_divide("_b", "_w")
+    return rows.select(group, "n", "bad", rate.alias("bad_rate"), (rate - F.try_divide(F.sum("_b").over(every), F.sum("_w").over(every))).alias("difference"))
 
 
 def badrate_trend(df: DataFrame, label: str, period: Column, by: list[str] | None = None) -> DataFrame:
@@ -233,7 +233,7 @@ def class_sum_chi2(df: DataFrame, features: list[str], label: str) -> DataFrame:
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("y"), cells.alias("c"))
     per = rows.groupBy("c.feature", "y").agg(F.count("*").alias("n"), F.coalesce(F.sum("c.x"), F.lit(0.0)).alias("o"))
     w = Window.partitionBy("feature")
-    per = per.withColumn("e", F.sum("o").over(w) * F.col("n") / F.sum("n").over(w))
+    per = per.withColumn("e", F.try_divide(F.sum("o").over(w) * F.col("n"), F.sum("n").over(w)))
     return per.groupBy("feature").agg(F.coalesce(F.sum(F.try_divide(F.pow(F.col("o") - F.col("e"), 2), F.col("e"))), F.lit(0.0)).alias("chi2"))
 
 

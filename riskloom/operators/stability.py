@@ -25,7 +25,7 @@ def psi_table(df: DataFrame, model: BinModel, is_actual: Column, floor: float =
     """(bin, expected_n, actual_n, expected_share, actual_share, psi_bin, psi): both samples in one conditional aggregate, no join."""
     rows = df.groupBy(model.index().alias("bin")).agg(F.count_if(~is_actual).alias("expected_n"), F.count_if(is_actual).alias("actual_n"))
     every = Window.partitionBy(F.lit(0))
-    share = lambda c: F.col(c) / F.sum(c).over(every)
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(every)), F.lit(0.0))
     rows = rows.select("*", share("expected_n").alias("expected_share"), share("actual_n").alias("actual_share"))
     rows = rows.withColumn("psi_bin", psi_term(F.col("expected_share"), F.col("actual_share"), floor))
     return rows.withColumn("psi", F.sum("psi_bin").over(every))
@@ -36,7 +36,7 @@ def batch_psi(df: DataFrame, models: dict[str, BinModel], is_actual: Column, flo
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), m.index().alias("bin")) for f, m in models.items()]))
     rows = df.select(is_actual.alias("_a"), cells.alias("_c")).groupBy("_c.feature", "_c.bin").agg(F.count_if(~F.col("_a")).alias("e"), F.count_if("_a").alias("a"))
     own = Window.partitionBy("feature")
-    rows = rows.withColumn("t", psi_term(F.col("e") / F.sum("e").over(own), F.col("a") / F.sum("a").over(own), floor))
+    rows = rows.withColumn("t", psi_term(*[F.coalesce(F.try_divide(F.col(c), F.sum(c).over(own)), F.lit(0.0)) for c in ("e", "a")], floor))
     return rows.groupBy("feature").agg(F.sum("t").alias("psi"))
 
 

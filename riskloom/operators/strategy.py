@@ -57,9 +57,9 @@ def vintage_performance(df: DataFrame, vintage: str, mob: str, label: str, point
     out = []
     for p in points:
         m = F.col(mob) <= p
-        out += [F.count_if(m).alias(f"n_{p}"), (F.sum(F.when(m, F.col(label))) / F.count_if(m)).alias(f"bad_rate_{p}")]
+        out += [F.count_if(m).alias(f"n_{p}"), F.try_divide(F.sum(F.when(m, F.col(label))), F.count_if(m)).cast("double").alias(f"bad_rate_{p}")]
         if a is not None:
-            out.append((F.sum(F.when(m, a * F.col(label))) / F.sum(F.when(m, a))).alias(f"amount_rate_{p}"))
+            out.append(F.try_divide(F.sum(F.when(m, a * F.col(label))), F.sum(F.when(m, a))).alias(f"amount_rate_{p}"))
     return df.where(F.col(label).isNotNull()).groupBy(F.col(vintage).alias("vintage")).agg(*out)
 
 
@@ -119,7 +119,7 @@ def swap_report(df: DataFrame, model: BinModel, rates: dict[int, float], overall
     p = F.when(F.col("swap_type") == "out-in", F.least(p * uplift, F.lit(1.0))).otherwise(p)
     w = F.lit(1.0) if amount is None else F.col(amount).cast("double")
     t = df.groupBy("swap_type").agg(F.count("*").alias("n"), F.sum(w).alias("weight"), F.sum(w * p).alias("expected_bad"))
-    return t.select("swap_type", "n", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("share"), "expected_bad", (F.col("expected_bad") / F.col("weight")).alias("bad_rate"))
+    return t.select("swap_type", "n", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("share"), "expected_bad", F.try_divide("expected_bad", "weight").alias("bad_rate"))
 
 
 def swap_summary(report: DataFrame) -> DataFrame:
