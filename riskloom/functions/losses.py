@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EPS = 1e-15
+EPS = 1e-7
 
 
 def sigmoid(x: Column) -> Column:
@@ -60,7 +60,7 @@ class CrossEntropy(Loss):
 class Focal(Loss):
     """-alpha_t (1 - p_t)^gamma log p_t."""
 
-    alpha: float = 0.75
+    alpha: float = 0.25
     gamma: float = 2.0
 
     def _t(self, y, p) -> tuple[Column, Column]:
@@ -78,14 +78,15 @@ class Focal(Loss):
 
 @dataclass(frozen=True)
 class Asymmetric(Loss):
-    """Focal loss with separate exponents for the classes."""
+    """Focal loss with separate exponents for the classes: alpha for the bad, 1 - alpha for the good."""
 
-    gamma_positive: float = 0.0
-    gamma_negative: float = 4.0
+    alpha: float = 0.25
+    gamma_positive: float = 2.0
+    gamma_negative: float = 1.0
 
     def value(self, y, p):
         p = clipped(p)
-        return F.when(y == 1, -F.pow(1 - p, self.gamma_positive) * F.log(p)).otherwise(-F.pow(p, self.gamma_negative) * F.log(1 - p))
+        return F.when(y == 1, -self.alpha * F.pow(1 - p, self.gamma_positive) * F.log(p)).otherwise(-(1 - self.alpha) * F.pow(p, self.gamma_negative) * F.log(1 - p))
 
 
 @dataclass(frozen=True)
@@ -102,17 +103,6 @@ class CostSensitive(Loss):
         return F.when(y == 1, -self.false_negative).otherwise(self.false_positive) * p * (1 - p)
 
 
-@dataclass(frozen=True)
-class BadDebt(Loss):
-    """Squared excess of probability-weighted bad debt over income at an approval decision."""
-
-    loss_given_default: float = 1.0
-    income: float = 0.1
-
-    def value(self, y, p):
-        return F.when(y == 1, self.loss_given_default * (1 - p)).otherwise(self.income * p)
-
-
 def balanced_weights(df: DataFrame, label: str) -> CrossEntropy:
     """Class weights n / (2 n_class) from one aggregate."""
     n, bad = df.where(F.col(label).isNotNull()).agg(F.count("*"), F.sum(label)).first()

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions import expressions, finance, losses
 from ..functions import labels as L
 from ..operators import bin_stats as B
-from ..operators import binning, eda, encoders, metrics, mining, models, scorecard, selectors, stability, strategy
+from ..operators import binning, curves, eda, encoders, metrics, mining, models, portfolio_losses, scorecard, selectors, stability, strategy
 from ..operators.binning import BinModel
 from ..operators.rules import Rule, RulesClassifier, report, waterfall
 from ..streaming import monitor
@@ -919,8 +919,8 @@ def finance_rates(spark, sf):
 # --- losses, derivation, streaming ---
 
 @query(f"""WITH d AS (SELECT {Y} AS y, {P_SQL} AS p FROM lineitem) SELECT {r('avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END)', 'cross_entropy')}, {r('avg(-CASE WHEN y = 1 THEN 3 * ln(p) ELSE ln(1 - p) END)', 'weighted')},
-  {r('avg(-CASE WHEN y = 1 THEN 0.75 * pow(1 - p, 2) * ln(p) ELSE 0.25 * pow(p, 2) * ln(1 - p) END)', 'focal')}, {r('avg(CASE WHEN y = 1 THEN 10 * (1 - p) ELSE p END)', 'cost')},
-  {r('avg(CASE WHEN y = 1 THEN -ln(p) ELSE -pow(p, 4) * ln(1 - p) END)', 'asymmetric')} FROM d""")
+  {r('avg(-CASE WHEN y = 1 THEN 0.25 * pow(1 - p, 2) * ln(p) ELSE 0.75 * pow(p, 2) * ln(1 - p) END)', 'focal')}, {r('avg(CASE WHEN y = 1 THEN 10 * (1 - p) ELSE p END)', 'cost')},
+  {r('avg(CASE WHEN y = 1 THEN -0.25 * pow(1 - p, 2) * ln(p) ELSE -0.75 * p * ln(1 - p) END)', 'asymmetric')} FROM d""")
 def loss_values(spark, sf):
     d, y, p = probabilities(spark, sf), F.col("y"), F.col("p")
     return d.agg(*[F.avg(x.value(y, p)).alias(n) for n, x in (("cross_entropy", losses.CrossEntropy()), ("weighted", losses.CrossEntropy(positive=3.0)), ("focal", losses.Focal()), ("cost", losses.CostSensitive()), ("asymmetric", losses.Asymmetric()))])
@@ -944,5 +944,80 @@ def windowed_rate(spark, sf):
     return monitor.windowed_rate(d, "ts", F.col("value") > 50, "1 day", by=["event_type"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "bad", "bad_rate")
 
 
+BCE = "(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END)"
+PD = f"d AS (SELECT {Y} AS y, {P_SQL} AS p, l_extendedprice AS a FROM lineitem)"
+
+
+@query(f"""WITH {PD}, c AS (SELECT sum(y) AS b, count(*) - sum(y) AS g, avg(a) AS ma, quantile_cont(p, 0.95) AS q FROM d), w AS (SELECT *, (0.001 / (1 - pow(0.999, b))) / (0.001 / (1 - pow(0.999, b)) + 0.001 / (1 - pow(0.999, g))) AS al FROM c)
+SELECT {r('avg(-CASE WHEN y = 1 THEN al * pow(1 - p, 2) * ln(p) ELSE (1 - al) * pow(p, 2) * ln(1 - p) END)', 'balanced_focal')}, {r('avg(CASE WHEN y = 1 AND p < 0.5 THEN 10 WHEN y = 0 AND p >= 0.5 THEN 1 ELSE 0 END)', 'cost')},
+  {r(f'avg({BCE}) - (avg(p) FILTER (WHERE y = 1) - avg(p) FILTER (WHERE y = 0)) + 0.1 * (var_pop(p) FILTER (WHERE y = 1) + var_pop(p) FILTER (WHERE y = 0))', 'ks_focused')},
+  {r(f'avg(CASE WHEN y = 1 THEN 5 * (1 - 1 / (1 + exp(-(p - q) / 0.05))) ELSE 1 / (1 + exp(-(p - q) / 0.05)) END + 0.1 * {BCE})', 'top_k')},
+  {r(f'avg(-1 / (1 + exp(-(0.5 - p) / 0.1)) * CASE WHEN y = 1 THEN -10 ELSE 1 END + 0.1 * {BCE})', 'profit')},
+  {r(f'sum(greatest(a / ma, 0.1) * {BCE}) / sum(greatest(a / ma, 0.1))', 'amount')},
+  {r(f'sum(greatest(CASE WHEN y = 1 THEN 0.5 * a ELSE 0.08 * a END, 0.1) * {BCE}) / sum(greatest(CASE WHEN y = 1 THEN 0.5 * a ELSE 0.08 * a END, 0.1))', 'stake')} FROM d, w""")
+def loss_portfolio(spark, sf):
+    d, P = probabilities(spark, sf), portfolio_losses
+    parts = {
+        "balanced_focal": P.balanced_focal(d, "y", "p"), "cost": P.cost_at_threshold(d, "y", "p", 10.0), "ks_focused": P.ks_focused(d, "y", "p"), "top_k": P.top_k_capture(d, "y", "p"), "profit": P.expected_profit(d, "y", "p"),
+        "amount": P.amount_weighted(d, "y", "p", "l_extendedprice"), "stake": P.expected_value(d, "y", "p", "l_extendedprice"),
+    }
+    return spark.createDataFrame([tuple(float(x.first()[0]) for x in parts.values())], ", ".join(f"{k} double" for k in parts))
+
+
+@query()
+def loss_ranked(spark, sf):
+    d, P = probabilities(spark, sf), portfolio_losses
+    parts = {"lift_focused": P.lift_focused(d, "y", "p"), "ranking_hinge": P.ranking_hinge(d, "y", "p"), "bad_debt": P.bad_debt(d, "y", "p")}
+    return spark.createDataFrame([tuple(float(x.first()[0]) for x in parts.values())], ", ".join(f"{k} double" for k in parts))
+
+
+# --- tables behind charts ---
+
+@query(f"WITH {CURVE} SELECT {r('score', 'threshold')}, {r('db / (db + dg)', 'precision')}, {r('db / tb', 'recall')} FROM d")
+def precision_recall_points(spark, sf):
+    return curves.precision_recall(scored(spark, sf), "y", "n_chars")
+
+
+@query(f"WITH {CURVE} SELECT {r('sum(db / (db + dg) * b / tb)', 'average_precision')} FROM d")
+def average_precision(spark, sf):
+    return curves.average_precision(scored(spark, sf), "y", "n_chars")
+
+
+@query(f"WITH c AS (SELECT {bin_of('l_extendedprice', [10000, 30000, 60000])} AS bin, count(*) AS n, sum({Y}) AS bad FROM lineitem GROUP BY 1), w AS (SELECT *, sum(n) OVER o / sum(n) OVER () AS s, sum(bad) OVER o / sum(bad) OVER () AS k FROM c WINDOW o AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING)) SELECT bin, n, CAST(bad AS BIGINT) AS bad, {r('s', 'cum_share')}, {r('k', 'cum_capture')}, {r('k / s', 'cum_lift')} FROM w")
+def gain_table(spark, sf):
+    return curves.gain(lineitem(spark, sf), BinModel("l_extendedprice", [10000.0, 30000.0, 60000.0]), "y")
+
+
+@query(f"WITH {PD}, k AS (SELECT unnest([0.2, 0.5, 0.8]) AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE p >= threshold) AS cn, sum(CASE WHEN p >= threshold THEN y ELSE 0 END) AS cb, count(*) AS tn, sum(y) AS tb FROM d, k GROUP BY 1) SELECT {r('threshold', 'threshold')}, {r('cb / cn', 'precision')}, {r('cb / tb', 'recall')}, {r('2 * cb / (cn + tb)', 'f1')}, {r('cn / tn', 'rejected')} FROM c")
+def threshold_table(spark, sf):
+    return curves.thresholds(probabilities(spark, sf), "y", "p", [0.2, 0.5, 0.8])
+
+
+@query("WITH b AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) AS w FROM lineitem), c AS (SELECT CAST(" + " + ".join(f"CASE WHEN l_quantity >= lo + w * {i} / 6 THEN 1 ELSE 0 END" for i in range(1, 6)) + f" AS INTEGER) AS bin, CAST({Y} AS INTEGER) AS y, count(*) AS n FROM lineitem, b GROUP BY 1, 2) SELECT bin, CAST(y AS INTEGER) AS y, n, {r('n / sum(n) OVER (PARTITION BY y)', 'share')} FROM c")
+def histogram_by_class(spark, sf):
+    return curves.histogram_by_class(lineitem(spark, sf), "y", "l_quantity", 6)
+
+
+@query(f"SELECT {PERIODS['Q']} AS period, {bin_of('o_totalprice', [100000, 200000])} AS bin, count(*) AS n, {r('count(*) / sum(count(*)) OVER (PARTITION BY ' + PERIODS['Q'] + ')', 'n_share')}, {r(f'avg({YO})', 'bad_rate')} FROM orders GROUP BY 1, 2")
+def bin_trend(spark, sf):
+    return curves.bin_trend(orders(spark, sf), BinModel("o_totalprice", [100000.0, 200000.0]), "y", L.period("o_orderdate", "Q"))
+
+
+@query(f"SELECT {PERIODS['M']} AS period, count(*) AS n, {r('avg(CASE WHEN o_totalprice < 150000 THEN 1 ELSE 0 END)', 'approval_rate')}, {r(f'avg(CASE WHEN o_totalprice < 150000 THEN {YO} END)', 'bad_rate')} FROM orders GROUP BY 1")
+def approval_trend(spark, sf):
+    return curves.approval_trend(orders(spark, sf), F.col("o_totalprice") < 150000, L.period("o_orderdate", "M"), "y")
+
+
+@query(f"WITH d AS (SELECT {Y} AS y, l_linenumber % 7 = 0 AS a, l_linenumber % 3 = 0 AS b FROM lineitem) SELECT 'a' AS feature, {r('avg(CASE WHEN a THEN 1 ELSE 0 END)', 'missing_rate')}, {r('avg(y) FILTER (WHERE a)', 'bad_rate_missing')}, {r('avg(y) FILTER (WHERE NOT a)', 'bad_rate_present')} FROM d UNION ALL SELECT 'b', {r('avg(CASE WHEN b THEN 1 ELSE 0 END)', 'missing_rate')}, {r('avg(y) FILTER (WHERE b)', 'bad_rate_missing')}, {r('avg(y) FILTER (WHERE NOT b)', 'bad_rate_present')} FROM d")
+def missing_bad_rate(spark, sf):
+    n = F.col("l_linenumber")
+    return curves.missing_bad_rate(lineitem(spark, sf), {"a": F.when(n % 7 != 0, n), "b": F.when(n % 3 != 0, n)}, "y")
+
+
+@query(f"WITH s AS (SELECT c_mktsegment AS segment, score, count(*) AS n, sum(y) AS b FROM {JOINED} GROUP BY 1, 2), c AS (SELECT *, sum(b) OVER o AS cb, sum(n - b) OVER o AS cg, sum(b) OVER p AS tb, sum(n - b) OVER p AS tg FROM s WINDOW p AS (PARTITION BY segment), o AS (PARTITION BY segment ORDER BY score ROWS UNBOUNDED PRECEDING)) SELECT segment, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bad, {r('max(abs(cb / tb - cg / tg))', 'ks')}, {r('sum(b * (cg - (n - b) / 2)) / max(tb * tg)', 'auc')} FROM c GROUP BY 1")
+def segment_ks_auc(spark, sf):
+    return curves.segment_ks_auc(applications(spark, sf), "y", "score", "c_mktsegment")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["bin_stats_quantile"](spark, "/root/testdata/sf0.001")
