@@ -142,6 +142,7 @@ def mark_shared(buckets: int) -> "callable":
     """
 
     def reduce(table: pa.Table) -> pa.Table:
+        trim()
         packs, bucket = table["pack"].to_pylist(), table["bucket"][0].as_py()
         keys = [np.frombuffer(x, np.uint32) for x in table["x"].to_pylist()]
         n = np.array([len(k) for k in keys])

@@ -22,29 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, answers, blobs, bucket_bounds, layout, mark_shared, mix64, offer, ordered, packed, planes, runs, unplanes
+from .common import BLOB, PACK, answers, blobs, bucket_bounds, hash_words, layout, mark_shared, mix64, offer, ordered, packed, planes, runs, trim, unplanes, words_at
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(hash per word, words per text, words) of a pack."""
-    words: list[bytes] = []
-    counts = []
-    for t in texts:
-        own = t.split()
-        counts.append(len(own))
-        words += own
-    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
-    return hashes[np.fromiter(map(index.__getitem__, words), np.int64, len(words))], np.array(counts, dtype=np.int64), words
-
-
 def stretch_keys(hashes: np.ndarray, n: int) -> np.ndarray:
     """Key of the ``n`` words from each position on (positions where they fit in the pack)."""
     m = len(hashes) - n + 1
@@ -61,8 +47,10 @@ class Pack:
     """Words of one pack, laid end to end."""
 
     def __init__(self, table: pa.Table, id_col: str, text_col: str):
+        trim()
         self.ids, self.texts, self.table = ordered(table, id_col, text_col)
-        self.hashes, self.counts, self.words = word_keys(self.texts)
+        data, start, end, self.counts = words_at(self.texts)
+        self.hashes = hash_words(data, start, end)
         ends = np.cumsum(self.counts)
         self.start, self.end = ends - self.counts, ends
         self.doc = np.repeat(np.arange(len(self.ids)), self.counts)
@@ -104,7 +92,7 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     added = [T.StructField("n_words", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("cut_from", "cut_to")], T.StructField("kept", T.StringType())]
     own = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     docs = docs.select(*[docs[f.name] for f in own])
-    at = layout(docs, text_col)
+    at = layout(docs, text_col, pack_mb=2, bucket_mb=16)
     dealt = packed(docs, at, id_col)
     n_buckets = at.buckets
 
@@ -134,6 +122,7 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         ])
 
     def first_owner(table: pa.Table) -> pa.Table:
+        trim()
         packs, bucket = table["pack"].to_pylist(), table["bucket"][0].as_py()
         keys = [np.frombuffer(x, np.uint64) for x in table["x"].to_pylist()]
         least = np.concatenate([unplanes(y, np.int64) for y in table["y"].to_pylist()])
@@ -173,13 +162,11 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         lo, hi = [], []
         kept: list = []
         for i, (a, b) in enumerate(zip(p.start.tolist(), p.end.tolist())):
-            mask = gone[a:b]
+            mask, words = gone[a:b], p.texts[i].split()
+            x = y = np.zeros(0, np.int64)
             if mask.any():
                 x, y = runs(mask)
-                words = [w for w, g in zip(p.words[a:b], mask.tolist()) if not g]
-            else:
-                x = y = np.zeros(0, np.int64)
-                words = p.words[a:b]
+                words = [w for w, g in zip(words, mask.tolist()) if not g]
             lo.append(x.tolist())
             hi.append(y.tolist())
             kept.append(b" ".join(words))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, cut, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, unplanes
+from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, cut, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, trim, unplanes
 from .substring import differ, least_of
 
 NONE = np.iinfo(np.int64).max
@@ -78,6 +78,7 @@ class Pack:
     """Bytes of one pack, its fragments and their anchors."""
 
     def __init__(self, table: pa.Table, copies: set[tuple[int, int]], window: int, gram: int, id_col: str, text_col: str):
+        trim()
         self.ids, self.texts, self.table = ordered(table, id_col, text_col)
         length = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.end = np.cumsum(length)
@@ -248,6 +249,7 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         return blobs(out)
 
     def tree(table: pa.Table) -> pa.Table:
+        trim()
         bucket, packs = table["bucket"][0].as_py(), table["pack"].to_pylist()
         several, size, anchor, least, data, counts, keys = [], [], [], [], [], [], []
         for x, y, z in zip(table["x"].to_pylist(), table["y"].to_pylist(), table["z"].to_pylist()):
