@@ -137,3 +137,33 @@ def iv_for_splits(df: DataFrame, feature: str, label: str, splits: list[float])
 
 def ks_for_splits(df: DataFrame, feature: str, label: str, splits: list[float]) -> DataFrame:
     return closed_right_table(df, feature, label, splits).agg(F.max("ks").alias("ks"))
+
+
+def feature_bin_stats(
+    df: DataFrame, features: list[str], label: str | None = None, overdue: list[str] | None = None, dpds: list[float] | None = None, models: dict[str, BinModel] | None = None,
+    drop_grey: bool = False, margins: bool = False, **binning_options,
+) -> DataFrame:
+    """Bin tables of many features against one label, or against every overdue column and day limit, from one scan.
+
+    Columns: feature[, label], bin, bin_label and those of ``table_from_counts``.
+    Bins come from ``models``, or are fitted on the label (the first of the
+    overdue labels) with ``binning_options``.
+    """
+    from ..functions.labels import overdue_label, with_labels
+    from .binning import fit_many
+
+    if (label is None) == (overdue is None):
+        raise ValueError("give a label, or overdue columns with day limits")
+    by = ["feature"] if label else ["feature", "label"]
+    if models is None:
+        fit_on = df if label else df.withColumn("_y", overdue_label(overdue[0], dpds[0], drop_grey))
+        models = fit_many(fit_on, features, label or "_y", **binning_options)
+    rows = df if label else with_labels(df.select(*features, *overdue), overdue, dpds, drop_grey, keep=features)
+    counted = batch_counts(rows, models, label or "y", by[1:])
+    table = table_from_counts(counted, by)
+    if margins:
+        table = with_margins(table, by)
+    names = F.lit("total")
+    for f, m in models.items():
+        names = F.when((F.col("feature") == f) & F.col("bin").isNotNull(), m.label(F.col("bin"))).otherwise(names)
+    return table.withColumn("bin_label", names)

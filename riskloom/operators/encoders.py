@@ -97,12 +97,8 @@ def ordinal(df: DataFrame, column: str, mapping: dict[str, int] | None = None) -
 
 
 def _ranked(values: DataFrame) -> DataFrame:
-    """Distinct values numbered from 0 in order: a range sort, partition offsets, and positions inside partitions."""
-    ordered = values.sort("value").withColumn("_p", F.spark_partition_id())
-    sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("value")) - 1
-    return ordered.withColumn("_i", inside).join(F.broadcast(sizes.select("_p", offset.alias("_o"))), "_p").select("value", (F.col("_i") + F.col("_o")).cast("double").alias("code"))
+    """Distinct values numbered from 0 in order: a range sort whose partitions are counted, then numbered."""
+    return values.sort("value").rdd.zipWithIndex().map(lambda x: (x[0][0], float(x[1]))).toDF("value string, code double")
 
 
 def top_categories(df: DataFrame, column: str, max_categories: int = 10) -> list[str]:

@@ -27,7 +27,7 @@ def by_score(df: DataFrame, label: str, score: str, weight: str | None = None) -
 
 
 def cumulate(rows: DataFrame, descending: bool = True) -> DataFrame:
-    """Add cumulative and total counts in order of score without one global window.
+    """Add cumulative and total counts, and the next score, in order of score without one global window.
 
     Scores are cut into ranges by approximate percentiles; range sums (RANGES
     rows) are cumulated and joined back, and the order inside a range is a
@@ -38,15 +38,18 @@ def cumulate(rows: DataFrame, descending: bool = True) -> DataFrame:
     part = _bucket(F.col("score"), cuts)
     rows = rows.withColumn("_part", part)
     sign = F.desc if descending else F.asc
-    sums = rows.groupBy("_part").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"))
-    before = Window.orderBy(sign("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.max("score") if descending else F.min("score")
+    sums = rows.groupBy("_part").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), first.alias("_first"))
+    order = Window.partitionBy(F.lit(0)).orderBy(sign("_part"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
-    sums = sums.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_bad")], *[F.sum(c).over(every).alias(f"{c}t") for c in ("_n", "_bad")])
-    inside = Window.partitionBy("_part").orderBy(sign("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("_part", F.lead("_first").over(order).alias("_next"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_bad")], *[F.sum(c).over(every).alias(f"{c}t") for c in ("_n", "_bad")])
+    at = Window.partitionBy("_part").orderBy(sign("score"))
+    inside = at.rowsBetween(Window.unboundedPreceding, 0)
     out = rows.join(F.broadcast(sums), "_part")  # RANGES rows at most
     return out.select(
         "score", "n", "bad", (F.sum("n").over(inside) + F.col("_n0")).alias("cum_n"), (F.sum("bad").over(inside) + F.col("_bad0")).alias("cum_bad"),
-        F.col("_nt").alias("total_n"), F.col("_badt").alias("total_bad"),
+        F.col("_nt").alias("total_n"), F.col("_badt").alias("total_bad"), F.coalesce(F.lead("score").over(at), F.col("_next")).alias("next_score"),
     )
 
 
@@ -152,7 +155,7 @@ def _row_rank(rows: DataFrame, score: str, key: str) -> DataFrame:
     cuts = sorted(set(rows.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
     rows = rows.withColumn("_part", _bucket(F.col(score), cuts))
     sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    sums = sums.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    sums = sums.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), key))
     return rows.join(F.broadcast(sums), "_part").withColumn("rank", inside + F.col("_before"))
 

@@ -265,3 +265,26 @@ def tree_rules(df: DataFrame, features: list[str], label: str, kind: str = "tree
                 out[" and ".join(path)] = None
     return list(out)[:max_rules]
 
+
+
+def blend(df: DataFrame, models: dict[str, RiskModel], weights: dict[str, float] | None = None, out: str = "probability") -> DataFrame:
+    """Weighted mean of several models' probabilities."""
+    total = sum((weights or {}).get(k, 1.0) for k in models)
+    scored = df
+    for k, m in models.items():
+        scored = m.predict(scored, f"_p_{k}")
+    mean = sum((F.lit((weights or {}).get(k, 1.0) / total) * F.col(f"_p_{k}") for k in models), F.lit(0.0))
+    return scored.withColumn(out, mean).drop(*[f"_p_{k}" for k in models])
+
+
+def stack(df: DataFrame, models: dict[str, RiskModel], label: str) -> tuple[LogisticFit, Callable[[DataFrame], DataFrame]]:
+    """Logistic regression over several models' probabilities: (fit, function that adds ``probability``)."""
+    names = [f"_p_{k}" for k in models]
+
+    def scored(d: DataFrame) -> DataFrame:
+        for n, m in zip(names, models.values()):
+            d = m.predict(d, n)
+        return d
+
+    fit = logistic(scored(df), names, label)
+    return fit, lambda d: scored(d).withColumn("probability", fit.probability()).drop(*names)

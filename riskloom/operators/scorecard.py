@@ -277,12 +277,8 @@ def recalibrated_probability(df: DataFrame, p: str, label: str, is_reference: Co
 
 def drift_distance(df: DataFrame, score: str, is_reference: Column) -> DataFrame:
     """KS and Wasserstein distance of two samples of a score."""
-    from pyspark.sql import Window
-
     from .metrics import by_score, cumulate
 
     c = cumulate(by_score(df.withColumn("_s", is_reference.cast("int")), "_s", score), descending=False)
-    gap = F.abs(F.col("cum_bad") / F.col("total_bad") - (F.col("cum_n") - F.col("cum_bad")) / (F.col("total_n") - F.col("total_bad")))
-    # widths between neighbouring distinct scores, within ranges of the score
-    width = F.lead("score").over(Window.orderBy("score")) - F.col("score")
-    return c.select("score", gap.alias("gap")).withColumn("width", width).agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * F.coalesce("width", F.lit(0.0))).alias("wasserstein"))
+    gap = F.abs(F.try_divide(F.col("cum_bad"), F.col("total_bad")) - F.try_divide(F.col("cum_n") - F.col("cum_bad"), F.col("total_n") - F.col("total_bad")))
+    return c.agg(F.max(gap).alias("ks"), F.sum(gap * F.coalesce(F.col("next_score") - F.col("score"), F.lit(0.0))).alias("wasserstein"))

@@ -119,7 +119,7 @@ def by_psi(df, features, key: str, threshold=0.25, n_splits=5, n_bins=10, **kw)
 def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearson") -> np.ndarray:
     """Pairwise-complete Pearson (or Spearman, over mean ranks) correlations from one aggregate."""
     if method == "spearman":
-        df = df.select(*[_mean_rank(F.col(f"`{f}`")).alias(f) for f in features])
+        df = with_mean_ranks(df.select(*[F.col(f"`{f}`") for f in features]), features)
     k = len(features)
     pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
     out = np.eye(k)
@@ -131,8 +131,19 @@ def correlation_matrix(df: DataFrame, features: list[str], method: str = "pearso
     return out
 
 
+def with_mean_ranks(df: DataFrame, features: list[str]) -> DataFrame:
+    """Values replaced by their mean ranks: distinct values are counted and cumulated by ranges, and joined back."""
+    for f in features:
+        x = clean(f)
+        counts = df.where(x.isNotNull()).groupBy(x.alias("score")).agg(F.count("*").alias("n"), F.lit(0).alias("bad"))
+        ranks = metrics.cumulate(counts, descending=False).select(F.col("score").alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2).alias("_r"))
+        df = df.withColumn("_v", x).join(ranks, "_v", "left").drop("_v", f).withColumnRenamed("_r", f)
+    return df
+
+
 def _mean_rank(c: Column) -> Column:
-    w = Window.orderBy(c)
+    """Mean rank over a table of a few rows (bins)."""
+    w = Window.partitionBy(F.lit(0)).orderBy(c)
     return F.when(c.isNotNull(), F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2)
 
 

@@ -153,6 +153,13 @@ def bin_stats_categorical(spark, sf):
     return B.bin_stats(orders(spark, sf), m, "y").drop("bin_label")
 
 
+@query(bin_table(" UNION ALL ".join(f"SELECT '{f}' AS feature, 'od_{d}+' AS label, {bin_of(f, sp)} AS bin, count(*) AS n, sum(CASE WHEN {OD_SQL} > {d} THEN 1 ELSE 0 END) AS bad FROM lineitem GROUP BY 3" for f, sp in (("l_quantity", [10, 20, 30, 40]), ("l_discount", [0.03, 0.07])) for d in (7, 60)), by=["feature", "label"]))
+def feature_bin_stats(spark, sf):
+    d = t(spark, sf, "lineitem").withColumn("od", od())
+    m = {"l_quantity": BinModel("l_quantity", [10.0, 20.0, 30.0, 40.0]), "l_discount": BinModel("l_discount", [0.03, 0.07])}
+    return B.feature_bin_stats(d, list(m), overdue=["od"], dpds=[7, 60], models=m).drop("bin_label")
+
+
 @query("SELECT l_orderkey, l_linenumber, " + bin_of("l_extendedprice", [10000, 30000, 60000]) + " AS l_extendedprice_bin FROM lineitem")
 def bin_transform(spark, sf):
     m = {"l_extendedprice": BinModel("l_extendedprice", [10000.0, 30000.0, 60000.0])}
@@ -304,6 +311,16 @@ def correlation_pairs(spark, sf):
     return eda.correlation_pairs(t(spark, sf, "lineitem"), FEATURES, threshold=0.0).drop("rating")
 
 
+@query(f"WITH q AS (SELECT p_size, p_retailprice, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2 AS b FROM part) SELECT 'p_size' AS feature_a, 'p_retailprice' AS feature_b, {r('corr(a, b)', 'correlation')} FROM q")
+def correlation_spearman(spark, sf):
+    return eda.correlation_pairs(t(spark, sf, "part"), ["p_size", "p_retailprice"], threshold=0.0, method="spearman").drop("rating")
+
+
+@query(f"WITH s AS (SELECT l_extendedprice AS x, count(*) FILTER (WHERE l_linenumber <= 3) AS a, count(*) FILTER (WHERE l_linenumber > 3) AS b FROM lineitem GROUP BY 1), c AS (SELECT x, lead(x) OVER (ORDER BY x) - x AS w, abs(sum(a) OVER o / sum(a) OVER () - sum(b) OVER o / sum(b) OVER ()) AS g FROM s WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)) SELECT {r('max(g)', 'ks')}, {r('sum(g * coalesce(w, 0))', 'wasserstein')} FROM c")
+def drift_distance(spark, sf):
+    return scorecard.drift_distance(t(spark, sf, "lineitem"), "l_extendedprice", F.col("l_linenumber") <= 3)
+
+
 @query(" UNION ALL ".join(f"SELECT '{f}' AS feature, {r('1 / (1 - pow(corr(l_quantity, l_extendedprice), 2))', 'vif')} FROM lineitem" for f in ("l_quantity", "l_extendedprice")))
 def vif_pair(spark, sf):
     return eda.vif_table(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]).drop("rating")
@@ -482,6 +499,16 @@ def psi_by_year(spark, sf):
     return stability.psi_by_period(d, {"o_totalprice": stability.pooled_model(d, "o_totalprice")}, L.period("o_orderdate", "Y"))
 
 
+@query(f"""
+WITH {PSI_EDGES}, c AS (SELECT o_orderpriority AS s, year(o_orderdate)::VARCHAR AS period, {bin_of('o_totalprice', edges='e')} AS bin, count(*) AS n FROM orders, e GROUP BY 1, 2, 3),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY s, period) AS a FROM c), k AS (SELECT DISTINCT s, period FROM c), b AS (SELECT DISTINCT bin FROM c),
+g AS (SELECT k.s, k.period, coalesce(x.a, 0) AS a, coalesce(f.a, 0) AS e, coalesce(x.n, 0) AS n FROM k CROSS JOIN b LEFT JOIN s x ON x.s = k.s AND x.period = k.period AND x.bin = b.bin LEFT JOIN s f ON f.s = k.s AND f.period = '1995' AND f.bin = b.bin)
+SELECT s AS o_orderpriority, 'o_totalprice' AS feature, period, CAST(sum(n) AS BIGINT) AS n, {r('sum(' + psi('e', 'a') + ')', 'psi')} FROM g GROUP BY 1, 3""")
+def psi_by_segment_and_year(spark, sf):
+    d = t(spark, sf, "orders")
+    return stability.psi_by_period(d, {"o_totalprice": stability.pooled_model(d, "o_totalprice")}, L.period("o_orderdate", "Y"), base="1995", by=["o_orderpriority"])
+
+
 @query(f"""
 WITH {PSI_EDGES}, c AS (SELECT o_orderpriority AS g, {bin_of('o_totalprice', edges='e')} AS bin, count(*) AS n FROM orders, e GROUP BY 1, 2), s AS (SELECT *, n / sum(n) OVER (PARTITION BY g) AS x FROM c)
 SELECT a.g AS group_a, b.g AS group_b, {r('sum(' + psi('a.x', 'b.x') + ')', 'psi')} FROM s a JOIN s b ON a.bin = b.bin AND a.g < b.g GROUP BY 1, 2""")
