@@ -25,6 +25,18 @@ MISSING, SPECIAL = -1, -2
 EXACT_DISTINCT = 2_000_000
 
 
+def bucket(x: Column, cuts: list[float]) -> Column:
+    """How many cuts are at or under x, by a balanced tree of comparisons."""
+
+    def walk(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= float(cuts[mid]), walk(mid + 1, hi)).otherwise(walk(lo, mid))
+
+    return walk(0, len(cuts)).cast("int")
+
+
 @dataclass
 class BinModel:
     """Bins of one feature: [a, b) intervals between ``splits``, or groups of categories; missing is -1, special codes -2."""
@@ -54,10 +66,7 @@ class BinModel:
         out = F.when(x.isNull(), missing)
         if self.special:
             out = out.when(x.isin(*[float(s) for s in self.special]), SPECIAL)
-        n = F.lit(0)
-        for s in self.splits:
-            n = n + (x >= float(s)).cast("int")
-        return out.otherwise(n).cast("int")
+        return out.otherwise(bucket(x, self.splits)).cast("int")
 
     def labels(self) -> dict[int, str]:
         if self.groups is not None:

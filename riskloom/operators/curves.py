@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import clean
 from .binning import BinModel, fit_binning
-from .metrics import RANGES, _bucket, by_score, cumulate
+from .metrics import _bucket, by_score, cumulate, ranges_of
 
 
 def precision_recall(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -71,7 +71,8 @@ def missing_bad_rate(df: DataFrame, features: dict[str, Column], label: str) ->
 def segment_ks_auc(df: DataFrame, label: str, score: str, segment: str) -> DataFrame:
     """(segment, n, bad, ks, auc); the order inside a segment is taken over score ranges, so that a large segment is not one task."""
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(segment).alias("segment"), F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("bad"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
+    k = ranges_of(rows)
+    cuts = sorted(set(rows.agg(F.percentile_approx("score", [i / k for i in range(1, k)], 10_000)).first()[0] or []))
     rows = rows.withColumn("part", _bucket(F.col("score"), cuts))
     sums = rows.groupBy("segment", "part").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
     before, own = Window.partitionBy("segment").orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("segment")

@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 
 from .bin_stats import counts, table_from_counts
 from .binning import BinModel, fit_binning
+from .binning import bucket as _bucket
 
-RANGES = 256
+
+def ranges_of(df: DataFrame) -> int:
+    """How many ranges an order is cut into: as many as the session has shuffle partitions, 8 to 1000."""
+    return max(8, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def by_score(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
@@ -29,12 +33,12 @@ def by_score(df: DataFrame, label: str, score: str, weight: str | None = None) -
 def cumulate(rows: DataFrame, descending: bool = True) -> DataFrame:
     """Add cumulative and total counts, and the next score, in order of score without one global window.
 
-    Scores are cut into ranges by approximate percentiles; range sums (RANGES
-    rows) are cumulated and joined back, and the order inside a range is a
+    Scores are cut into ranges by approximate percentiles; range sums (a row
+    each) are cumulated and joined back, and the order inside a range is a
     window over that range alone.
     """
-    cuts = rows.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    k = ranges_of(rows)
+    cuts = sorted(set(rows.agg(F.percentile_approx("score", [i / k for i in range(1, k)], 10_000)).first()[0] or []))
     part = _bucket(F.col("score"), cuts)
     rows = rows.withColumn("_part", part)
     sign = F.desc if descending else F.asc
@@ -46,25 +50,13 @@ def cumulate(rows: DataFrame, descending: bool = True) -> DataFrame:
     sums = sums.select("_part", F.lead("_first").over(order).alias("_next"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_bad")], *[F.sum(c).over(every).alias(f"{c}t") for c in ("_n", "_bad")])
     at = Window.partitionBy("_part").orderBy(sign("score"))
     inside = at.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(sums), "_part")  # RANGES rows at most
+    out = rows.join(F.broadcast(sums), "_part")  # a row per range
     return out.select(
         "score", "n", "bad", (F.sum("n").over(inside) + F.col("_n0")).alias("cum_n"), (F.sum("bad").over(inside) + F.col("_bad0")).alias("cum_bad"),
         F.col("_nt").alias("total_n"), F.col("_badt").alias("total_bad"), F.coalesce(F.lead("score").over(at), F.col("_next")).alias("next_score"),
     )
 
 
-def _bucket(x: Column, cuts: list[float]) -> Column:
-    """How many cuts are at or under x, by a balanced tree of comparisons."""
-
-    def walk(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= cuts[mid], walk(mid + 1, hi)).otherwise(walk(lo, mid))
-
-    return walk(0, len(cuts)).cast("int")
-
-
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, highest first."""
     c = cumulate(by_score(df, label, score))
@@ -152,7 +144,8 @@ def lift_monotonicity(df: DataFrame, label: str, score: str, key: str, n_bins: i
 
 def _row_rank(rows: DataFrame, score: str, key: str) -> DataFrame:
     """Rank of every row by falling ``score``, then ``key``: ranges are counted, and ranked inside."""
-    cuts = sorted(set(rows.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []))
+    k = ranges_of(rows)
+    cuts = sorted(set(rows.agg(F.percentile_approx(score, [i / k for i in range(1, k)], 10_000)).first()[0] or []))
     rows = rows.withColumn("_part", _bucket(F.col(score), cuts))
     sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     sums = sums.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
