@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, tidy, unplanes, words_at
+from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, tidy, trim, unplanes, words_at
 from .graph import components
 from .substring import stretch_keys
 
@@ -103,6 +103,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
 # --- near duplicates by similarity: several short fingerprints, verified exactly ---
 
 TABLES, WIDTH = 20, 32
+#: Orders in which the owners of a variant elect their first.
+TURNS = 5
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -128,7 +130,11 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _candidates(classes: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs (a, b) of class keys that share a variant: each owner of a variant with the least and with the one before it."""
+    """Distinct pairs (a, b) of class keys that share a variant: each owner of a variant with the first of its owners.
+
+    First in one of TURNS hashed orders, which one depends on the fingerprint:
+    so a text meets several others of a large group, never all of them.
+    """
     n_buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (WIDTH + 1) // 4_000_000)
     flips = np.array([0, *(1 << i for i in range(WIDTH))], dtype=np.uint64)
     tables = np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(WIDTH)
@@ -141,32 +147,36 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
             keys = mix64((tables | values ^ flips).ravel())
             order = np.argsort(keys)
             keys, owner = keys[order], (order // (TABLES * (WIDTH + 1))).astype(np.int32)
+            turn = order // (WIDTH + 1) % TABLES % TURNS
             cuts, low = bucket_bounds(keys, n_buckets).tolist(), spread(keys, n_buckets)
             out = []
             for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                 if hi > lo:
-                    used, index = np.unique(owner[lo:hi][np.argsort(low[lo:hi], kind="stable")], return_inverse=True)
-                    out.append((b, 0, planes(np.diff(np.sort(low[lo:hi]), prepend=np.uint32(0))), planes(index.astype(np.int32)), planes(own[used])))
+                    by = np.argsort(low[lo:hi], kind="stable")
+                    used, index = np.unique(owner[lo:hi][by], return_inverse=True)
+                    out.append((b, 0, planes(np.diff(np.sort(low[lo:hi]), prepend=np.uint32(0))), planes((index * 8 + turn[lo:hi][by]).astype(np.int32)), planes(own[used])))
             yield from blobs(out).to_batches()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, owner = [], []
+        trim()
+        keys, owner, turn = [], [], []
         for x, y, z in zip(*(table[c].to_pylist() for c in "xyz")):
+            index = unplanes(y, np.int32)
             keys.append(np.cumsum(unplanes(x, np.uint32), dtype=np.uint32))
-            owner.append(unplanes(z, np.int64)[unplanes(y, np.int32)])
-        keys, owner = np.concatenate(keys), np.concatenate(owner)
+            owner.append(unplanes(z, np.int64)[index // 8])
+            turn.append((index % 8).astype(np.uint64))
+        keys, owner, turn = np.concatenate(keys), np.concatenate(owner), np.concatenate(turn)
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         pick = np.zeros(len(order), bool)
         pick[1:] |= same
         pick[:-1] |= same
-        keys, owner = keys[order[pick]], owner[order[pick]]
-        order = np.lexsort((owner, keys))
+        keys, owner, turn = keys[order[pick]], owner[order[pick]], turn[order[pick]]
+        order = np.lexsort((mix64(owner.view(np.uint64) ^ turn * np.uint64(0x9E3779B97F4A7C15)), keys))
         keys, owner = keys[order], owner[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        least = np.repeat(owner[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
-        rest = np.flatnonzero(~new)
-        pairs = np.concatenate([np.stack([least[rest], owner[rest]]), np.stack([owner[rest - 1], owner[rest]])], axis=1)
+        leader = np.repeat(owner[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
+        pairs = np.stack([np.minimum(leader, owner), np.maximum(leader, owner)])
         pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
