@@ -24,12 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import MB, ranges, text_slices, tidy
+from .common import MB, ranges, text_slices, tidy, trim
 
 LONG = 256
 NONE = np.int32(2**31 - 1)
 #: Entries of the pre-token cache of one worker.
-CACHE = 150_000
+CACHE = 80_000
+#: Tokens decoded at a time.
+TOKENS = 100_000
 
 
 class Codec:
@@ -53,6 +55,8 @@ class Codec:
         self._hash(np.array([a * self.size + b for a, b in pairs], dtype=np.int64), np.array([*pairs.values()], dtype=np.int32))
         self.cache: dict[str, int] = {}
         self._reset()
+        del ranks, tokens, pairs
+        trim()
 
     def _reset(self) -> None:
         self.cache.clear()
@@ -225,7 +229,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            trim()
+            for part in text_slices(batch, text_col, MB // 2):
                 ids, counts = own.encode(part.column(part.schema.get_field_index(text_col)).to_pylist())
                 column = pa.ListArray.from_arrays(_offsets(counts), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[f.name for f in schema.fields])
@@ -242,12 +247,14 @@ def decode(docs: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_c
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.slice(lo, 1000)
+            trim()
+            sizes = np.array([x or 0 for x in pc.list_value_length(batch.column(batch.schema.get_field_index(ids_col))).to_pylist()], dtype=np.int64)
+            edge = np.flatnonzero(np.diff(np.cumsum(sizes) // TOKENS)) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)]):
+                part, counts = batch.slice(lo, hi - lo), sizes[lo:hi]
                 lists = part.column(part.schema.get_field_index(ids_col))
-                counts = np.array([x or 0 for x in pc.list_value_length(lists).to_pylist()], dtype=np.int64)
-                flat, sizes = own.decode(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), counts)
-                column = pa.Array.from_buffers(pa.binary(), len(part), [None, _offsets(sizes).buffers()[1], pa.py_buffer(flat.tobytes())])
+                flat, n_bytes = own.decode(pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                column = pa.Array.from_buffers(pa.binary(), len(part), [None, _offsets(n_bytes).buffers()[1], pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[f.name for f in schema.fields])
 
     return docs.select(*[docs[f.name] for f in rest]).mapInArrow(work, schema)

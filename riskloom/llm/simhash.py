@@ -135,13 +135,13 @@ def _candidates(classes: DataFrame, n: int) -> DataFrame:
     First in one of TURNS hashed orders, which one depends on the fingerprint:
     so a text meets several others of a large group, never all of them.
     """
-    n_buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (WIDTH + 1) // 4_000_000)
+    n_buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (WIDTH + 1) // 1_000_000)
     flips = np.array([0, *(1 << i for i in range(WIDTH))], dtype=np.uint64)
     tables = np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(WIDTH)
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, 2500) for b in batches for lo in range(0, len(b), 2500)):
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
             own = batch.column(0).to_numpy()
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, TABLES, 1).astype(np.uint64)
             keys = mix64((tables | values ^ flips).ravel())
