@@ -12,21 +12,30 @@ match; a vectorised test of those leaves only the stretches that the automaton
 must walk, which changes no result.
 
 The items go in blocks of bounded size (``block_words``), each a broadcast of
-its own; documents are read once per block.  Null text has no words.  Items
-without words, and repeated items, are allowed (each item keeps its own id).
+its own; documents are read once per block, and what the blocks hit in a row is
+united before anything is counted or cut, so that the block size changes no
+result of ``hits``.  Null text has no words.  Items without words, and repeated items, are
+allowed (each item keeps its own id).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, tidy
+from .common import cut, runs, tidy
+
+#: Internal column; a column of this name in the input is not allowed.
+ROW = "_row"
+MARKS = "n_words long, longest long, hit_from array<long>, hit_to array<long>, item_ids array<long>"
 
 #: ASCII bytes that are neither digits nor lower-case letters become spaces.
 FOLD = bytes(32 if i < 0x30 or 0x39 < i < 0x61 or 0x7A < i < 0x80 else i for i in range(256))
@@ -171,41 +180,82 @@ def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, byte
         yield own
 
 
+def _split(items: DataFrame, block_words: int) -> tuple[list[tuple[int, bytes]], Iterator[list[tuple[int, bytes]]] | None]:
+    """(the only block, None), or (no items, all blocks) if there are several."""
+    plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.encode("text", "UTF-8").alias("text"))
+    blocks = _blocks(plain, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    return (first, None) if second is None else ([], chain([first, second], blocks))
+
+
+def _index(docs: DataFrame, block: list[tuple[int, bytes]], window: int) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(Index([(i, words(t)) for i, t in block], window))
+
+
+def _marks(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """First column of ``rows`` (a long; the second is the text) with what one block hits in each row."""
+    key = rows.columns[0]
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index: Index = shared.value
+            n_words, longest, lo, hi, found = [], [], [], [], []
+            for text in batch.column(1).cast(pa.binary()):
+                own = words(text.as_py())
+                hit, ids, most = index.match(own)
+                a, b = runs(hit)
+                n_words.append(len(own))
+                longest.append(most)
+                lo.append(a.tolist())
+                hi.append(b.tolist())
+                found.append(sorted(ids))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (lo, hi, found)]],
+                names=[key, "text", "n_words", "longest", "hit_from", "hit_to", "item_ids"],
+            )
+
+    return rows.mapInArrow(work, f"{key} long, text string, {MARKS}")
+
+
+def _merged(rows: DataFrame, blocks: Iterator[list[tuple[int, bytes]]], window: int) -> DataFrame:
+    """What all blocks together hit in each row of ``rows`` (``_row``, text), every block matched on the text as it came in."""
+    parts = [_marks(rows, _index(rows, block, window)).drop("text") for block in blocks]
+    several = reduce(DataFrame.unionAll, [parts[0], *(p.where("longest > 0") for p in parts[1:])])
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    spans = F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to"))).alias("_spans")
+    merged = several.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), spans, flat("item_ids"))
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = [], []
+            for n, own in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                hit = np.zeros(n, bool)
+                for s in own:
+                    hit[s["hit_from"] : s["hit_to"]] = True
+                a, b = runs(hit)
+                lo.append(a.tolist())
+                hi.append(b.tolist())
+            arrays = [*batch.columns[:3], *[pa.array(x, pa.list_(pa.int64())) for x in (lo, hi)], batch.column(4)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "n_words", "longest", "hit_from", "hit_to", "item_ids"])
+
+    united = merged.select(ROW, "n_words", "longest", "_spans", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
+    return united.mapInArrow(work, f"{ROW} long, {MARKS}")
+
+
 def hits(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 2_000_000, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, n_words, longest, hit_from, hit_to, item_ids): word spans and items per document and block.
+    """(doc_id, text, n_words, longest, hit_from, hit_to, item_ids): word spans and items, one row per document row.
 
-    One row per document row and block of items.  ``hit_from``/``hit_to`` are
-    half-open word positions; ``item_ids`` are those with occurring windows.
+    ``hit_from``/``hit_to`` are half-open word positions; ``item_ids`` are
+    those with occurring windows.
     """
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
-    plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.encode("text", "UTF-8").alias("text"))
-    out = None
-    for block in [*_blocks(plain, block_words)] or [[]]:
-        shared = sc.broadcast(Index([(i, words(t)) for i, t in block], window))
-
-        @tidy
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                index: Index = shared.value
-                n_words, longest, lo, hi, found = [], [], [], [], []
-                for text in batch.column(1).cast(pa.binary()):
-                    own = words(text.as_py())
-                    hit, ids, most = index.match(own)
-                    a, b = runs(hit)
-                    n_words.append(len(own))
-                    longest.append(most)
-                    lo.append(a.tolist())
-                    hi.append(b.tolist())
-                    found.append(sorted(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(longest, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in (lo, hi, found)]],
-                    names=["doc_id", "text", "n_words", "longest", "hit_from", "hit_to", "item_ids"],
-                )
-
-        part = rows.mapInArrow(work, "doc_id long, text string, n_words long, longest long, hit_from array<long>, hit_to array<long>, item_ids array<long>")
-        out = part if out is None else out.unionAll(part)
-    return out
+    only, blocks = _split(items, block_words)
+    if blocks is None:
+        return _marks(rows, _index(docs, only, window))
+    rows = cut(rows.withColumn(ROW, F.monotonically_increasing_id()))
+    return rows.join(_merged(rows.select(ROW, "text"), blocks, window), ROW).drop(ROW)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
