@@ -14,7 +14,7 @@ must walk, which changes no result.
 The items go in blocks of bounded size (``block_words``), each a broadcast of
 its own; documents are read once per block, and what the blocks hit in a row is
 united before anything is counted or cut, so that the block size changes no
-result of ``hits``.  Null text has no words.  Items without words, and repeated items, are
+result.  Null text has no words.  Items without words, and repeated items, are
 allowed (each item keeps its own id).
 """
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, runs, tidy
 
-#: Internal column; a column of this name in the input is not allowed.
-ROW = "_row"
+#: Internal columns; columns of these names in the input are not allowed.
+ROW, FROM, TO = "_row", "_from", "_to"
 MARKS = "n_words long, longest long, hit_from array<long>, hit_to array<long>, item_ids array<long>"
 
 #: ASCII bytes that are neither digits nor lower-case letters become spaces.
@@ -265,34 +265,40 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: flo
     last word.  A document of which more than ``max_coverage`` of all words
     are hit goes as a whole.  Columns stay as they are; null texts stay null.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs
-    plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.encode("text", "UTF-8").alias("text"))
     names = docs.columns
-    for block in _blocks(plain, block_words):
-        shared = sc.broadcast(Index([(i, words(t)) for i, t in block], window))
-
-        @tidy
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                index: Index = shared.value
-                at = batch.schema.get_field_index(text_col)
-                keep, texts = [], []
-                for i, text in enumerate(batch.column(at).cast(pa.binary()).to_pylist()):
-                    own = words(text)
-                    hit = index.match(own)[0]
-                    if hit.any():
-                        if hit.mean() > max_coverage:
-                            continue
-                        text = cut_words(text, hit)
-                    keep.append(i)
-                    texts.append(text)
-                columns = [*batch.take(pa.array(keep, pa.int64())).columns]
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        out = out.mapInArrow(work, docs.schema)
-    return out
+    only, blocks = _split(items, block_words)
+    if blocks is None:
+        shared, rows = _index(docs, only, window), docs
+    else:
+        keyed = cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        marks = _merged(keyed.select(ROW, F.col(text_col).alias("text")), blocks, window).where(F.size("hit_from") > 0)
+        shared, rows = None, keyed.join(marks.select(ROW, F.col("hit_from").alias(FROM), F.col("hit_to").alias(TO)), ROW, "left").select(*[keyed[c] for c in names], FROM, TO)
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = names.index(text_col)
+            spans = zip(*(batch.column(len(names) + k).to_pylist() for k in range(2))) if shared is None else repeat(None)
+            keep, texts = [], []
+            for i, (text, span) in enumerate(zip(batch.column(at).cast(pa.binary()).to_pylist(), spans)):
+                own = words(text)
+                if shared is None:
+                    hit = np.zeros(len(own), bool)
+                    for a, b in zip(span[0] or [], span[1] or []):
+                        hit[a:b] = True
+                else:
+                    hit = shared.value.match(own)[0]
+                if hit.any():
+                    if hit.mean() > max_coverage:
+                        continue
+                    text = cut_words(text, hit)
+                keep.append(i)
+                texts.append(text)
+            columns = [*batch.take(pa.array(keep, pa.int64())).columns][: len(names)]
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(work, docs.schema)
 
 
 def cut_words(text: bytes, hit: np.ndarray) -> bytes:
