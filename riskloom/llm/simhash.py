@@ -18,7 +18,7 @@ not null.  Very long texts are hashed in slices of bounded size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, NO_ID, blobs, bucket_bounds, cut, hash_words, mix64, planes, spread, tidy, trim, unplanes, words_at
+from .common import NO_ID, cut, hash_words, mix64, tidy, trim, words_at
 from .graph import components
 from .substring import stretch_keys
 
@@ -100,11 +100,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near duplicates by similarity: several short fingerprints, verified exactly ---
+# --- near duplicates by similarity: exact prefix filter, verified on shingle sets ---
 
-TABLES, WIDTH = 20, 32
-#: Orders in which the owners of a variant elect their first.
-TURNS = 5
+#: Bits of the parity map of a shingle set.
+BITS = 512
+#: Texts sampled, and shingles kept at most, for the order that puts frequent shingles last; no order changes a result.
+SAMPLE, FREQUENT = 10_000, 200_000
+#: Prefix entries per bucket, and neighbours that the first round looks at.
+ENTRIES, NEAR = 400_000, 64
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -118,86 +121,131 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(keys)
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """TABLES fingerprints of WIDTH bits from independent votes."""
-    words = TABLES * WIDTH // 64
-    ones = np.zeros(words * 64, np.int64)
-    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for lo in range(0, len(shingles), SLICE // 8):
-        part = mix64(shingles[lo : lo + SLICE // 8, None] + salt)
-        ones += np.unpackbits(part.view(np.uint8)).reshape(len(part), -1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles)).tobytes()
+def parity(shingles: np.ndarray) -> bytes:
+    """Whether each of BITS cells holds an odd number of shingles: two maps differ in no more bits than their sets in shingles."""
+    return np.packbits(np.bincount((mix64(shingles) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def _candidates(classes: DataFrame, n: int) -> DataFrame:
-    """Distinct pairs (a, b) of class keys that share a variant: each owner of a variant with the first of its owners.
+def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order, so many that any set of that similarity has one of them in its own prefix."""
+    if not len(shingles):
+        return shingles
+    size = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    rank = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[:size]]
 
-    First in one of TURNS hashed orders, which one depends on the fingerprint:
-    so a text meets several others of a large group, never all of them.
+
+def _passing(i: np.ndarray, j: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs have two roots and may reach the similarity: by the sizes of the sets and by their parity maps.  Loses none."""
+    good = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6))
+    x, y = i[good], j[good]
+    return good[np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-6]
+
+
+def meetings(token: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, bool]:
+    """(pairs of keys, whether that is all): every owner of a token with up to ``width`` other owners that may be similar.
+
+    Owners stand in one hashed order in every token, so that they meet the
+    same others there.  Width 1 only looks at the NEAR next ones.
     """
-    n_buckets = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * TABLES * (WIDTH + 1) // 1_000_000)
-    flips = np.array([0, *(1 << i for i in range(WIDTH))], dtype=np.uint64)
-    tables = np.arange(TABLES, dtype=np.uint64)[None, :, None] << np.uint64(WIDTH)
+    order = np.lexsort((mix64(key.view(np.uint64)), token))
+    token, key, root, n, bits = token[order], key[order], root[order], n[order], bits[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(token)))
+    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first) if len(first) else np.zeros(0, bool)
+    found, whole = [np.zeros((0, 2), np.int64)], True
+    # tokens of few owners, all at once: each owner with that ``d`` places on
+    at = np.flatnonzero(np.repeat(mixed & ((size <= NEAR) | (width == 1)), size))
+    used, d = np.zeros(len(token), np.int64), 1
+    while len(at):
+        at = at[at + d < len(token)]
+        at = at[token[at + d] == token[at]]
+        full = used[at] >= width
+        if full.any() or d > NEAR and len(at):
+            whole = False
+            at = at[~full] if d <= NEAR else at[:0]
+        good = at[_passing(at, at + d, root, n, bits, similarity)]
+        used[good] += 1
+        found.append(np.stack([key[good], key[good + d]], axis=1))
+        d += 1
+    # tokens of many owners: each owner outside the most common root with all others
+    for g in np.flatnonzero(mixed & (size > NEAR)) if width > 1 else ():
+        own = np.arange(first[g], first[g] + size[g])
+        roots, inverse, many = np.unique(root[own], return_inverse=True, return_counts=True)
+        main = inverse == np.argmax(many)
+        for k in np.flatnonzero(~main).tolist():
+            others = own[main | (np.arange(len(own)) > k)]
+            good = others[_passing(np.full(len(others), own[k]), others, root, n, bits, similarity)]
+            if len(good) > width:
+                whole, good = False, good[:width]
+            found.append(np.stack([np.full(len(good), key[own[k]]), key[good]], axis=1))
+    pairs = np.concatenate(found)
+    return np.unique(np.sort(pairs, axis=1), axis=0), whole
+
+
+def _shared(classes: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, token, key): prefix shingles that several texts have."""
 
     @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
-            own = batch.column(0).to_numpy()
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, TABLES, 1).astype(np.uint64)
-            keys = mix64((tables | values ^ flips).ravel())
-            order = np.argsort(keys)
-            keys, owner = keys[order], (order // (TABLES * (WIDTH + 1))).astype(np.int32)
-            turn = order // (WIDTH + 1) % TABLES % TURNS
-            cuts, low = bucket_bounds(keys, n_buckets).tolist(), spread(keys, n_buckets)
-            out = []
-            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                if hi > lo:
-                    by = np.argsort(low[lo:hi], kind="stable")
-                    used, index = np.unique(owner[lo:hi][by], return_inverse=True)
-                    out.append((b, 0, planes(np.diff(np.sort(low[lo:hi]), prepend=np.uint32(0))), planes((index * 8 + turn[lo:hi][by]).astype(np.int32)), planes(own[used])))
-            yield from blobs(out).to_batches()
-
-    def meet(table: pa.Table) -> pa.Table:
+            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            flat = np.concatenate(tokens)
+            key = np.repeat(batch.column(0).to_numpy(), [len(t) for t in tokens])
+            bucket = (mix64(flat) % np.uint64(n_buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(flat.view(np.int64)), pa.array(key)], names=["bucket", "token", "key"])
+
+    def several(table: pa.Table) -> pa.Table:
         trim()
-        keys, owner, turn = [], [], []
-        for x, y, z in zip(*(table[c].to_pylist() for c in "xyz")):
-            index = unplanes(y, np.int32)
-            keys.append(np.cumsum(unplanes(x, np.uint32), dtype=np.uint32))
-            owner.append(unplanes(z, np.int64)[index // 8])
-            turn.append((index % 8).astype(np.uint64))
-        keys, owner, turn = np.concatenate(keys), np.concatenate(owner), np.concatenate(turn)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        pick = np.zeros(len(order), bool)
-        pick[1:] |= same
-        pick[:-1] |= same
-        keys, owner, turn = keys[order[pick]], owner[order[pick]], turn[order[pick]]
-        order = np.lexsort((mix64(owner.view(np.uint64) ^ turn * np.uint64(0x9E3779B97F4A7C15)), keys))
-        keys, owner = keys[order], owner[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        leader = np.repeat(owner[new], np.diff(np.append(np.flatnonzero(new), len(keys))))
-        pairs = np.stack([np.minimum(leader, owner), np.maximum(leader, owner)])
-        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    return classes.select("key", "sketch").mapInArrow(emit, BLOB).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+        token = table["token"].to_numpy()
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return table.take(pa.array(order[keep]))
+
+    schema = "bucket int, token long, key long"
+    return classes.select("key", "prefix").where("n > 0").mapInArrow(emit, schema).groupBy("bucket").applyInArrow(several, schema)
+
+
+def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that several texts of a bounded sample have, and how many do."""
+    step = max(1, rows.count() // SAMPLE)
+
+    @tidy
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).cast(pa.binary()):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py() or b"", words).view(np.int64))], names=["token"])
+
+    sample = rows.where(F.pmod(F.col("key"), F.lit(step)) == 0).groupBy("key").agg(F.first("text").alias("text"))
+    table = sample.mapInArrow(explode, "token long").groupBy("token").count().where("count >= 4").limit(FREQUENT).toArrow()
+    token, count = table["token"].to_numpy().view(np.uint64), table["count"].to_numpy()
+    order = np.argsort(token)
+    return token[order], count[order]
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """(key, root) of every distinct text: texts linked by Jaccard similarity of ``words``-word shingles share a root.
 
-    A text's key is a 64-bit hash of its words.  Candidates come from TABLES
-    fingerprints of WIDTH bits, all variants within one bit of each, so that
-    two texts meet if any fingerprint differs in two bits or less; every
-    candidate pair is verified on its exact shingle sets.
+    A text's key is a 64-bit hash of its words.  Two texts of that similarity
+    share a shingle of their prefixes, whatever their length.  Owners of a
+    shared prefix shingle are paired, pairs that sizes or parity maps rule out
+    are dropped, and the others are verified on their shingle sets.  The first
+    rounds give each owner few partners, later ones more, and only partners
+    that no link has joined yet, until a round has left none out.  So groups of
+    copies cost a few pairs per text, and no link is lost.
     """
-    schema = "key long, sketch binary"
 
     @tidy
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(shingle_set(t, words)) for t in texts], pa.binary())], names=["key", "sketch"])
+            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
+            first = [prefix(x, similarity, *order.value).tobytes() for x in sets]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([parity(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "prefix", "bits"])
 
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,27 +260,48 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.unique(np.frombuffer(x, np.uint32)), np.unique(np.frombuffer(y, np.uint32))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    most = int(TABLES * WIDTH * (math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.06))  # differing bits at that similarity, and four deviations
+    def reducer(width: int) -> Callable[[pa.Table], pa.Table]:
+        def meet(table: pa.Table) -> pa.Table:
+            trim()
+            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            pairs, whole = meetings(*(table[c].to_numpy() for c in ("token", "key", "root")), table["n"].to_numpy().astype(np.int64), bits, similarity, width)
+            pairs = np.concatenate([pairs, np.zeros((0 if whole else 1, 2), np.int64)])  # a pair of equal ends tells that there are more
+            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    @tidy
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= most))
+        return meet
 
     rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    classes = cut(rows.mapInArrow(draw, schema).groupBy("key").agg(F.first("sketch").alias("sketch")))
-    met = _candidates(classes, classes.count()).join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    pairs = cut(met.mapInArrow(close, "a long, b long"))
-    ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-    shingles = cut(rows.join(ends, "key", "left_semi").mapInArrow(sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    roots = components(both.mapInArrow(verify, "a long, b long"))
-    return classes.select("key").join(roots.toDF("key", "root"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    order = docs.sparkSession.sparkContext.broadcast(_frequent(rows, words))
+    drawn = rows.mapInArrow(draw, "key long, n int, prefix binary, bits binary").groupBy("key").agg(F.first(F.struct("n", "prefix", "bits")).alias("c"))
+    classes = cut(drawn.select("key", "c.*"))
+    total = classes.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
+    shared = cut(_shared(classes, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8 // ENTRIES)))
+    tested = links = None
+    roots, width = classes.select("key", F.col("key").alias("root")), 1
+    while True:
+        live = shared.join(roots, "key")
+        if tested is not None:
+            mixed = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+            live = live.join(mixed, "token")
+        met = cut(live.join(classes.select("key", "n", "bits"), "key").select("bucket", "token", "key", "root", "n", "bits").groupBy("bucket").applyInArrow(reducer(width), "a long, b long").distinct())
+        more = not met.where("a = b").isEmpty()
+        pairs = met.where("a <> b")
+        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+        shingles = cut(rows.join(ends, "key", "left_semi").mapInArrow(sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        both = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        new = cut(both.mapInArrow(verify, "a long, b long"))
+        links = new if links is None else links.unionAll(new)
+        tested = pairs if tested is None else tested.unionAll(pairs)
+        if not new.isEmpty():
+            joined = components(links).toDF("key", "root")
+            roots = cut(classes.select("key").join(joined, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
+        if not more:
+            return roots
+        width *= 32
 
 
 def text_key(text_col: str) -> Column:
