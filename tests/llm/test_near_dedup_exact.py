@@ -30,6 +30,16 @@ def kept(spark, docs):
     return {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
 
 
+def test_short_texts(spark):
+    rng = random.Random(11)
+    docs = []
+    for _ in range(300):
+        base = ["w%d" % rng.randrange(10**6) for _ in range(rng.randrange(8, 13))]
+        docs += [base, base + ["x%d" % rng.randrange(10**6)]]  # 4 of 5 shingles and up
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    assert kept(spark, docs) == expected(docs) == {*range(0, 600, 2)}
+
+
 def test_family_of_templates_with_one_near_copy_each(spark):
     rng = random.Random(12)
     word = lambda: "w%d" % rng.randrange(10**6)
