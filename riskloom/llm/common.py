@@ -85,7 +85,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: cuts lineage, survives lost executors.
 
-    The shuffle files that led to it are of no further use and go at once.
+    The shuffle files that led to it are of no further use and go at once.  So
+    do the size estimates: those of joins are products, and over the rounds of
+    a loop they would grow to numbers of millions of digits on the driver.
     """
     spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     if not spark.sparkContext.getCheckpointDir():
@@ -93,9 +95,10 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        return df.select("*").checkpoint(eager=True)
+        done = df.select("*").checkpoint(eager=True)
     finally:
         spark.conf.set(cleanup, before)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 #: Internal column; a column of this name in the input is not allowed.

@@ -9,6 +9,10 @@ a ball of that radius has points (65 for distance 2), however many documents
 there are; neighbours in a variant's sorted list are linked, verified by
 counting differing bits, and links are deduplicated before components.
 
+``dedup`` joins texts by the similarity of their shingle sets.  Fingerprints
+alone cannot find all of those (see ``similar``), so its candidates also come
+from keys of least shingles, and every candidate is verified.
+
 Defined results: null text has no words; no words give fingerprint zero, which
 links like any other; fewer words than a shingle form one shingle; repeated
 rows and null ids keep their row; ``component_id`` is the smallest id that is
@@ -17,8 +21,9 @@ not null.  Very long texts are hashed in slices of bounded size.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, cut, hash_words, mix64, tidy, trim, words_at
+from .common import NO_ID, cut, hash_words, mix64, tidy, words_at
 from .graph import components
 from .substring import stretch_keys
 
@@ -100,14 +105,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, seed: in
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- near duplicates by similarity: exact prefix filter, verified on shingle sets ---
+# --- near duplicates by similarity: balls of fingerprints, then keys of least shingles, verified on shingle sets ---
 
-#: Bits of the parity map of a shingle set.
-BITS = 512
-#: Texts sampled, and shingles kept at most, for the order that puts frequent shingles last; no order changes a result.
-SAMPLE, FREQUENT = 10_000, 200_000
-#: Prefix entries per bucket, and neighbours that the first round looks at.
-ENTRIES, NEAR = 400_000, 64
+#: Keys per text, and least shingles that each is made of.  Two texts of similarity s share none of the keys with
+#: probability (1 - s ** LEAST) ** KEYS: 6e-7 at 0.8, 4e-9 at 0.85, whatever the number of texts.
+KEYS, LEAST = 20, 3
+#: 64-bit words of the parity map of a shingle set.
+MAP = 16
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -121,201 +125,179 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(keys)
 
 
-def parity(shingles: np.ndarray) -> bytes:
-    """Whether each of BITS cells holds an odd number of shingles: two maps differ in no more bits than their sets in shingles."""
-    return np.packbits(np.bincount((mix64(shingles) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
-
+@lru_cache(maxsize=1)
+def _orders() -> np.ndarray:
+    """An odd factor for each order of the shingles."""
+    return (mix64(np.arange(1, KEYS * LEAST + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
 
-def prefix(shingles: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order, so many that any set of that similarity has one of them in its own prefix."""
-    if not len(shingles):
-        return shingles
-    size = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
-    rank = np.zeros(len(shingles), np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        rank = np.where(frequent[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(rank, kind="stable")[:size]]
 
+def least_keys(shingles: np.ndarray) -> np.ndarray:
+    """KEYS 64-bit keys of a set, each of its least shingles under LEAST orders."""
+    least = np.full(KEYS * LEAST, 2**32 - 1, np.uint32)
+    for lo in range(0, len(shingles), 2048):
+        own = (shingles[lo : lo + 2048] >> np.uint64(32)).astype(np.uint32)
+        np.minimum(least, (own * _orders()).min(axis=1), out=least)
+    out = np.arange(KEYS, dtype=np.uint64)
+    for part in least.reshape(KEYS, LEAST).T.astype(np.uint64):
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + part)
+    return out
 
-def _passing(i: np.ndarray, j: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs have two roots and may reach the similarity: by the sizes of the sets and by their parity maps.  Loses none."""
-    good = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6))
-    x, y = i[good], j[good]
-    return good[np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= (n[x] + n[y]) * (1 - similarity) / (1 + similarity) + 1e-6]
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * MAP cells holds an odd number of shingles: two maps differ in no more bits than their sets in shingles."""
+    cells = (mix64(shingles) % np.uint64(64 * MAP)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=64 * MAP) & 1).view(np.int64)
 
-def meetings(token: np.ndarray, key: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, similarity: float, width: int) -> tuple[np.ndarray, bool]:
-    """(pairs of keys, whether that is all): every owner of a token with up to ``width`` other owners that may be similar.
 
-    Owners stand in one hashed order in every token, so that they meet the
-    same others there.  Width 1 only looks at the NEAR next ones.
-    """
-    order = np.lexsort((mix64(key.view(np.uint64)), token))
-    token, key, root, n, bits = token[order], key[order], root[order], n[order], bits[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(token)))
-    mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first) if len(first) else np.zeros(0, bool)
-    found, whole = [np.zeros((0, 2), np.int64)], True
-    # tokens of few owners, all at once: each owner with that ``d`` places on
-    at = np.flatnonzero(np.repeat(mixed & ((size <= NEAR) | (width == 1)), size))
-    used, d = np.zeros(len(token), np.int64), 1
-    while len(at):
-        at = at[at + d < len(token)]
-        at = at[token[at + d] == token[at]]
-        full = used[at] >= width
-        if full.any() or d > NEAR and len(at):
-            whole = False
-            at = at[~full] if d <= NEAR else at[:0]
-        good = at[_passing(at, at + d, root, n, bits, similarity)]
-        used[good] += 1
-        found.append(np.stack([key[good], key[good + d]], axis=1))
-        d += 1
-    # tokens of many owners: each owner outside the most common root with all others
-    for g in np.flatnonzero(mixed & (size > NEAR)) if width > 1 else ():
-        own = np.arange(first[g], first[g] + size[g])
-        roots, inverse, many = np.unique(root[own], return_inverse=True, return_counts=True)
-        main = inverse == np.argmax(many)
-        for k in np.flatnonzero(~main).tolist():
-            others = own[main | (np.arange(len(own)) > k)]
-            good = others[_passing(np.full(len(others), own[k]), others, root, n, bits, similarity)]
-            if len(good) > width:
-                whole, good = False, good[:width]
-            found.append(np.stack([np.full(len(good), key[own[k]]), key[good]], axis=1))
-    pairs = np.concatenate(found)
-    return np.unique(np.sort(pairs, axis=1), axis=0), whole
-
-
-def _shared(classes: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, token, key): prefix shingles that several texts have."""
+def words_key(text: bytes) -> bytes:
+    """128-bit key of the words of a text: copies that differ in A-Z case or ASCII white space count as equal."""
+    return hashlib.md5(b" ".join(text.lower().split()), usedforsecurity=False).digest()
 
-    @tidy
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, len(b), 1000)):
-            tokens = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            flat = np.concatenate(tokens)
-            key = np.repeat(batch.column(0).to_numpy(), [len(t) for t in tokens])
-            bucket = (mix64(flat) % np.uint64(n_buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(flat.view(np.int64)), pa.array(key)], names=["bucket", "token", "key"])
-
-    def several(table: pa.Table) -> pa.Table:
-        trim()
-        token = table["token"].to_numpy()
-        order = np.argsort(token, kind="stable")
-        same = token[order][1:] == token[order][:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return table.take(pa.array(order[keep]))
-
-    schema = "bucket int, token long, key long"
-    return classes.select("key", "prefix").where("n > 0").mapInArrow(emit, schema).groupBy("bucket").applyInArrow(several, schema)
-
-
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several texts of a bounded sample have, and how many do."""
-    step = max(1, rows.count() // SAMPLE)
 
-    @tidy
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(1).cast(pa.binary()):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py() or b"", words).view(np.int64))], names=["token"])
-
-    sample = rows.where(F.pmod(F.col("key"), F.lit(step)) == 0).groupBy("key").agg(F.first("text").alias("text"))
-    table = sample.mapInArrow(explode, "token long").groupBy("token").count().where("count >= 4").limit(FREQUENT).toArrow()
-    token, count = table["token"].to_numpy().view(np.uint64), table["count"].to_numpy()
-    order = np.argsort(token)
-    return token[order], count[order]
-
-
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """(key, root) of every distinct text: texts linked by Jaccard similarity of ``words``-word shingles share a root.
-
-    A text's key is a 64-bit hash of its words.  Two texts of that similarity
-    share a shingle of their prefixes, whatever their length.  Owners of a
-    shared prefix shingle are paired, pairs that sizes or parity maps rule out
-    are dropped, and the others are verified on their shingle sets.  The first
-    rounds give each owner few partners, later ones more, and only partners
-    that no link has joined yet, until a round has left none out.  So groups of
-    copies cost a few pairs per text, and no link is lost.
-    """
+def _draw(rows: DataFrame, words: int) -> DataFrame:
+    """(key, rank, n, fp, least, map) of every distinct text; ``rank`` is the least (id, row, copy) of its rows."""
 
     @tidy
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py() or b"", words) for t in batch.column(1).cast(pa.binary())]
-            first = [prefix(x, similarity, *order.value).tobytes() for x in sets]
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.binary()), pa.array([parity(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "prefix", "bits"])
-
-    @tidy
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).astype(np.uint32).tobytes() for t in texts], pa.binary())], names=["key", "shingles"])
+            texts = [t.as_py() or b"" for t in batch.column(3).cast(pa.binary())]
+            sets = [shingle_set(t, words) for t in texts]
+            columns = [
+                *batch.columns[:3],
+                pa.array([words_key(t) for t in texts], pa.binary()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([vote(x) for x in sets], pa.int64()),
+                pa.array([least_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                pa.array([parity(x) for x in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "copy", "key", "n", "fp", "least", "map"])
+
+    drawn = rows.select("id", "row", "copy", "text").mapInArrow(draw, "id long, row long, copy long, key binary, n long, fp long, least array<long>, map array<long>")
+    first = drawn.groupBy("key").agg(F.min(F.struct("id", "row", "copy")).alias("rank"), F.first(F.struct("n", "fp", "least", "map")).alias("own"))
+    return first.select("key", "rank", "own.*")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar."""
 
     @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.unique(np.frombuffer(x, np.uint32)), np.unique(np.frombuffer(y, np.uint32))
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    def reducer(width: int) -> Callable[[pa.Table], pa.Table]:
-        def meet(table: pa.Table) -> pa.Table:
-            trim()
-            bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            pairs, whole = meetings(*(table[c].to_numpy() for c in ("token", "key", "root")), table["n"].to_numpy().astype(np.int64), bits, similarity, width)
-            pairs = np.concatenate([pairs, np.zeros((0 if whole else 1, 2), np.int64)])  # a pair of equal ends tells that there are more
-            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-        return meet
-
-    rows = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    order = docs.sparkSession.sparkContext.broadcast(_frequent(rows, words))
-    drawn = rows.mapInArrow(draw, "key long, n int, prefix binary, bits binary").groupBy("key").agg(F.first(F.struct("n", "prefix", "bits")).alias("c"))
-    classes = cut(drawn.select("key", "c.*"))
-    total = classes.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
-    shared = cut(_shared(classes, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 8 // ENTRIES)))
-    tested = links = None
-    roots, width = classes.select("key", F.col("key").alias("root")), 1
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def _sets(rows: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of ``classes``; a partition makes the set of a text once, however many copies it holds."""
+
+    @tidy
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = [k for k, c in enumerate(batch.column(0).to_pylist()) if not (c in seen or seen.add(c))]
+            texts = [t.as_py() or b"" for t in batch.column(1).take(pa.array(new, pa.int64())).cast(pa.binary())]
+            columns = [pa.array([words_key(t) for t in texts], pa.binary()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "shingles"])
+
+    made = rows.join(classes.select("copy"), "copy", "left_semi").select("copy", "text").mapInArrow(sets, "key binary, shingles binary")
+    return classes.join(made.groupBy("key").agg(F.first("shingles").alias("shingles")), "key").select("node", "shingles")
+
+
+def _ball_pairs(classes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) that connect texts of equal fingerprints and fingerprints that share a variant."""
+    heads = classes.groupBy("fp").agg(F.min("node").alias("head"))
+    equal = classes.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = links(heads, distance).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    return equal.unionAll(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _leader_pairs(live: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, mixed): the first ``width`` owners of each key outside its commonest root, each with all owners of another root.
+
+    ``live`` has the owners of every key with their roots, sizes and maps.
+    Pairs that cannot reach the similarity, by the sizes of their sets or the
+    bits in which their maps differ, are left out by the join itself.
+    ``mixed`` has the keys with more than one root, and how many owners are
+    outside the commonest.  Owners stand in one hashed order in every key, so
+    that a group led by one text meets the same leader in all of them.
+    """
+    own = live.groupBy("token", "root").agg(F.count("*").alias("n"))
+    most = own.groupBy("token").agg(F.max(F.struct("n", F.xxhash64("root").alias("h"), "root")).alias("m"), F.sum("n").alias("owners"))
+    mixed = most.select("token", F.col("m.root").alias("main"), (F.col("owners") - F.col("m.n")).alias("outside")).where("outside > 0")
+    order = Window.partitionBy("token").orderBy(F.xxhash64("node"), "node")
+    outside = live.join(mixed, "token").where("root <> main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)
+    leaders = outside.select(*[F.col(c).alias(c if c == "token" else f"l_{c}") for c in live.columns])
+    few = F.least("n", "l_n") >= similarity * F.greatest("n", "l_n") - 1e-6
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"l_m{i}"))) for i in range(MAP)), F.lit(0))
+    met = live.join(leaders, (live["token"] == leaders["token"]) & (F.col("root") != F.col("l_root")) & few & (differ <= (F.col("n") + F.col("l_n")) * ((1 - similarity) / (1 + similarity)) + 1e-6))
+    return met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct(), mixed
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rank, root) of every distinct text: texts linked by Jaccard similarity of ``words``-word shingles share a root; ``rank`` names a row of the text.
+
+    Candidates are verified on their whole shingle sets.  Texts whose 64-bit
+    fingerprints of shingles lie within ``distance`` meet by ball hashing; but
+    fingerprints of texts that are 0.8 similar differ in some ten bits, so
+    these are the closest only.  All others meet by the keys of ``least_keys``.
+    In each round the first owners of a key that stand outside its commonest
+    group lead: they are compared with every owner of another group.  The
+    first round has one leader per key, each later one 32 times as many, until
+    no key has owners of two groups that have not been compared.  So copies
+    cost a few pairs per text, no group is ever in one task, and no pair that
+    shares a key is left out.
+    """
+    rows = docs.select(_row_id(id_col).alias("id"), _row_hash(docs).alias("row"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    classes = cut(_draw(rows, words).select(F.monotonically_increasing_id().alias("node"), "*"))
+    owners = classes.where("n > 0").select("node", F.explode("least").alias("token"))
+    several = owners.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    facts = classes.select("node", "n", *[F.col("map")[i].alias(f"m{i}") for i in range(MAP)])
+    shared = cut(owners.join(several, "token", "left_semi").join(facts, "node"))
+    roots, sets, tested, width = None, None, None, 1
     while True:
-        live = shared.join(roots, "key")
-        if tested is not None:
-            mixed = live.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-            live = live.join(mixed, "token")
-        met = cut(live.join(classes.select("key", "n", "bits"), "key").select("bucket", "token", "key", "root", "n", "bits").groupBy("bucket").applyInArrow(reducer(width), "a long, b long").distinct())
-        more = not met.where("a = b").isEmpty()
-        pairs = met.where("a <> b")
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        ends = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        shingles = cut(rows.join(ends, "key", "left_semi").mapInArrow(sets, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")))
-        both = pairs.join(shingles.toDF("a", "x"), "a").join(shingles.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        new = cut(both.mapInArrow(verify, "a long, b long"))
-        links = new if links is None else links.unionAll(new)
+        live = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node")
+        pairs, mixed = _leader_pairs(live, similarity, width)
+        pairs = pairs.unionAll(_ball_pairs(classes.where("n > 0"), distance)).distinct() if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        if sets is None:
+            ends = shared.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+            sets = cut(_sets(rows, classes.join(ends, "node", "left_semi").select("node", "key", F.col("rank.copy").alias("copy")), words))
+        found = cut(_verified(pairs, sets, similarity))
         tested = pairs if tested is None else tested.unionAll(pairs)
-        if not new.isEmpty():
-            joined = components(links).toDF("key", "root")
-            roots = cut(classes.select("key").join(joined, "key", "left").select("key", F.coalesce("root", "key").alias("root")))
-        if not more:
-            return roots
+        roots = joined(roots, found) if roots is not None else joined(classes.select("node", F.col("node").alias("root")), found)
+        if not mixed.where(F.col("outside") > width).limit(1).count():
+            return classes.join(roots, "node").select("rank", "root")
         width *= 32
 
 
-def text_key(text_col: str) -> Column:
-    """Hash of the words of a text: copies that differ in case or white space count as equal."""
-    return F.xxhash64(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the ends of ``edges`` (a, b) have come together."""
+    ends = edges.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b")
+    higher = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("root", "higher")
+    return cut(roots.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
+
+
+def _row_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID)))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
 
 
 def dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates: that with the smallest id (nulls last); null and empty texts are one group."""
-    rank = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]).alias("_row"))
-    keyed = docs.select("*", text_key(text_col).alias("_key"), rank.alias("_rank"))
-    roots = cut(similar(docs, words, similarity, text_col))
-    ranked = keyed.groupBy("_key").agg(F.min("_rank").alias("_rank"))
-    kept = roots.toDF("_key", "_root").join(ranked, "_key").groupBy("_root").agg(F.min(F.struct("_rank", "_key")).alias("_best")).select("_best._rank", "_best._key")
-    chosen = keyed.join(kept, ["_key", "_rank"], "left_semi")
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return chosen.groupBy("_key", "_rank").agg(F.first(own).alias("_row")).select("_row.*")
+    roots = similar(docs, words, similarity, id_col=id_col, text_col=text_col)
+    kept = roots.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.id", "rank.row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    chosen = docs.select(_row_id(id_col).alias("id"), _row_hash(docs).alias("row"), own).join(kept, ["id", "row"], "left_semi")
+    return chosen.groupBy("id", "row").agg(F.first("own").alias("own")).select("own.*")

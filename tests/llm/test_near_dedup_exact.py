@@ -67,3 +67,24 @@ def test_pairs_inside_a_family_are_all_found(spark):
     docs = [(i, " ".join(d)) for i, d in zip(rng.sample(range(10_000), len(docs)), docs)]
     want = expected(docs)
     assert len(want) == 250 and kept(spark, docs) == want
+
+
+def test_planted_pairs_by_similarity(spark):
+    """1,000 pairs a band: all of 0.8 or more are joined, none of less."""
+    rng = random.Random(14)
+    word = lambda: "w%d" % rng.randrange(10**7)
+    docs, bands = [], {0.75: 0, 0.8: 0, 0.85: 0, 0.9: 0}
+    while min(bands.values()) < 1000:
+        base = [word() for _ in range(rng.randrange(60, 160))]
+        copy = list(base)
+        for at in rng.sample(range(2, len(base) - 2), rng.randrange(1, 5)):
+            copy[at] = word()
+        pair = " ".join(base), " ".join(copy)
+        a, b = map(shingles, pair)
+        near = len(a & b) / len(a | b)
+        band = max((x for x in bands if x <= near), default=None)
+        if band and near < 0.95 and bands[band] < 1000:
+            bands[band] += 1
+            docs.append((near >= 0.8, pair))
+    got = kept(spark, [(2 * k + j, t) for k, (_, pair) in enumerate(docs) for j, t in enumerate(pair)])
+    assert got == {2 * k for k in range(len(docs))} | {2 * k + 1 for k, (same, _) in enumerate(docs) if not same}
