@@ -1,7 +1,7 @@
 """Shared plumbing: sizing, packs of documents and hash-bucketed exchanges.
 
 A *pack* is a small group of documents (a few MB of text) chosen by a hash of
-the document id.  Operators that need facts about the whole corpus send one
+the document's id and text.  Operators that need facts about the whole corpus send one
 compact blob per (pack, bucket) instead of one row per word, reduce every
 bucket on its own, and send the answers back to the packs that asked.  Every
 key is pre-aggregated inside its pack, so that a key held by a third of all
@@ -11,8 +11,12 @@ its own share of the hash space.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import math
+import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MB = 1 << 20
@@ -72,12 +76,13 @@ def tidy(work: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share; a local one is set only where the session names none (tests)."""
+    """Folder that the driver and all executors share.  Where the session names none, a local one serves a local master (tests); on a cluster that raises."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="riskloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -101,13 +106,24 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
-#: Internal column; a column of this name in the input is not allowed.
-PACK = "_pack"
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have (names are not case-sensitive)."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name = f"_{name}"
+    return name
+
 
+def pack_of(at: Layout, id_col: str, text_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(at.packs)).cast("int")
 
-def packed(docs: DataFrame, at: Layout, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_pack``, dealt by it; the exchange is the same node wherever it is used, so Spark reuses it."""
-    return docs.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(at.packs)).cast("int").alias(PACK), "*").repartition(at.partitions, PACK)
+
+def packed(docs: DataFrame, at: Layout, pack_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``pack_col``, dealt by it: a hash of id and text, so that rows without an id or of one id are spread.
+
+    The exchange is the same node wherever the result is used, so Spark reuses it.
+    """
+    return docs.select(pack_of(at, id_col, text_col).alias(pack_col), "*").repartition(at.partitions, pack_col)
 
 
 def ordered(table: pa.Table, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, list[bytes], pa.Table]:
@@ -166,11 +182,10 @@ def mark_shared(buckets: int) -> "callable":
 
 def offer(pack: int, keys: np.ndarray, several: np.ndarray, reference: np.ndarray | None, buckets: int) -> pa.Table:
     """Blobs for ``mark_shared`` from sorted distinct 64-bit keys."""
-    cuts = bucket_bounds(keys, buckets).tolist()
     low = spread(keys, buckets)
     return blobs([
         (b, pack, low[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes(), None if reference is None else np.packbits(reference[lo:hi]).tobytes())
-        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo
+        for b, lo, hi in pieces(keys, buckets)
     ])
 
 
@@ -181,9 +196,10 @@ def spread(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def answers(table: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """Flags for the same keys from the reducer's answers to one pack."""
-    cuts, out = bucket_bounds(keys, buckets), np.zeros(len(keys), bool)
+    where, out = {b: (lo, hi) for b, lo, hi in pieces(keys, buckets)}, np.zeros(len(keys), bool)
     for b, x in zip(table["bucket"].to_pylist(), table["x"].to_pylist()):
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cuts[b + 1] - cuts[b])).view(bool)
+        lo, hi = where[b]
+        out[lo:hi] = np.unpackbits(np.frombuffer(x, np.uint8), count=hi - lo).view(bool)
     return out
 
 
@@ -264,11 +280,17 @@ def hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int
     return mix64(out + (end - start).astype(np.uint64))
 
 
-def bucket_bounds(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Cut points of sorted uint64 hashes into ``buckets`` equal ranges of the hash space."""
-    edges = [(i << 64) // buckets for i in range(1, buckets)]
-    inner = np.searchsorted(sorted_hashes, np.array(edges, dtype=np.uint64), side="left") if edges else np.zeros(0, np.int64)
-    return np.concatenate([[0], inner, [len(sorted_hashes)]]).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of ``buckets`` (under 2^32) equal ranges of the 64-bit numbers holds each key."""
+    n, low = np.uint64(buckets), np.uint64(32)
+    return ((keys >> low) * n + ((keys & np.uint64(0xFFFFFFFF)) * n >> low)) >> low
+
+
+def pieces(sorted_keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the buckets that sorted keys fall into, and of no others: their number does not cost."""
+    own = bucket_of(sorted_keys, buckets)
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return list(zip(own[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)]))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -228,13 +228,13 @@ def hash64(text: str) -> int:
 
 
 def sample_texts(docs: DataFrame, allowed: Column, per_language: int = 150, max_train_bytes: int = 32_768) -> list[tuple[str, str]]:
-    """About ``per_language`` (language, text) pairs of each language, by a hash of the id."""
+    """About ``per_language`` (language, text) pairs of each language, by a hash of id and text."""
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_train_bytes))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     return [(r["lang"], r["text"]) for r in rows.where(place < share[F.col("lang")]).select("lang", "text").collect()]
 
 

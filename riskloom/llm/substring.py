@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, answers, blobs, bucket_bounds, hash_words, layout, mark_shared, mix64, offer, ordered, packed, planes, runs, trim, unplanes, words_at
+from .common import BLOB, answers, blobs, fresh, hash_words, layout, mark_shared, mix64, offer, ordered, packed, pieces, planes, runs, trim, unplanes, words_at
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -92,14 +92,14 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     added = [T.StructField("n_words", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("cut_from", "cut_to")], T.StructField("kept", T.StringType())]
     own = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     docs = docs.select(*[docs[f.name] for f in own])
-    at = layout(docs, text_col, pack_mb=2, bucket_mb=16)
-    dealt = packed(docs, at, id_col)
+    at, pack_col = layout(docs, text_col, pack_mb=2, bucket_mb=16), fresh(docs, "pack")
+    dealt = packed(docs, at, pack_col, id_col, text_col)
     n_buckets = at.buckets
 
     def probe(table: pa.Table) -> pa.Table:
         p = Pack(table, id_col, text_col)
         _, _, keys, several, reference = p.blocks(size)
-        return offer(table[PACK][0].as_py(), keys, several, reference, n_buckets)
+        return offer(table[pack_col][0].as_py(), keys, several, reference, n_buckets)
 
     def extend(table: pa.Table, found: pa.Table) -> pa.Table:
         if not len(table) or not len(found):
@@ -115,11 +115,8 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
         distinct, inverse = np.unique(keys, return_inverse=True)
         ids = p.ids[p.doc[at]]
         several, least = differ(inverse, len(distinct), ids), least_of(inverse, len(distinct), ids)
-        cuts, pack = bucket_bounds(distinct, n_buckets).tolist(), table[PACK][0].as_py()
-        return blobs([
-            (b, pack, distinct[lo:hi].tobytes(), planes(least[lo:hi]), np.packbits(several[lo:hi]).tobytes())
-            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo
-        ])
+        pack = table[pack_col][0].as_py()
+        return blobs([(b, pack, distinct[lo:hi].tobytes(), planes(least[lo:hi]), np.packbits(several[lo:hi]).tobytes()) for b, lo, hi in pieces(distinct, n_buckets)])
 
     def first_owner(table: pa.Table) -> pa.Table:
         trim()
@@ -183,11 +180,11 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
             return arrow.empty_table()
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=arrow.names)
 
-    asked = dealt.groupBy(PACK).applyInArrow(probe, BLOB)
+    asked = dealt.groupBy(pack_col).applyInArrow(probe, BLOB)
     found = asked.groupBy("bucket").applyInArrow(mark_shared(n_buckets), BLOB)
-    windows = dealt.groupBy(PACK).cogroup(found.withColumnRenamed("pack", PACK).groupBy(PACK)).applyInArrow(extend, BLOB)
+    windows = dealt.groupBy(pack_col).cogroup(found.withColumnRenamed("pack", pack_col).groupBy(pack_col)).applyInArrow(extend, BLOB)
     owners = windows.groupBy("bucket").applyInArrow(first_owner, BLOB)
-    return dealt.groupBy(PACK).cogroup(owners.withColumnRenamed("pack", PACK).groupBy(PACK)).applyInArrow(finish, schema)
+    return dealt.groupBy(pack_col).cogroup(owners.withColumnRenamed("pack", pack_col).groupBy(pack_col)).applyInArrow(finish, schema)
 
 
 def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOB, PACK, Hasher, Layout, answers, blobs, bucket_bounds, cut, layout, mark_shared, mix64, offer, ordered, packed, planes, ranges, runs, spread, trim, unplanes
+from .common import BLOB, Hasher, Layout, answers, blobs, cut, fresh, layout, mark_shared, mix64, offer, ordered, pack_of, packed, pieces, planes, ranges, runs, spread, trim, unplanes
 from .substring import differ, least_of
 
 NONE = np.iinfo(np.int64).max
@@ -197,14 +197,14 @@ def _scan(data: np.ndarray, at: np.ndarray, owner: np.ndarray, new: np.ndarray,
 
 
 def copy_rows(docs: DataFrame, at: Layout, window: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows whose text equals that of a smaller id: (_pack, id, text hash).  Only hashes are grouped and joined."""
+    """Rows whose text equals that of a smaller id: (pack, id, text hash).  Only hashes are grouped and joined."""
     text = F.col(text_col)
     rows = docs.where(F.octet_length(text) >= window).select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(at.packs)).cast("int").alias(PACK), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NONE))).alias("id"),
+        pack_of(at, id_col, text_col).alias("pack"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NONE))).alias("id"),
         F.xxhash64(text).alias("h"), F.xxhash64(F.lit("twice"), text).alias("h2"),
     )
     least = rows.groupBy("h", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    return rows.join(cut(least), ["h", "h2"]).where("id > least").select(PACK, "id", "h")
+    return rows.join(cut(least), ["h", "h2"]).where("id > least").select("pack", "id", "h")
 
 
 def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,9 +214,9 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     own_fields = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     schema = T.StructType([*own_fields, *added])
     docs = docs.select(*[docs[f.name] for f in own_fields])
-    at = layout(docs, text_col, pack_mb=2, bucket_mb=8)
+    at, pack_col = layout(docs, text_col, pack_mb=2, bucket_mb=8), fresh(docs, "pack")
     n_buckets = at.buckets
-    dealt = packed(docs, at, id_col)
+    dealt = packed(docs, at, pack_col, id_col, text_col)
 
     def pack(table: pa.Table, answers_: pa.Table) -> tuple[Pack, list[pa.Table]]:
         """The pack, and its answers by kind: shared anchors, groups."""
@@ -229,7 +229,7 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
             return blobs([])
         p, _ = pack(table, known)
         keys, inverse = np.unique(p.anchors, return_inverse=True)
-        return offer(table[PACK][0].as_py(), keys, differ(inverse, len(keys), p.ids[p.doc]), None, n_buckets)
+        return offer(table[pack_col][0].as_py(), keys, differ(inverse, len(keys), p.ids[p.doc]), None, n_buckets)
 
     def extend(table: pa.Table, known: pa.Table) -> pa.Table:
         if not len(table) or not len(known):
@@ -240,12 +240,11 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         ids = p.ids[p.doc]
         least, several = least_of(inverse, len(first), ids), differ(inverse, len(first), ids)
         lo, size, anchors = p.lo[first], p.hi[first] - p.lo[first], p.anchors[first]
-        cuts, low = bucket_bounds(anchors, n_buckets).tolist(), spread(anchors, n_buckets)
-        number, out = table[PACK][0].as_py(), []
-        for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
-            if j > i:
-                head = np.concatenate([np.packbits(several[i:j]), size[i:j].astype(np.uint16).view(np.uint8), low[i:j].view(np.uint8)])
-                out.append((b, number, np.int64(j - i).tobytes() + head.tobytes(), planes(least[i:j]), p.data[ranges(lo[i:j], size[i:j])].tobytes()))
+        low = spread(anchors, n_buckets)
+        number, out = table[pack_col][0].as_py(), []
+        for b, i, j in pieces(anchors, n_buckets):
+            head = np.concatenate([np.packbits(several[i:j]), size[i:j].astype(np.uint16).view(np.uint8), low[i:j].view(np.uint8)])
+            out.append((b, number, np.int64(j - i).tobytes() + head.tobytes(), planes(least[i:j]), p.data[ranges(lo[i:j], size[i:j])].tobytes()))
         return blobs(out)
 
     def tree(table: pa.Table) -> pa.Table:
@@ -314,12 +313,12 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         if len(groups):
             p.shared(found, n_buckets)
             first, inverse = p.distinct()
-            cuts = bucket_bounds(p.anchors[first], n_buckets)
+            where = {b: (i, j) for b, i, j in pieces(p.anchors[first], n_buckets)}
             rows = groups.sort_by("bucket")
             n_of = np.zeros(len(first), np.int64)
             start, length, doc = [], [], []
             for b, x, y, z in zip(*(rows[c].to_pylist() for c in ("bucket", "x", "y", "z"))):
-                n_of[cuts[b] : cuts[b + 1]] = np.frombuffer(x, np.uint16)
+                n_of[slice(*where[b])] = np.frombuffer(x, np.uint16)
                 both = np.frombuffer(y, np.uint16).astype(np.int64)
                 start.append(both[: len(both) // 2])
                 length.append(both[len(both) // 2 :])
@@ -350,15 +349,15 @@ def repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
         columns += [pa.array([len(t) for t in p.texts], pa.int64()), pa.array(lo, pa.list_(pa.int64())), pa.array(hi, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=arrow.names)
 
-    kinds = f"bucket int, {PACK} int, x binary, y binary, z binary, kind int, id long, h long"
-    copies = copy_rows(docs, at, window, id_col, text_col).selectExpr("-1 AS bucket", PACK, "NULL AS x", "NULL AS y", "NULL AS z", "2 AS kind", "id", "h").to(_schema(kinds))
-    answer = lambda df, kind: df.withColumnRenamed("pack", PACK).selectExpr("*", f"{kind} AS kind", "NULL AS id", "NULL AS h").to(_schema(kinds))
-    by_pack = dealt.groupBy(PACK)
-    asked = by_pack.cogroup(copies.groupBy(PACK)).applyInArrow(probe, BLOB)
+    kinds = f"bucket int, {pack_col} int, x binary, y binary, z binary, kind int, id long, h long"
+    copies = copy_rows(docs, at, window, id_col, text_col).selectExpr("-1 AS bucket", f"pack AS {pack_col}", "NULL AS x", "NULL AS y", "NULL AS z", "2 AS kind", "id", "h").to(_schema(kinds))
+    answer = lambda df, kind: df.withColumnRenamed("pack", pack_col).selectExpr("*", f"{kind} AS kind", "NULL AS id", "NULL AS h").to(_schema(kinds))
+    by_pack = dealt.groupBy(pack_col)
+    asked = by_pack.cogroup(copies.groupBy(pack_col)).applyInArrow(probe, BLOB)
     found = answer(asked.groupBy("bucket").applyInArrow(mark_shared(n_buckets), BLOB), 0)
-    fragments = by_pack.cogroup(found.unionAll(copies).groupBy(PACK)).applyInArrow(extend, BLOB)
+    fragments = by_pack.cogroup(found.unionAll(copies).groupBy(pack_col)).applyInArrow(extend, BLOB)
     groups = answer(fragments.groupBy("bucket").applyInArrow(tree, BLOB), 1)
-    return by_pack.cogroup(found.unionAll(groups).unionAll(copies).groupBy(PACK)).applyInArrow(finish, schema)
+    return by_pack.cogroup(found.unionAll(groups).unionAll(copies).groupBy(pack_col)).applyInArrow(finish, schema)
 
 
 def _schema(ddl: str) -> T.StructType:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import struct
 import zlib
 
@@ -65,6 +66,23 @@ def test_png_round_trip_and_filters(spark, odd):
         media.read_png(bytes(broken))
 
 
+def test_cosine_hash_by_definition():
+    """Area means, transform and median with plain loops."""
+    rng = np.random.default_rng(2)
+    for height in (1, 5, 32, 33, 200):
+        image = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        small = []
+        for i in range(32):
+            lo, hi = i * height // 32, max((i + 1) * height // 32, i * height // 32 + 1)
+            small.append([sum(int(image[y, x]) for y in range(lo, hi) for x in (2 * j, 2 * j + 1)) / (2 * (hi - lo)) for j in range(32)])
+        wave = [[math.cos(math.pi * k * (2 * n + 1) / 64) for n in range(32)] for k in range(8)]
+        half = [[sum(wave[k][i] * small[i][j] for i in range(32)) for j in range(32)] for k in range(8)]
+        low = [round(sum(half[u][j] * wave[v][j] for j in range(32)), 6) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        want = sum((x > middle) << (63 - k) for k, x in enumerate(low)).to_bytes(8, "big")
+        assert media.cosine_hash(image) == want
+
+
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 9000
     rows = [(1, "u", big), (2, "u\r\nx", big), (3, None, big[:-1]), (4, "v", None), (5, "v", ""), (6, "w", "s" * 999), (7, "w", "s" * 999), (8, "w", "t" * 1000), (None, "w", "t" * 1000), (9, "z", "t" * 1000), (9, "z", "t" * 1000)]

@@ -17,9 +17,17 @@ def test_planes_round_trip():
 
 def test_buckets_cover_all_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
-    for n in (1, 3, 7, 64, 100):
-        cuts = common.bucket_bounds(keys, n)
-        assert cuts[0] == 0 and cuts[-1] == 1000 and (np.diff(cuts) >= 0).all() and len(cuts) == n + 1
+    keys[-1] = 2**64 - 1
+    for n in (1, 3, 7, 64, 100, 100_000, 2**32 - 1):
+        assert common.bucket_of(keys, n).tolist() == [int(k) * n >> 64 for k in keys]
+        found = common.pieces(keys, n)
+        assert [lo for _, lo, _ in found] + [1000] == [0] + [hi for _, _, hi in found] and len({b for b, _, _ in found}) == len(found)
+    assert common.pieces(keys[:0], 5) == []
+
+
+def test_fresh_names(spark):
+    assert common.fresh(spark.range(1), "pack") == "pack"
+    assert common.fresh(spark.range(1).selectExpr("id AS Pack", "id AS _pack"), "pack") == "__pack"
 
 
 def test_words_and_hashes():
