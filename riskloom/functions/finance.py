@@ -76,37 +76,43 @@ def mirr(flows: Column, finance_rate: Value, reinvest_rate: Value) -> Column:
     return F.when((paid < 0) & (earned > 0), F.pow(earned / -paid, 1 / (n - 1)) - 1)
 
 
-def _irr(flows: list[float]) -> float | None:
-    """Root of the net present value by bisection from -0.99; the upper end doubles until the value is negative."""
-    if flows is None or not len(flows):
-        return None
-    v, t = np.asarray(flows, float), np.arange(len(flows))
-    value = lambda r: float((v / (1 + r) ** t).sum())
-    low, high = -0.99, 1.0
-    for _ in range(60):
-        if value(high) <= 0:
-            break
-        high *= 2
-    if not value(low) > 0 >= value(high):
-        return None
-    for _ in range(200):
-        mid = (low + high) / 2
-        if value(mid) > 0:
-            low = mid
-        else:
-            high = mid
-        if high - low < 1e-13:
-            break
-    return (low + high) / 2
+def _irr(flows: pd.Series) -> np.ndarray:
+    """Roots of the net present values by bisection from -0.99; the upper ends double until the values are negative.  All rows step together."""
+    sizes = [0 if f is None else len(f) for f in flows]
+    v = np.zeros((len(sizes), max(sizes, default=0) or 1))
+    for row, f, n in zip(v, flows, sizes):
+        row[:n] = f if n else 0
+
+    def value(r: np.ndarray) -> np.ndarray:
+        out, step = np.zeros(len(r)), 1 / (1 + r)
+        for column in v.T[::-1]:
+            out = out * step + column
+        return out
+
+    with np.errstate(all="ignore"):
+        low, high = np.full(len(v), -0.99), np.ones(len(v))
+        for _ in range(60):
+            above = value(high) > 0
+            if not above.any():
+                break
+            high = np.where(above, 2 * high, high)
+        found = (value(low) > 0) & (value(high) <= 0)
+        for _ in range(200):
+            mid = (low + high) / 2
+            up = value(mid) > 0
+            low, high = np.where(up, mid, low), np.where(up, high, mid)
+            if (high - low < 1e-13)[found].all():
+                break
+    return np.where(found, (low + high) / 2, np.nan)
 
 
 def irr(flows: Column) -> Column:
-    """Internal rate of return of an array of flows (iterative: Arrow batches)."""
+    """Internal rate of return of an array of flows: bisection of a whole Arrow batch at once; null where the sign never changes."""
 
     @F.pandas_udf("double")
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(_irr).astype(float)
+            yield pd.Series(_irr(s))
 
     return solve(flows)
 
@@ -124,10 +130,10 @@ def rate(nper: Value, pmt: Value, pv: Value, fv: Value = 0, begin: Value = 0, to
                 h = 1e-6 * np.maximum(np.abs(r), 1e-3)
                 step = value(r) / ((value(r + h) - value(r - h)) / (2 * h))
                 new = np.where(np.abs(r - step) < 1e-15, 1e-15, r - step)
-                done = np.nanmax(np.abs(new - r), initial=0) < tol
+                settled = np.abs(new - r) < np.maximum(tol, 1e-9 * np.abs(new))
                 r = new
-                if done:
+                if (settled | ~np.isfinite(r)).all():
                     break
-        return pd.Series(np.where(np.isfinite(r), r, np.nan))
+        return pd.Series(np.where(np.isfinite(r) & settled, r, np.nan))
 
     return solve(*map(_c, (nper, pmt, pv, fv, begin)))

@@ -125,13 +125,19 @@ def approval_loss(df: DataFrame, label: str, p: str, approval: float, amount: st
     return c.agg((F.sum(F.col("bad") * part) / F.sum(F.col("n") * part)).alias("loss"))
 
 
-def pairwise_ranking(df: DataFrame, label: str, p: str, cells: int = 1000) -> DataFrame:
-    """Mean logistic loss over (bad, good) pairs, exact on a grid of ``cells`` score values.
+def pairwise_ranking(df: DataFrame, label: str, p: str, cells: int = 2000) -> DataFrame:
+    """Mean logistic loss over all (bad, good) pairs of probabilities.
 
-    Pairs are never made of rows: counts per cell are joined, cells by cells,
-    which is a fixed number whatever the input.
+    Pairs are never made of rows.  Scores fall into ``cells`` cells, a fixed
+    number whatever the input; in each, the bad and the good rows stand at
+    their own mean.  Against pairs of rows the error is of second order: under
+    1 / (8 cells^2).
     """
-    grid = df.where(F.col(label).isNotNull()).groupBy((F.round(F.col(p) * cells) / cells).alias("s")).agg(F.sum(F.col(label)).alias("b"), F.sum(1 - F.col(label)).alias("g"))
-    cell_list = grid.agg(F.collect_list(F.struct("s", "b", "g")).alias("c"))  # cells + 1 entries at most
-    pairs = cell_list.select(F.explode("c").alias("x"), "c").select("x", F.aggregate("c", F.lit(0.0), lambda a, y: a + y["g"] * F.log1p(F.exp(-(F.col("x.s") - y["s"])))).alias("l"), F.aggregate("c", F.lit(0.0), lambda a, y: a + y["g"]).alias("gs"))
-    return pairs.agg((F.sum(F.col("x.b") * F.col("l")) / F.sum(F.col("x.b") * F.col("gs"))).alias("loss"))
+    rows = df.where(F.col(label).isNotNull() & F.col(p).isNotNull()).select(F.col(p).cast("double").alias("s"), F.col(label).cast("double").alias("y"))
+    good = F.col("y") == 0
+    grid = rows.groupBy(F.floor(F.col("s") * cells).alias("c")).agg(F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("g"), F.avg(F.when(~good, F.col("s"))).alias("sb"), F.avg(F.when(good, F.col("s"))).alias("sg"))
+    listed = grid.agg(F.collect_list(F.struct("b", "g", "sb", F.coalesce("sg", F.lit(0.0)).alias("sg"))).alias("c"))  # cells + 1 entries at most
+    pairs = listed.select(F.explode("c").alias("x"), "c").where("x.b > 0")
+    loss = F.aggregate("c", F.lit(0.0), lambda a, y: a + y["g"] * F.log1p(F.exp(y["sg"] - F.col("x.sb"))))
+    total = F.aggregate("c", F.lit(0.0), lambda a, y: a + y["g"])
+    return pairs.select("x", loss.alias("l"), total.alias("gs")).agg((F.sum(F.col("x.b") * F.col("l")) / F.sum(F.col("x.b") * F.col("gs"))).alias("loss"))

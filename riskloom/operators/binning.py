@@ -1,10 +1,11 @@
 """Binning: models, assignment Columns, and a facade over all search methods.
 
 A model is a few numbers on the driver; assigning bins is one Column
-expression.  Fitting reads the data twice at most: once for candidate edges
-(exact percentiles up to a bound of distinct values, approximate beyond it)
-and once for one histogram (bin, rows, bad rows) that has as many rows as
-there are candidates.  Searches run on that histogram on the driver.
+expression.  Fitting any number of features reads the data twice at most: once
+for the candidate edges of all of them (exact percentiles at any size, see
+``ranks``) and once for their histograms (feature, bin, rows, bad rows), which
+have as many rows as there are candidates.  Searches run on those on the
+driver.
 """
 
 from __future__ import annotations
@@ -14,15 +15,13 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import clean
-from . import search
+from . import ranks, search
 
 MISSING, SPECIAL = -1, -2
-#: Exact percentiles are taken up to this many distinct values.
-EXACT_DISTINCT = 2_000_000
 
 
 def bucket(x: Column, cuts: list[float]) -> Column:
@@ -46,7 +45,7 @@ class BinModel:
     groups: list[list[str]] | None = None
     special: list[float] = field(default_factory=list)
     missing_separate: bool = True
-    unknown: int = 0  # bin of categories not seen in fitting
+    unknown: int = 0  # bin of categories that no group lists: those too rare to be listed, and those not seen in fitting
     method: str = "user"
 
     @property
@@ -60,7 +59,7 @@ class BinModel:
             c = (F.col(f"`{self.feature}`") if col is None else col).cast("string")
             out = F.when(c.isNull(), missing)
             for i, values in enumerate(self.groups):
-                out = out.when(c.isin(*values), i)
+                out = out.when(c.isin(*values), i) if values else out
             return out.otherwise(self.unknown).cast("int")
         x = clean(F.col(f"`{self.feature}`") if col is None else col)
         out = F.when(x.isNull(), missing)
@@ -70,7 +69,7 @@ class BinModel:
 
     def labels(self) -> dict[int, str]:
         if self.groups is not None:
-            own = {i: ",".join(g) for i, g in enumerate(self.groups)}
+            own = {i: ",".join(g) if g else "other" for i, g in enumerate(self.groups)}
         else:
             edges = ["-inf", *[f"{s:.10g}" for s in self.splits], "+inf"]
             own = {i: f"[{a}, {b})" for i, (a, b) in enumerate(zip(edges, edges[1:]))}
@@ -103,15 +102,21 @@ def order_key(index: Column) -> Column:
     return F.when(index >= 0, index).when(index == MISSING, 10_000_000).otherwise(20_000_000)
 
 
-def quantile_edges(df: DataFrame, feature: str, probabilities: list[float], special: list[float] | None = None, exact: bool | None = None) -> list[float]:
-    """Percentiles with linear interpolation; approximate (rank error 1e-5) where there are too many distinct values to count them exactly."""
-    x = clean(F.col(f"`{feature}`"))
-    rows = df.where(x.isNotNull() & ~x.isin(*[float(s) for s in special])) if special else df.where(x.isNotNull())
-    if exact is None:
-        exact = (rows.agg(F.approx_count_distinct(x, 0.05)).first()[0] or 0) <= EXACT_DISTINCT
-    how = F.percentile(x, [float(p) for p in probabilities]) if exact else F.percentile_approx(x, [float(p) for p in probabilities], 100_000)
-    found = rows.agg(how).first()[0]
-    return [float(v) for v in found] if found else []
+def cells_of(df: DataFrame, features: list[str], special: list[float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(keep..., feature, x) rows of all features from one scan; special codes and missing values have no x."""
+    x = lambda f: F.when(clean(F.col(f"`{f}`")).isin(*map(float, special)), None).otherwise(clean(F.col(f"`{f}`"))) if special else clean(F.col(f"`{f}`"))
+    return df.select(*(keep or []), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), x(f).alias("x")) for f in features])).alias("c")).select(*(keep or []), "c.feature", "c.x")
+
+
+def all_edges(df: DataFrame, features: list[str], probabilities: list[float], special: list[float] | None = None) -> dict[str, list[float]]:
+    """Exact percentiles with linear interpolation of every feature that has values, in one job."""
+    counts = ranks.value_counts(cells_of(df, features, special), ["feature"])
+    return {r["feature"]: list(r["q"]) for r in ranks.percentiles(counts, ["feature"], probabilities).collect()}
+
+
+def quantile_edges(df: DataFrame, feature: str, probabilities: list[float], special: list[float] | None = None) -> list[float]:
+    """Exact percentiles with linear interpolation, at any number of distinct values; empty without values."""
+    return all_edges(df, [feature], probabilities, special).get(feature, []) if probabilities else []
 
 
 @dataclass
@@ -128,26 +133,60 @@ class Histogram:
 
 
 def histogram(df: DataFrame, feature: str, label: str | None, edges: list[float], special: list[float] | None = None) -> Histogram:
-    model = BinModel(feature, sorted(set(edges)), special=special or [])
+    return histograms(df, {feature: edges}, label, special)[feature]
+
+
+def histograms(df: DataFrame, edges: dict[str, list[float]], label: str | None, special: list[float] | None = None) -> dict[str, Histogram]:
+    """The histograms of many features from one scan."""
+    models = {f: BinModel(f, sorted(set(e)), special=special or []) for f, e in edges.items()}
+    out = {f: Histogram(np.array(m.splits), np.zeros(m.n_bins), np.zeros(m.n_bins)) for f, m in models.items()}
+    if not models:
+        return out
+    y = F.lit(0) if label is None else F.col(label)
+    place = {f: i for i, f in enumerate(models)}
+    bins = F.array(*[F.struct(F.lit(place[f]).alias("f"), m.index().alias("b")) for f, m in models.items()])
+    rows = df.select(F.explode(bins).alias("c"), y.alias("y")).select("c.f", "c.b", "y").where("b >= 0 AND y IS NOT NULL")
+    names = list(models)
+    for r in rows.groupBy("f", "b").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect():
+        h = out[names[r["f"]]]
+        h.n[r["b"]], h.bad[r["b"]] = r["n"], r["bad"]
+    return out
+
+
+def category_groups(df: DataFrame, features: list[str], label: str | None, max_n_bins: int, max_categories: int = 1000) -> dict[str, tuple[list[list[str]], int]]:
+    """(groups, bin of all that no group lists) of text features, from one scan.
+
+    With a label, categories in order of bad rate are cut by the search over
+    that order; those beyond the ``max_categories`` most frequent ones count
+    as one category of their own, so that no row is left out of the fit.
+    Without one, the most frequent categories are bins, and if there are more
+    than ``max_n_bins``, the last bin is for all others.
+    """
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("string").alias("v")) for f in features])
     y = F.lit(0) if label is None else F.col(label)
-    rows = df.select(model.index().alias("b"), y.alias("y")).where("b >= 0 AND y IS NOT NULL").groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).collect()
-    n, bad = np.zeros(model.n_bins), np.zeros(model.n_bins)
-    for r in rows:
-        n[r["b"]], bad[r["b"]] = r["n"], r["bad"]
-    return Histogram(np.array(model.splits), n, bad)
-
-
-def category_groups(df: DataFrame, feature: str, label: str, max_n_bins: int, max_categories: int = 1000) -> list[list[str]]:
-    """Categories in order of bad rate, cut into groups by the search over that order; rare ones beyond ``max_categories`` fall to the last group's ``unknown``."""
-    c = F.col(f"`{feature}`").cast("string")
-    rows = df.where(c.isNotNull() & F.col(label).isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"), F.sum(label).alias("bad"))
-    found = rows.orderBy(F.desc("n"), "v").limit(max_categories).collect()
-    found.sort(key=lambda r: (r["bad"] / r["n"], r["v"]))
-    if not found:
-        return []
-    n, bad = np.array([r["n"] for r in found], float), np.array([r["bad"] for r in found], float)
-    cuts = search.best_dp(n, bad, max_n_bins, max(1.0, 0.01 * n.sum()))
-    return [[r["v"] for r in found[a:b]] for a, b in zip([0, *cuts], [*cuts, len(found)])]
+    rows = df.select(F.explode(values).alias("c"), y.alias("y")).select("c.feature", "c.v", "y").where("v IS NOT NULL AND y IS NOT NULL")
+    per = rows.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    totals = {r["feature"]: r for r in per.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("kinds")).collect()}
+    top = max_categories if label is not None else max_n_bins
+    order = Window.partitionBy("feature").orderBy(F.desc("n"), "v")  # a bounded number of rows of each feature, chosen before the exchange
+    listed = per.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).collect()
+    out: dict[str, tuple[list[list[str]], int]] = {f: ([], 0) for f in features}
+    for f, total in totals.items():
+        found = sorted((r for r in listed if r["feature"] == f), key=lambda r: r["place"])
+        if label is None:
+            rest = total["kinds"] > max_n_bins
+            out[f] = [[r["v"]] for r in found[: max_n_bins - rest]] + [[]] * rest, max_n_bins - 1 if rest else 0
+            continue
+        cells = [(r["bad"] / r["n"], r["v"], r["n"], r["bad"]) for r in found]
+        left = total["n"] - sum(c[2] for c in cells)
+        if left:
+            cells.append(((total["bad"] - sum(c[3] for c in cells)) / left, None, left, total["bad"] - sum(c[3] for c in cells)))
+        cells.sort(key=lambda c: (c[0], c[1] is None, c[1] or ""))
+        n, bad = np.array([c[2] for c in cells], float), np.array([c[3] for c in cells], float)
+        cuts = search.best_dp(n, bad, max_n_bins, max(1.0, 0.01 * n.sum()))
+        groups = [[c[1] for c in cells[a:b]] for a, b in zip([0, *cuts], [*cuts, len(cells)])]
+        out[f] = [[v for v in g if v is not None] for g in groups], next((i for i, g in enumerate(groups) if None in g), 0)
+    return out
 
 
 METHODS: dict[str, Callable] = {
@@ -160,57 +199,74 @@ ALL_METHODS = ["uniform", "quantile", *METHODS]
 def fit_binning(
     df: DataFrame, feature: str, label: str | None = None, method: str = "mdlp", max_n_bins: int = 5, min_n_bins: int = 2, min_bin_size: float = 0.01, max_bin_size: float | None = None,
     min_bad_rate: float = 0.0, monotonic: str | bool = False, special: list[float] | None = None, missing_separate: bool = True, user_splits: list | None = None, n_candidates: int = 100,
-    quantiles: list[float] | None = None, cat_cutoff: float | None = None, **options,
+    quantiles: list[float] | None = None, cat_cutoff: float | None = None, prebinning: list[float] | None = None, lift_refine: dict | None = None, **options,
 ) -> BinModel:
     """Fit bins by any method; numeric features get splits, text features groups.
 
-    ``min_bin_size``/``max_bin_size`` under 1 are shares.  After the search:
-    size limits, monotone merge, size limits, bin limit.
+    ``min_bin_size``/``max_bin_size`` under 1 are shares.  ``prebinning`` gives
+    the candidate splits instead of percentiles.  After the search: size
+    limits, monotone merge, size limits, bin limit; then, with ``lift_refine``
+    (a dict of options of ``search.refine_lift``), the borders of the outer
+    bins move to where head and tail lift are best.
     """
     special = special or []
     kind = dict(df.dtypes).get(feature)
     if kind is None:
         raise ValueError(f"no column {feature!r}")
-    if kind in ("string", "boolean") or cat_cutoff and (df.agg(F.approx_count_distinct(feature)).first()[0] <= cat_cutoff):
-        if user_splits is not None:
-            groups = [[str(v) for v in (g if isinstance(g, (list, tuple, set)) else [g])] for g in user_splits]
-        elif label is None:
-            groups = [[r[0]] for r in df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(max_n_bins).collect()]
-        else:
-            groups = category_groups(df, feature, label, max_n_bins)
-        return BinModel(feature, groups=groups, missing_separate=missing_separate, method=method)
     if user_splits is not None:
+        if _is_text(df, feature, kind, cat_cutoff):
+            groups = [[str(v) for v in (g if isinstance(g, (list, tuple, set)) else [g])] for g in user_splits]
+            return BinModel(feature, groups=groups, missing_separate=missing_separate, method=method)
         return BinModel(feature, sorted({float(s) for s in user_splits}), special=special, missing_separate=missing_separate, method="user")
-    if method == "uniform":
-        x = clean(F.col(f"`{feature}`"))
-        low, high = df.where(~x.isin(*[float(s) for s in special]) if special else F.lit(True)).agg(F.min(x), F.max(x)).first()
-        n = max(min_n_bins, max_n_bins)
-        splits = [] if low is None or low == high else [low + (high - low) * i / n for i in range(1, n)]
-        return BinModel(feature, splits, special=special, missing_separate=missing_separate, method=method)
-    if method == "quantile":
-        inner = quantiles if quantiles is not None else [i / max_n_bins for i in range(1, max_n_bins)]
-        found = quantile_edges(df, feature, [*inner, 0.0], special)
-        splits = sorted({s for s in found[:-1] if s > found[-1]}) if found else []
-        if label is None or not splits:
-            return BinModel(feature, splits, special=special, missing_separate=missing_separate, method=method)
-        h, cuts = histogram(df, feature, label, splits, special), list(range(1, len(splits) + 1))
-    elif method in METHODS:
-        if label is None:
-            raise ValueError(f"{method} needs a label")
-        found = quantile_edges(df, feature, [0.0, *[i / n_candidates for i in range(1, n_candidates)]], special)
-        edges = sorted({s for s in found[1:] if s > found[0]}) if found else []
-        if not edges:
-            return BinModel(feature, [], special=special, missing_separate=missing_separate, method=method)
-        h = histogram(df, feature, label, edges, special)
-        cuts = METHODS[method](h.n, h.bad, max_n_bins, search.share(min_bin_size, h.n.sum()), edges=h.edges, min_n_bins=min_n_bins, **options)
-    else:
-        raise ValueError(f"unknown method {method!r}; one of {ALL_METHODS}")
-    cuts = search.constrain(h.n, h.bad, cuts, max_n_bins, search.share(min_bin_size, h.n.sum()), None if max_bin_size is None else search.share(max_bin_size, h.n.sum()), monotonic, min_bad_rate)
-    return BinModel(feature, [float(h.edges[c - 1]) for c in cuts], special=special, missing_separate=missing_separate, method=method)
+    return fit_many(
+        df, [feature], label, method=method, max_n_bins=max_n_bins, min_n_bins=min_n_bins, min_bin_size=min_bin_size, max_bin_size=max_bin_size, min_bad_rate=min_bad_rate, monotonic=monotonic, special=special,
+        missing_separate=missing_separate, n_candidates=n_candidates, quantiles=quantiles, cat_cutoff=cat_cutoff, prebinning=prebinning, lift_refine=lift_refine, **options,
+    )[feature]
+
 
+def _is_text(df: DataFrame, feature: str, kind: str, cat_cutoff: float | None) -> bool:
+    return kind in ("string", "boolean") or bool(cat_cutoff) and df.agg(F.approx_count_distinct(feature)).first()[0] <= cat_cutoff
 
-def fit_many(df: DataFrame, features: list[str], label: str | None, **options) -> dict[str, BinModel]:
-    return {f: fit_binning(df, f, label, **options) for f in features}
+
+def fit_many(
+    df: DataFrame, features: list[str], label: str | None = None, method: str = "mdlp", max_n_bins: int = 5, min_n_bins: int = 2, min_bin_size: float = 0.01, max_bin_size: float | None = None,
+    min_bad_rate: float = 0.0, monotonic: str | bool = False, special: list[float] | None = None, missing_separate: bool = True, n_candidates: int = 100, quantiles: list[float] | None = None,
+    cat_cutoff: float | None = None, prebinning: list[float] | None = None, lift_refine: dict | None = None, **options,
+) -> dict[str, BinModel]:
+    """Fit many features as ``fit_binning`` does one, with the same number of scans as for one."""
+    special, types, out = special or [], dict(df.dtypes), {}
+    if method not in ALL_METHODS:
+        raise ValueError(f"unknown method {method!r}; one of {ALL_METHODS}")
+    if method in METHODS and label is None and any(types[f] not in ("string", "boolean") for f in features):
+        raise ValueError(f"{method} needs a label")
+    text = [f for f in features if _is_text(df, f, types[f], cat_cutoff)]
+    numeric = [f for f in features if f not in text]
+    if text:
+        out = {f: BinModel(f, groups=g, unknown=u, missing_separate=missing_separate, method=method) for f, (g, u) in category_groups(df, text, label, max_n_bins).items()}
+    own = lambda f, splits: BinModel(f, splits, special=special, missing_separate=missing_separate, method=method)
+    if method == "uniform" and numeric:
+        ends = {r["feature"]: (r["lo"], r["hi"]) for r in cells_of(df, numeric, special).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+        n = max(min_n_bins, max_n_bins)
+        for f in numeric:
+            low, high = ends.get(f, (None, None))
+            out[f] = own(f, [] if low is None or low == high else [low + (high - low) * i / n for i in range(1, n)])
+    elif numeric:
+        inner = (quantiles if quantiles is not None else [i / max_n_bins for i in range(1, max_n_bins)]) if method == "quantile" else [i / n_candidates for i in range(1, n_candidates)]
+        if prebinning is not None:
+            edges = {f: sorted({float(s) for s in prebinning}) for f in numeric}
+        else:
+            found = all_edges(df, numeric, [0.0, *inner], special)
+            edges = {f: sorted({s for s in found[f][1:] if s > found[f][0]}) if f in found else [] for f in numeric}
+        if label is None:
+            return {f: out.get(f) or own(f, edges[f]) for f in features}
+        for f, h in histograms(df, {f: e for f, e in edges.items() if e}, label, special).items():
+            least = search.share(min_bin_size, h.n.sum())
+            cuts = list(range(1, len(h.edges) + 1)) if method == "quantile" else METHODS[method](h.n, h.bad, max_n_bins, least, edges=h.edges, min_n_bins=min_n_bins, **options)
+            cuts = search.constrain(h.n, h.bad, cuts, max_n_bins, least, None if max_bin_size is None else search.share(max_bin_size, h.n.sum()), monotonic, min_bad_rate)
+            if lift_refine is not None:
+                cuts = search.refine_lift(h.n, h.bad, cuts, least, min_n_bins=min_n_bins, max_n_bins=max_n_bins, monotone=monotonic, **lift_refine)
+            out[f] = own(f, [float(h.edges[c - 1]) for c in cuts])
+    return {f: out.get(f) or own(f, []) for f in features}
 
 
 def auto_select(df: DataFrame, feature: str, label: str, methods: list[str] | None = None, metric: str = "iv", **options) -> tuple[BinModel, list[dict]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from . import bin_stats, metrics, selectors, stability
+from . import bin_stats, metrics, ranks, selectors, stability
 from .binning import BinModel, fit_binning, fit_many
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -18,7 +18,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def _cells(df: DataFrame, features: list[str], by: list[str] | None = None, numeric: bool = True) -> DataFrame:
     """Long rows (by..., feature, x): one scan for many columns."""
-    x = (lambda f: L.clean(f)) if numeric else (lambda f: F.col(f"`{f}`").cast("string"))
+    types = dict(df.dtypes)
+    number = lambda f: F.nanvl(F.col(f"`{f}`"), F.lit(None)) if types[f] in ("float", "double") else F.col(f"`{f}`")
+    x = (lambda f: L.clean(f)) if numeric else (lambda f: number(f).cast("string"))
     return df.select(*(by or []), F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), x(f).alias("x")) for f in features])).alias("c")).select(*(by or []), "c.feature", "c.x")
 
 
@@ -31,17 +33,18 @@ def data_info(df: DataFrame) -> DataFrame:
 
 
 def missing_table(df: DataFrame, features: list[str] | None = None, threshold: float = 0.0) -> DataFrame:
-    t = _cells(df, features or df.columns, numeric=False).groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | (F.col("x") == "NaN")).alias("missing"))
+    t = _cells(df, features or df.columns, numeric=False).groupBy("feature").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"))
     return t.withColumn("missing_rate", F.col("missing") / F.col("n")).where(F.col("missing_rate") >= threshold)
 
 
-def describe(df: DataFrame, features: list[str], percentiles: list[float] | None = None, by: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """(by..., feature, n, missing, distinct, mean, std, min, max, p..): sample deviation; exact percentiles unless told otherwise."""
-    ps = percentiles or [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
-    q = F.percentile("x", [float(p) for p in ps]) if exact else F.percentile_approx("x", [float(p) for p in ps], 10_000)
-    t = _cells(df, features, by).groupBy(*(by or []), "feature").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.count_distinct("x").alias("distinct"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"))
-    return t.select(*(by or []), "feature", "n", "missing", "distinct", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(ps)])
+def describe(df: DataFrame, features: list[str], percentiles: list[float] | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by..., feature, n, missing, distinct, mean, std, min, max, p..): sample deviation, exact percentiles and distinct counts at any size."""
+    ps, keys = percentiles or [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], [*(by or []), "feature"]
+    cells = _cells(df, features, by)
+    t = cells.groupBy(*keys).agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = ranks.percentiles(ranks.value_counts(cells, keys), keys, ps).drop("n")
+    j = t.alias("a").join(q.alias("b"), ranks._on("a", "b", keys), "left")
+    return j.select(*[F.col(f"a.{k}") for k in keys], "a.n", "missing", F.coalesce("distinct", F.lit(0)).alias("distinct"), "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(ps)])
 
 
 def moments(df: DataFrame, features: list[str], by: list[str] | None = None) -> DataFrame:
@@ -65,7 +68,7 @@ def categories(df: DataFrame, feature: str, top: int | None = None) -> DataFrame
 def quality(df: DataFrame, features: list[str], missing_threshold: float = 0.5, constant_threshold: float = 0.95) -> DataFrame:
     """(feature, missing_rate, mode_share, distinct, flag)."""
     counts = _cells(df, features, numeric=False).groupBy("feature", "x").agg(F.count("*").alias("n"))
-    t = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("x").isNull() | (F.col("x") == "NaN"), F.col("n"))), F.lit(0)).alias("missing"), F.max("n").alias("mode"), F.count("x").alias("distinct"))
+    t = counts.groupBy("feature").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("missing"), F.max("n").alias("mode"), F.count("x").alias("distinct"))
     rate, mode = F.col("missing") / F.col("n"), F.col("mode") / F.col("n")
     flag = F.when(rate > missing_threshold, "missing").when(F.col("distinct") <= 1, "constant").when(mode >= constant_threshold, "near constant").otherwise("ok")
     return t.select("feature", rate.alias("missing_rate"), mode.alias("mode_share"), "distinct", flag.alias("flag"))
@@ -99,16 +102,18 @@ def numeric_distribution(df: DataFrame, feature: str, n_bins: int = 20) -> DataF
 def outliers(df: DataFrame, features: list[str], method: str = "iqr", threshold: float | None = None) -> DataFrame:
     """(feature, lower, upper, n, outliers, rate) by iqr fences (1.5), z-score (3, sample deviation) or MAD (3.5, factor 0.6745)."""
     cells = _cells(df, features).where("x IS NOT NULL")
+    quantiles = lambda rows, ps: ranks.percentiles(ranks.value_counts(rows, ["feature"]), ["feature"], ps)
     if method == "iqr":
         t = threshold if threshold is not None else 1.5
-        fences = cells.groupBy("feature").agg(F.percentile("x", [0.25, 0.75]).alias("q")).select("feature", (F.col("q")[0] - t * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + t * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
+        fences = quantiles(cells, [0.25, 0.75]).select("feature", (F.col("q")[0] - t * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + t * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
     elif method == "zscore":
         t = threshold if threshold is not None else 3.0
         fences = cells.groupBy("feature").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).select("feature", (F.col("m") - t * F.col("s")).alias("lower"), (F.col("m") + t * F.col("s")).alias("upper"))
     elif method == "mad":
         t = threshold if threshold is not None else 3.5
-        med = cells.groupBy("feature").agg(F.percentile("x", 0.5).alias("m"))
-        mad = cells.join(F.broadcast(med), "feature").groupBy("feature").agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("d"))
+        med = quantiles(cells, [0.5]).select("feature", F.col("q")[0].alias("m"))
+        away = quantiles(cells.join(F.broadcast(med), "feature").select("feature", F.abs(F.col("x") - F.col("m")).alias("x")), [0.5])
+        mad = med.join(away.select("feature", F.col("q")[0].alias("d")), "feature")
         fences = mad.select("feature", (F.col("m") - t / 0.6745 * F.col("d")).alias("lower"), (F.col("m") + t / 0.6745 * F.col("d")).alias("upper"))
     else:
         raise ValueError(f"unknown method {method!r}")
@@ -132,12 +137,11 @@ def rare_categories(df: DataFrame, features: list[str], threshold: float = 0.01)
 
 def concentration(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, gini): Gini coefficient of the positive values, from counts of distinct values."""
-    c = _cells(df, features).where("x > 0").groupBy("feature", "x").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    before_n, before_s = F.sum("n").over(upto) - F.col("n"), F.sum(F.col("n") * F.col("x")).over(upto) - F.col("n") * F.col("x")
+    n, x = F.col("n"), F.col("x")
+    c = ranks.running(ranks.value_counts(_cells(df, features).where("x > 0"), ["feature"]), ["feature"], {"s": n * x})
     # sum over equal rows of the running total: n * before + x * n (n + 1) / 2
-    part = F.col("n") * F.col("s0") + F.col("x") * F.col("n") * (F.col("n") + 1) / 2
-    t = c.select("feature", "x", "n", before_n.alias("n0"), before_s.alias("s0")).groupBy("feature").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(part).alias("cum"))
+    part = n * (F.col("s") - n * x) + x * n * (n + 1) / 2
+    t = c.groupBy("feature").agg(F.sum("n").alias("n"), F.max("s_total").alias("s"), F.sum(part).alias("cum"))
     return t.select("feature", "n", ((F.col("n") + 1 - 2 * F.col("cum") / F.col("s")) / F.col("n")).alias("gini"))
 
 
@@ -173,12 +177,16 @@ def monotonicity(df: DataFrame, model: BinModel, label: str) -> DataFrame:
 
 
 def univariate_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """(feature, auc, ks, direction)."""
-    out = None
-    for f in features:
-        t = metrics.ks_auc(df.withColumn("_x", L.clean(f)), label, "_x").select(F.lit(f).alias("feature"), F.greatest("auc", 1 - F.col("auc")).alias("auc"), "ks", F.when(F.col("auc") >= 0.5, "higher is riskier").otherwise("lower is riskier").alias("direction"))
-        out = t if out is None else out.unionAll(t)
-    return out
+    """(feature, auc, ks, direction) of all features from one scan; ties count half."""
+    cells = _cells(df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long")), features, ["_y"]).where("x IS NOT NULL")
+    counts = cells.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("_y").alias("bad"))
+    c = ranks.running(counts, ["feature"], {"b": F.col("bad"), "g": F.col("n") - F.col("bad")})
+    good = F.col("n") - F.col("bad")
+    t = c.groupBy("feature").agg(
+        F.try_divide(F.sum(F.col("bad") * (F.col("g") - good / 2)), F.max(F.col("b_total") * F.col("g_total"))).alias("auc"),
+        F.max(F.abs(F.try_divide(F.col("b"), F.col("b_total")) - F.try_divide(F.col("g"), F.col("g_total")))).alias("ks"),
+    )
+    return t.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"), "ks", F.when(F.col("auc") >= 0.5, "higher is riskier").otherwise("lower is riskier").alias("direction"))
 
 
 def importance_ranking(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -190,12 +198,14 @@ def importance_ranking(df: DataFrame, features: list[str], label: str) -> DataFr
 
 def group_profile(df: DataFrame, features: list[str], by: list[str], label: str | None = None) -> DataFrame:
     """(by..., feature, n, missing_rate, mean, std, min, max, p25, p50, p75[, bad_rate]), with an overall row (by NULL, overall true) from grouping sets."""
-    keys = [*by]
-    rows = _cells(df.withColumn("_y", F.lit(None).cast("double") if label is None else F.col(label).cast("double")), features, [*keys, "_y"])
-    every, groups = rows.withColumns({k: F.lit(None).cast(dict(rows.dtypes)[k]) for k in keys}), rows
-    agg = [F.count("*").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.avg("_y").alias("bad_rate")]
-    t = groups.groupBy(*keys, "feature").agg(*agg).withColumn("overall", F.lit(False)).unionByName(every.groupBy(*keys, "feature").agg(*agg).withColumn("overall", F.lit(True)))
-    t = t.select(*keys, "overall", "feature", "n", "missing_rate", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "bad_rate")
+    keys = [*by, "overall", "feature"]
+    cells = _cells(df.withColumn("_y", F.lit(None).cast("double") if label is None else F.col(label).cast("double")), features, [*by, "_y"])
+    types = dict(cells.dtypes)
+    rows = cells.withColumn("overall", F.lit(False)).unionByName(cells.withColumns({k: F.lit(None).cast(types[k]) for k in by} | {"overall": F.lit(True)}))
+    t = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("_y").alias("bad_rate"))
+    q = ranks.percentiles(ranks.value_counts(rows, keys), keys, [0.25, 0.5, 0.75]).drop("n", "distinct")
+    t = t.alias("a").join(q.alias("b"), ranks._on("a", "b", keys), "left")
+    t = t.select(*[F.col(f"a.{k}") for k in keys], "n", "missing_rate", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "bad_rate")
     return t if label else t.drop("bad_rate")
 
 

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+from .binning import bucket
+
 INLINE = 2000
 
 
@@ -51,9 +54,9 @@ def _groups(df: DataFrame, column: str, label: str | None = None) -> DataFrame:
 def woe(df: DataFrame, column: str, label: str, regularization: float = 1.0, clip: float | None = 5.0) -> tuple[Mapping, float]:
     """WOE per value, ln(((bad+r)/(B+2r)) / ((good+r)/(G+2r))), and the IV of the column (unclipped); missing and unknown become 0."""
     g, r = _groups(df, column, label), float(regularization)
-    every = Window.partitionBy(F.lit(0))
-    pb = (F.col("s") + r) / (F.sum("s").over(every) + 2 * r)
-    pg = (F.col("m") - F.col("s") + r) / (F.sum(F.col("m") - F.col("s")).over(every) + 2 * r)
+    bad, rows = (float(x or 0.0) for x in g.agg(F.sum("s"), F.sum("m")).first())
+    pb = (F.col("s") + r) / (bad + 2 * r)
+    pg = (F.col("m") - F.col("s") + r) / (rows - bad + 2 * r)
     t = g.select("value", F.log(pb / pg).alias("w"), ((pb - pg) * F.log(pb / pg)).alias("iv"))
     code = F.col("w") if clip is None else F.greatest(F.least("w", F.lit(float(clip))), F.lit(-float(clip)))
     total = t.agg(F.sum("iv")).first()[0]
@@ -72,18 +75,21 @@ def count(df: DataFrame, column: str, normalize: bool = False, min_group_size: i
     """Frequency of a value; values rarer than ``min_group_size`` share their total."""
     t = _groups(df, column)
     n = F.col("n").cast("double")
-    if min_group_size:
-        rare = F.sum(F.when(F.col("n") < min_group_size, F.col("n")).otherwise(0)).over(Window.partitionBy(F.lit(0))).cast("double")
-        n = F.when(F.col("n") < min_group_size, rare).otherwise(n)
+    few = F.col("n") < (min_group_size or 0)
+    total, rare = (float(x or 0.0) for x in t.agg(F.sum("n"), F.sum(F.when(few, F.col("n")))).first())
+    n = F.when(few, rare).otherwise(n)
     if normalize:
-        n = n / F.sum("n").over(Window.partitionBy(F.lit(0)))
+        n = n / max(total, 1.0)
     return Mapping.of(column, t.select("value", n.alias("code")), 0.0, 0.0)
 
 
 def quantile(df: DataFrame, column: str, label: str, q: float = 0.5, m: float = 1.0) -> Mapping:
     """Smoothed quantile of the label per value: (n * q_value + m * q_all) / (n + m)."""
-    overall = float(df.agg(F.percentile(F.col(label).cast("double"), q)).first()[0] or 0.0)
-    rows = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.percentile(F.col(label).cast("double"), q).alias("p"), F.count(label).alias("n"))
+    cells = df.select(F.col(column).cast("string").alias("value"), F.col(label).cast("double").alias("x"))
+    one = lambda rows, keys: ranks.percentiles(ranks.value_counts(rows, keys), keys, [q]).select(*keys, "n", F.col("q")[0].alias("p"))
+    found = one(cells, []).first()
+    overall = float(found["p"]) if found else 0.0
+    rows = one(cells.where("value IS NOT NULL"), ["value"])
     return Mapping.of(column, rows.select("value", ((F.col("n") * F.col("p") + m * overall) / (F.col("n") + m)).alias("code")), overall, overall)
 
 
@@ -97,8 +103,17 @@ def ordinal(df: DataFrame, column: str, mapping: dict[str, int] | None = None) -
 
 
 def _ranked(values: DataFrame) -> DataFrame:
-    """Distinct values numbered from 0 in order: a range sort whose partitions are counted, then numbered."""
-    return values.sort("value").rdd.zipWithIndex().map(lambda x: (x[0][0], float(x[1]))).toDF("value string, code double")
+    """Distinct values numbered from 0 in order: ranges of their first bytes are counted, and numbered inside."""
+    k = ranks.ranges_of(values)
+    first = F.conv(F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")  # in the order of the bytes
+    rows = values.withColumn("_first", first)
+    cuts = rows.agg(F.percentile_approx("_first", [i / k for i in range(1, k)], 10_000)).first()[0] or []
+    rows = rows.select("value", bucket(F.col("_first"), sorted(set(cuts))).alias("_part"))
+    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per range
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1
+    return rows.join(F.broadcast(sums), "_part").select("value", (inside + F.col("_before")).cast("double").alias("code"))
 
 
 def top_categories(df: DataFrame, column: str, max_categories: int = 10) -> list[str]:
@@ -119,28 +134,29 @@ def one_hot(df: DataFrame, column: str, categories: list[str] | None = None, dro
     return df.withColumns({f"{column}_{c}": F.coalesce((v == c).cast("int"), F.lit(0)) for c in categories[1 if drop_first else 0 :]})
 
 
-def ordered_target(df: DataFrame, column: str, label: str, order: Column, out: str, prior_weight: float = 1.0) -> DataFrame:
+def ordered_target(df: DataFrame, column: str, label: str, order: Column, out: str, prior_weight: float = 1.0, tie_breaker: Column | None = None) -> DataFrame:
     """Ordered target statistics: (sum of earlier labels of the value + a * overall) / (earlier rows + a).
 
-    The order inside a value is total only over that value's rows.  A value
-    with very many rows is cut into salted runs of the order: sums of earlier
-    runs are carried in, so that no window holds a third of the table.
+    Rows of equal ``order`` stand in order of ``tie_breaker`` (by default a
+    hash of the whole row, so that no result depends on chance).  A value with
+    very many rows is cut into runs of the order, as many as the session has
+    shuffle partitions: sums of earlier runs are carried in, so that no window
+    holds a third of the table.
     """
     overall = float(df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0)
-    rows = df.withColumns({"_v": F.col(column).cast("string"), "_o": order.cast("double"), "_y": F.col(label).cast("double")})
-    cuts = sorted(set(rows.agg(F.percentile_approx("_o", [i / 64 for i in range(1, 64)], 10_000)).first()[0] or []))
-    run = F.lit(0)
-    for c in cuts:
-        run = run + (F.col("_o") >= c).cast("int")
-    rows = rows.withColumn("_run", run)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if tie_breaker is None else tie_breaker
+    rows = df.withColumns({"_v": F.col(column).cast("string"), "_o": order, "_t": tie, "_y": F.col(label).cast("double")})
+    k, place = ranks.ranges_of(df), F.col("_o").cast("double")  # the cast only cuts runs; the order itself keeps its type
+    cuts = sorted(set(rows.agg(F.percentile_approx(place, [i / k for i in range(1, k)], 10_000)).first()[0] or []))
+    rows = rows.withColumn("_run", bucket(place, cuts))
     per = rows.groupBy("_v", "_run").agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"))
     before = Window.partitionBy("_v").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_v", "_run", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy("_v", "_run").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_v", "_run").orderBy("_o", "_t").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(per.withColumnsRenamed({"_v": "_v2", "_run": "_run2"}), F.col("_v").eqNullSafe(F.col("_v2")) & (F.col("_run") == F.col("_run2")))
     s = F.coalesce(F.sum("_y").over(inside), F.lit(0.0)) + F.col("_s0")
     n = F.coalesce(F.count("_y").over(inside), F.lit(0)) + F.col("_n0")
-    return joined.withColumn(out, (s + prior_weight * overall) / (n + prior_weight)).drop("_v", "_o", "_y", "_run", "_v2", "_run2", "_s0", "_n0")
+    return joined.withColumn(out, (s + prior_weight * overall) / (n + prior_weight)).drop("_v", "_o", "_t", "_y", "_run", "_v2", "_run2", "_s0", "_n0")
 
 
 def tree_leaves(df: DataFrame, features: list[str], label: str, n_trees: int = 20, max_depth: int = 4, seed: int = 42, output: str = "leaf"):

@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 from .bin_stats import counts, table_from_counts
 from .binning import BinModel, fit_binning
 from .binning import bucket as _bucket
-
-
-def ranges_of(df: DataFrame) -> int:
-    """How many ranges an order is cut into: as many as the session has shuffle partitions, 8 to 1000."""
-    return max(8, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+from .ranks import ranges_of
 
 
 def by_score(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.losses import CrossEntropy, approval_loss, sigmoid
+from . import ranks
 from .binning import quantile_edges
 from .metrics import by_score, cumulate
 
@@ -39,10 +40,17 @@ def cost_at_threshold(df: DataFrame, label: str, p: str, false_negative: float =
 
 
 def bad_debt(df: DataFrame, label: str, p: str, approval: float = 0.3, bad_debt_weight: float = 1.0, approval_weight: float = 0.5) -> DataFrame:
-    """Cross entropy, the bad rate of the approved share of lowest probability, and the distance of that share from its target (0: ties count by their mean)."""
+    """Cross entropy, the bad rate of the approved rows, and the distance of their share from ``approval``.
+
+    Approved are the rows of lowest probability up to the value at which their
+    share reaches ``approval``; rows of one value are approved together.
+    """
     rows, y, x = _rows(df, label, p)
     base = rows.agg(F.avg(bce(y, x))).first()[0] or 0.0
-    return approval_loss(df, label, p, approval).select((F.lit(base) + bad_debt_weight * F.col("loss") + approval_weight * 0.0).alias("loss"))
+    c = cumulate(by_score(df, label, p), descending=False)
+    taken = F.col("cum_n") - F.col("n") < F.col("total_n") * approval
+    t = c.agg(F.max("total_n").alias("all"), F.sum(F.when(taken, F.col("n"))).alias("n"), F.sum(F.when(taken, F.col("bad"))).alias("bad"))
+    return t.select((F.lit(base) + bad_debt_weight * F.coalesce(F.try_divide("bad", "n"), F.lit(0.0)) + approval_weight * F.abs(F.coalesce(F.try_divide("n", "all"), F.lit(0.0)) - approval)).alias("loss"))
 
 
 def ks_focused(df: DataFrame, label: str, p: str, ks_weight: float = 1.0, bce_weight: float = 1.0, var_weight: float = 0.1) -> DataFrame:
@@ -52,31 +60,35 @@ def ks_focused(df: DataFrame, label: str, p: str, ks_weight: float = 1.0, bce_we
     return rows.agg((bce_weight * F.avg(bce(y, x)) - ks_weight * (on(F.avg, 1) - on(F.avg, 0)) + var_weight * (on(F.var_pop, 1) + on(F.var_pop, 0))).alias("loss"))
 
 
-def lift_focused(df: DataFrame, label: str, p: str, ratio: float = 0.1, penalty: float = 3.0, positive_boost: float = 1.5) -> DataFrame:
+def lift_focused(df: DataFrame, label: str, p: str, ratio: float = 0.1, penalty: float = 3.0, positive_boost: float = 1.5, base_weight: float = 1.0) -> DataFrame:
     """Weighted cross entropy: the top share of rows by probability and the positives weigh more; a tie at the border takes its share of the extra weight."""
     c = cumulate(by_score(df, label, p))
     take = F.greatest(F.lit(1.0), F.ceil(F.col("total_n") * ratio))
     part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (take - (F.col("cum_n") - F.col("n"))) / F.col("n")))
-    w = 1 + (penalty - 1) * part
+    w = base_weight * (1 + (penalty - 1) * part)
     x, good, bad = clip(F.col("score")), F.col("n") - F.col("bad"), F.col("bad")
     return c.agg((F.sum(w * (-bad * positive_boost * F.log(x) - good * F.log(1 - x))) / F.sum(w * (bad * positive_boost + good))).alias("loss"))
 
 
 def ranking_hinge(df: DataFrame, label: str, p: str, margin: float = 0.2, rank_weight: float = 1.0, bce_weight: float = 1.0) -> DataFrame:
-    """Cross entropy plus the mean squared hinge over all (bad, good) pairs.
+    """Cross entropy plus the mean squared hinge over all (bad, good) pairs, exactly and without making pairs.
 
-    For a bad row at s the good rows above s - margin count; sums of 1, s and
-    s^2 over them come from cumulative sums on a grid of 1/1000, so that pairs
-    are never made.
+    For a bad row at s the good rows t above s - margin count, with
+    (margin - s + t)^2: sums of 1, t and t^2 over them are running sums over
+    the distinct values of good rows and of the borders of bad ones.
     """
     rows, y, x = _rows(df, label, p)
     base = rows.agg(F.avg(bce(y, x))).first()[0] or 0.0
-    g = rows.groupBy(F.round(x * 1000).cast("int").alias("s")).agg(F.sum(y.cast("double")).alias("b"), F.sum(1 - y.cast("double")).alias("g"))
-    cells = {r["s"]: (r["b"], r["g"]) for r in g.collect()}  # 1001 rows at most
-    total_b, total_g = sum(b for b, _ in cells.values()), sum(v for _, v in cells.values())
-    loss = sum(b * v * max(0.0, margin - (s - t) / 1000) ** 2 for s, (b, _) in cells.items() if b for t, (_, v) in cells.items() if v)
-    mean = loss / (total_b * total_g) if total_b and total_g else 0.0
-    return df.sparkSession.createDataFrame([(bce_weight * base + rank_weight * mean,)], "loss double")
+    per = rows.groupBy(x.alias("s")).agg(F.sum(y.cast("double")).alias("b"), F.sum(1 - y.cast("double")).alias("g"))
+    s, g = F.col("s"), F.col("g")
+    good = per.select(s.alias("x"), F.lit(0.0).alias("b"), g.alias("g0"), (g * s).alias("g1"), (g * s * s).alias("g2"))
+    bad = per.select((s - margin).alias("x"), "b", *[F.lit(0.0).alias(c) for c in ("g0", "g1", "g2")])
+    both = good.unionAll(bad).groupBy("x").agg(*[F.sum(c).alias(c) for c in ("b", "g0", "g1", "g2")])
+    run = ranks.running(both, [], {f"c{k}": F.col(f"g{k}") for k in range(3)})
+    n0, n1, n2 = (F.col(f"c{k}_total") - F.col(f"c{k}") for k in range(3))  # of good rows above the border
+    edge = F.col("x")  # s - margin
+    loss = F.sum(F.col("b") * (n2 - 2 * edge * n1 + edge * edge * n0)) / (F.sum("b") * F.max("c0_total"))
+    return run.agg(loss.alias("mean")).select((bce_weight * base + rank_weight * F.coalesce("mean", F.lit(0.0))).alias("loss"))
 
 
 def top_k_capture(df: DataFrame, label: str, p: str, ratio: float = 0.05, miss: float = 5.0, false_alarm: float = 1.0, temperature: float = 0.05, bce_weight: float = 0.1) -> DataFrame:

@@ -208,10 +208,11 @@ class ScoreCard:
         for f, m in self.models.items():
             pts = self.points_of(f)
             name = f"`{f}`"
-            cases = [f"WHEN {name} IS NULL THEN {pts.get(-1, 0.0)!r}"] if m.missing_separate else [f"WHEN {name} IS NULL THEN {pts.get(0, 0.0)!r}"]
+            gone = f"{name} IS NULL" if m.groups is not None else f"{name} IS NULL OR isnan({name})"
+            cases = [f"WHEN {gone} THEN {pts.get(-1 if m.missing_separate else 0, 0.0)!r}"]
             if m.groups is not None:
                 quote = lambda v: "'" + v.replace("'", "''") + "'"
-                cases += [f"WHEN {name} IN ({', '.join(map(quote, g))}) THEN {pts.get(i, 0.0)!r}" for i, g in enumerate(m.groups)]
+                cases += [f"WHEN {name} IN ({', '.join(map(quote, g))}) THEN {pts.get(i, 0.0)!r}" for i, g in enumerate(m.groups) if g]
                 cases.append(f"ELSE {pts.get(m.unknown, 0.0)!r}")
             else:
                 cases += [f"WHEN {name} = {float(s)!r} THEN {pts.get(-2, 0.0)!r}" for s in m.special]
