@@ -139,6 +139,24 @@ def ks_for_splits(df: DataFrame, feature: str, label: str, splits: list[float])
     return closed_right_table(df, feature, label, splits).agg(F.max("ks").alias("ks"))
 
 
+def compare_splits(df: DataFrame, feature: str, label: str, first: list[float], second: list[float]) -> DataFrame:
+    """One row: IV and KS of two sets of splits (bins closed on the right), and which is better; ties go to the first."""
+    parts = [closed_right_table(df, feature, label, s).agg(F.sum("iv_bin").alias("iv"), F.max("ks").alias("ks")).first() for s in (first, second)]
+    a, b = ((float(p["iv"] or 0.0), float(p["ks"] or 0.0)) for p in parts)
+    row = (*a, *b, *("first" if x >= y else "second" for x, y in zip(a, b)))
+    return df.sparkSession.createDataFrame([row], "iv_first double, ks_first double, iv_second double, ks_second double, better_iv string, better_ks string")
+
+
+def curve_quality(df: DataFrame, model: BinModel, label: str, metric: str = "lift", trend: str = "descending") -> float:
+    """``search.curve_coefficient`` of a fitted feature: missing and special bins take no part."""
+    from .search import curve_coefficient
+
+    rows = sorted((r["bin"], r["n"], r["bad"]) for r in counts(df, model.index(), label).collect() if r["bin"] >= 0)
+    import numpy as np
+
+    return curve_coefficient(np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float), metric, trend)
+
+
 def feature_bin_stats(
     df: DataFrame, features: list[str], label: str | None = None, overdue: list[str] | None = None, dpds: list[float] | None = None, models: dict[str, BinModel] | None = None,
     drop_grey: bool = False, margins: bool = False, **binning_options,

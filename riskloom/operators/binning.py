@@ -20,22 +20,11 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import clean
 from . import ranks, search
+from .ranks import bucket
 
 MISSING, SPECIAL = -1, -2
 
 
-def bucket(x: Column, cuts: list[float]) -> Column:
-    """How many cuts are at or under x, by a balanced tree of comparisons."""
-
-    def walk(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= float(cuts[mid]), walk(mid + 1, hi)).otherwise(walk(lo, mid))
-
-    return walk(0, len(cuts)).cast("int")
-
-
 @dataclass
 class BinModel:
     """Bins of one feature: [a, b) intervals between ``splits``, or groups of categories; missing is -1, special codes -2."""
@@ -110,8 +99,7 @@ def cells_of(df: DataFrame, features: list[str], special: list[float] | None = N
 
 def all_edges(df: DataFrame, features: list[str], probabilities: list[float], special: list[float] | None = None) -> dict[str, list[float]]:
     """Exact percentiles with linear interpolation of every feature that has values, in one job."""
-    counts = ranks.value_counts(cells_of(df, features, special), ["feature"])
-    return {r["feature"]: list(r["q"]) for r in ranks.percentiles(counts, ["feature"], probabilities).collect()}
+    return {r["feature"]: list(r["q"]) for r in ranks.percentiles(cells_of(df, features, special), ["feature"], probabilities).collect()}
 
 
 def quantile_edges(df: DataFrame, feature: str, probabilities: list[float], special: list[float] | None = None) -> list[float]:

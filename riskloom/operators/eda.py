@@ -42,8 +42,9 @@ def describe(df: DataFrame, features: list[str], percentiles: list[float] | None
     ps, keys = percentiles or [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99], [*(by or []), "feature"]
     cells = _cells(df, features, by)
     t = cells.groupBy(*keys).agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    q = ranks.percentiles(ranks.value_counts(cells, keys), keys, ps).drop("n")
-    j = t.alias("a").join(q.alias("b"), ranks._on("a", "b", keys), "left")
+    kinds = ranks.value_counts(cells, keys).groupBy(*keys).agg(F.count("*").alias("distinct"))
+    t = t.alias("a").join(ranks._few(keys, kinds.alias("b")), ranks._on("a", "b", keys), "left").select("a.*", "distinct")
+    j = t.alias("a").join(ranks._few(keys, ranks.percentiles(cells, keys, ps).drop("n").alias("b")), ranks._on("a", "b", keys), "left")
     return j.select(*[F.col(f"a.{k}") for k in keys], "a.n", "missing", F.coalesce("distinct", F.lit(0)).alias("distinct"), "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(ps)])
 
 
@@ -102,7 +103,7 @@ def numeric_distribution(df: DataFrame, feature: str, n_bins: int = 20) -> DataF
 def outliers(df: DataFrame, features: list[str], method: str = "iqr", threshold: float | None = None) -> DataFrame:
     """(feature, lower, upper, n, outliers, rate) by iqr fences (1.5), z-score (3, sample deviation) or MAD (3.5, factor 0.6745)."""
     cells = _cells(df, features).where("x IS NOT NULL")
-    quantiles = lambda rows, ps: ranks.percentiles(ranks.value_counts(rows, ["feature"]), ["feature"], ps)
+    quantiles = lambda rows, ps: ranks.percentiles(rows, ["feature"], ps)
     if method == "iqr":
         t = threshold if threshold is not None else 1.5
         fences = quantiles(cells, [0.25, 0.75]).select("feature", (F.col("q")[0] - t * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + t * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
@@ -138,7 +139,8 @@ def rare_categories(df: DataFrame, features: list[str], threshold: float = 0.01)
 def concentration(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, gini): Gini coefficient of the positive values, from counts of distinct values."""
     n, x = F.col("n"), F.col("x")
-    c = ranks.running(ranks.value_counts(_cells(df, features).where("x > 0"), ["feature"]), ["feature"], {"s": n * x})
+    cells = _cells(df, features).where("x > 0")
+    c = ranks.running(ranks.value_counts(cells, ["feature"]), ["feature"], {"s": n * x}, cells)
     # sum over equal rows of the running total: n * before + x * n (n + 1) / 2
     part = n * (F.col("s") - n * x) + x * n * (n + 1) / 2
     t = c.groupBy("feature").agg(F.sum("n").alias("n"), F.max("s_total").alias("s"), F.sum(part).alias("cum"))
@@ -159,6 +161,31 @@ def correlation_pairs(df: DataFrame, features: list[str], threshold: float = 0.8
     return t.withColumn("rating", L.corr_rating(F.col("correlation")))
 
 
+def label_correlation(df: DataFrame, overdue: list[str], dpds: list[float]) -> DataFrame:
+    """(label_a, label_b, correlation) of the labels that overdue columns and limits of days define; labels are made in the same scan."""
+    names = {L.label_name(o, d): L.overdue_label(o, d).cast("double") for o in overdue for d in dpds}
+    made = df.select(*[c.alias(n) for n, c in names.items()])
+    m = selectors.correlation_matrix(made, list(names))
+    rows = [(a, b, float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return df.sparkSession.createDataFrame(rows, "label_a string, label_b string, correlation double")
+
+
+def feature_report(df: DataFrame, features: list[str], label: str, models: dict[str, BinModel] | None = None, **options) -> DataFrame:
+    """(feature, iv, iv_rating, auc, ks, missing_rate, distinct, bins, top_lift, least_lift): efficiency of every feature, best IV first to read."""
+    models = models or fit_many(df, features, label, **options)
+    bins = bin_stats.table_from_counts(bin_stats.batch_counts(df, models, label), ["feature"])
+    lifts = bins.groupBy("feature").agg(F.max("iv_total").alias("iv"), F.count("*").alias("bins"), F.max("lift").alias("top_lift"), F.min("lift").alias("least_lift"))
+    kinds = _cells(df, features).groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"), F.count_distinct("x").alias("distinct"))
+    out = lifts.join(kinds, "feature").join(univariate_auc(df, features, label).select("feature", "auc", "ks"), "feature")
+    return out.select("feature", "iv", L.iv_rating(F.col("iv")).alias("iv_rating"), "auc", "ks", "missing_rate", "distinct", "bins", "top_lift", "least_lift")
+
+
+def multi_label_efficiency(df: DataFrame, features: list[str], overdue: list[str], dpds: list[float], models: dict[str, BinModel]) -> DataFrame:
+    """(feature, label, n, bad_rate, iv, ks, top_lift) of fixed bins against every label, from one scan."""
+    t = bin_stats.feature_bin_stats(df, features, overdue=overdue, dpds=dpds, models=models)
+    return t.groupBy("feature", "label").agg(F.sum("n").alias("n"), (F.sum("bad") / F.sum("n")).alias("bad_rate"), F.max("iv_total").alias("iv"), F.max("ks").alias("ks"), F.max("lift").alias("top_lift"))
+
+
 def vif_table(df: DataFrame, features: list[str]) -> DataFrame:
     t = df.sparkSession.createDataFrame([(f, float(v)) for f, v in selectors.vif(df, features).items()], "feature string, vif double")
     return t.withColumn("rating", L.vif_rating(F.col("vif")))
@@ -180,7 +207,7 @@ def univariate_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, auc, ks, direction) of all features from one scan; ties count half."""
     cells = _cells(df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long")), features, ["_y"]).where("x IS NOT NULL")
     counts = cells.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("_y").alias("bad"))
-    c = ranks.running(counts, ["feature"], {"b": F.col("bad"), "g": F.col("n") - F.col("bad")})
+    c = ranks.running(counts, ["feature"], {"b": F.col("bad"), "g": F.col("n") - F.col("bad")}, cells)
     good = F.col("n") - F.col("bad")
     t = c.groupBy("feature").agg(
         F.try_divide(F.sum(F.col("bad") * (F.col("g") - good / 2)), F.max(F.col("b_total") * F.col("g_total"))).alias("auc"),
@@ -203,7 +230,7 @@ def group_profile(df: DataFrame, features: list[str], by: list[str], label: str
     types = dict(cells.dtypes)
     rows = cells.withColumn("overall", F.lit(False)).unionByName(cells.withColumns({k: F.lit(None).cast(types[k]) for k in by} | {"overall": F.lit(True)}))
     t = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("_y").alias("bad_rate"))
-    q = ranks.percentiles(ranks.value_counts(rows, keys), keys, [0.25, 0.5, 0.75]).drop("n", "distinct")
+    q = ranks.percentiles(rows, keys, [0.25, 0.5, 0.75]).drop("n")
     t = t.alias("a").join(q.alias("b"), ranks._on("a", "b", keys), "left")
     t = t.select(*[F.col(f"a.{k}") for k in keys], "n", "missing_rate", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "bad_rate")
     return t if label else t.drop("bad_rate")

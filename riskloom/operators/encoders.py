@@ -86,7 +86,7 @@ def count(df: DataFrame, column: str, normalize: bool = False, min_group_size: i
 def quantile(df: DataFrame, column: str, label: str, q: float = 0.5, m: float = 1.0) -> Mapping:
     """Smoothed quantile of the label per value: (n * q_value + m * q_all) / (n + m)."""
     cells = df.select(F.col(column).cast("string").alias("value"), F.col(label).cast("double").alias("x"))
-    one = lambda rows, keys: ranks.percentiles(ranks.value_counts(rows, keys), keys, [q]).select(*keys, "n", F.col("q")[0].alias("p"))
+    one = lambda rows, keys: ranks.percentiles(rows, keys, [q]).select(*keys, "n", F.col("q")[0].alias("p"))
     found = one(cells, []).first()
     overall = float(found["p"]) if found else 0.0
     rows = one(cells.where("value IS NOT NULL"), ["value"])

@@ -203,24 +203,41 @@ class ScoreCard:
         return spark.createDataFrame([("base", None, None, None, self.base_points), *rows], "feature string, bin int, bin_label string, woe double, points double")
 
     def to_sql(self) -> str:
-        """One SQL expression of the score, which Spark and most databases can run."""
-        parts = [repr(self.base_points)]
+        """One SQL expression of the score, which Spark and most databases can run; all its numbers are doubles."""
+        number = lambda v: repr(float(v)) if "e" in repr(float(v)) else f"{float(v)!r}e0"
+        quote = lambda v: "'" + v.replace("'", "''") + "'"
+        parts = [number(self.base_points)]
         for f, m in self.models.items():
-            pts = self.points_of(f)
-            name = f"`{f}`"
+            pts, name = self.points_of(f), f"`{f}`"
+            at = lambda b: number(pts.get(b, 0.0))  # noqa: B023, E731
             gone = f"{name} IS NULL" if m.groups is not None else f"{name} IS NULL OR isnan({name})"
-            cases = [f"WHEN {gone} THEN {pts.get(-1 if m.missing_separate else 0, 0.0)!r}"]
+            cases = [f"WHEN {gone} THEN {at(-1 if m.missing_separate else 0)}"]
             if m.groups is not None:
-                quote = lambda v: "'" + v.replace("'", "''") + "'"
-                cases += [f"WHEN {name} IN ({', '.join(map(quote, g))}) THEN {pts.get(i, 0.0)!r}" for i, g in enumerate(m.groups) if g]
-                cases.append(f"ELSE {pts.get(m.unknown, 0.0)!r}")
+                cases += [f"WHEN {name} IN ({', '.join(map(quote, g))}) THEN {at(i)}" for i, g in enumerate(m.groups) if g]
+                cases.append(f"ELSE {at(m.unknown)}")
             else:
-                cases += [f"WHEN {name} = {float(s)!r} THEN {pts.get(-2, 0.0)!r}" for s in m.special]
-                cases += [f"WHEN {name} < {float(s)!r} THEN {pts.get(i, 0.0)!r}" for i, s in enumerate(m.splits)]
-                cases.append(f"ELSE {pts.get(len(m.splits), 0.0)!r}")
+                cases += [f"WHEN {name} = {number(s)} THEN {at(-2)}" for s in m.special]
+                cases += [f"WHEN {name} < {number(s)} THEN {at(i)}" for i, s in enumerate(m.splits)]
+                cases.append(f"ELSE {at(len(m.splits))}")
             parts.append(f"(CASE {' '.join(cases)} END)")
         return " + ".join(parts)
 
+    def to_python(self) -> str:
+        """Source of a Python function ``score(row)`` of a mapping; missing is None or NaN."""
+        lines = ["def score(row):", f"    total = {self.base_points!r}"]
+        for f, m in self.models.items():
+            pts = self.points_of(f)
+            lines += [f"    x = row[{f!r}]", "    if x is None or x != x:", f"        total += {pts.get(-1 if m.missing_separate else 0, 0.0)!r}"]
+            if m.groups is not None:
+                lines += [line for i, g in enumerate(m.groups) if g for line in (f"    elif x in {tuple(g)!r}:", f"        total += {pts.get(i, 0.0)!r}")]
+                last = pts.get(m.unknown, 0.0)
+            else:
+                lines += [line for s in m.special for line in (f"    elif x == {float(s)!r}:", f"        total += {pts.get(-2, 0.0)!r}")]
+                lines += [line for i, s in enumerate(m.splits) for line in (f"    elif x < {float(s)!r}:", f"        total += {pts.get(i, 0.0)!r}")]
+                last = pts.get(len(m.splits), 0.0)
+            lines += ["    else:", f"        total += {last!r}"]
+        return "\n".join([*lines, "    return total", ""])
+
     def to_json(self) -> str:
         return json.dumps(asdict(self))
 

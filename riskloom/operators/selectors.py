@@ -107,7 +107,7 @@ def by_lift(df, features, label, threshold=0.5, ratio=0.1, **kw) -> Selection:
 
 def by_psi(df, features, key: str, threshold=0.25, n_splits=5, n_bins=10, **kw) -> Selection:
     """Mean PSI of folds against the rest; folds by a hash of ``key``."""
-    models = {f: stability.pooled_model(df, f, n_bins) for f in features}
+    models = stability.pooled_models(df, features, n_bins)
     fold = F.pmod(F.xxhash64(F.col(key)), F.lit(n_splits))
     sums: dict[str, float] = dict.fromkeys(features, 0.0)
     for k in range(n_splits):
@@ -223,7 +223,7 @@ def by_f_test(df, features, label, threshold=0.0, k="all", **kw) -> Selection:
 
 def mutual_information(df: DataFrame, features: list[str], label: str, n_bins: int = 10) -> DataFrame:
     """(feature, mi) in nats over quantile bins."""
-    models = {f: stability.pooled_model(df, f, n_bins) for f in features}
+    models = stability.pooled_models(df, features, n_bins)
     c = bin_stats.batch_counts(df, models, label, [])
     long = c.select("feature", "bin", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("bad").alias("o")), F.struct(F.lit(0).alias("y"), (F.col("n") - F.col("bad")).alias("o")))).alias("e")).select("feature", "bin", "e.y", "e.o").where("o > 0")
     w = Window.partitionBy
@@ -330,9 +330,46 @@ def stepwise(df: DataFrame, features: list[str], label: str, criterion: str = "a
         cached.unpersist()
 
 
+def by_sequence(df, features, label, n_keep: int | None = None, direction: str = "forward", folds: int = 3, key: str | None = None, metric: str = "auc", tolerance: float | None = None, estimator=None, **kw) -> Selection:
+    """Sequential selection: add (or drop) the feature that gives the best mean metric over folds, until ``n_keep`` are left (half by default) or the gain is under ``tolerance``.
+
+    Folds are by a hash of ``key`` (of the whole row without one); the scores are the metric when a feature was added or dropped.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    est = (estimator or LogisticRegression(regParam=1e-4)).copy().setFeaturesCol("_x").setLabelCol(label)
+    own = F.xxhash64(F.col(key)) if key else F.xxhash64(*[F.col(f"`{c}`") for c in (label, *features)])
+    data = df.select(F.pmod(own, F.lit(folds)).alias("_fold"), F.col(label).cast("double").alias(label), *features).na.drop().persist()
+    want = n_keep if n_keep is not None else max(1, len(features) // 2)
+
+    def quality(chosen: list[str]) -> float:
+        rows, found = VectorAssembler(inputCols=chosen, outputCol="_x").transform(data), []
+        for k in range(folds):
+            out = est.fit(rows.where(F.col("_fold") != k)).transform(rows.where(F.col("_fold") == k))
+            found.append(metrics.ks_auc(out.select(label, vector_to_array("probability")[1].alias("_p")), label, "_p").first()[metric] or 0.0)
+        return float(np.mean(found))
+
+    forward = direction == "forward"
+    chosen, scores, current = ([] if forward else list(features)), {}, -np.inf if forward else quality(list(features))
+    try:
+        while len(chosen) < want if forward else len(chosen) > want:
+            trials = [(quality([*chosen, f] if forward else [g for g in chosen if g != f]), f) for f in features if (f not in chosen) == forward]
+            best, f = max(trials, key=lambda x: (x[0], -features.index(x[1])))
+            if tolerance is not None and best - current < tolerance:
+                break
+            chosen, current, scores[f] = [*chosen, f] if forward else [g for g in chosen if g != f], best, best
+    finally:
+        data.unpersist()
+    s = _decide("sequence", {f: float(f in chosen) for f in features}, lambda v: v > 0, **kw)
+    s.scores = {f: scores.get(f) for f in features}
+    return s
+
+
 def by_stability(df, features, label, is_later: Column, iv_threshold=0.02, psi_threshold=0.25, iv_weight=0.6, psi_weight=0.4, score_threshold=0.0, **kw) -> Selection:
     """iv_weight * IV / largest IV - psi_weight * PSI / largest PSI, among features that pass both thresholds."""
-    models = {f: stability.pooled_model(df, f) for f in features}
+    models = stability.pooled_models(df, features)
     ivs = {r["feature"]: r["iv"] for r in bin_stats.batch_iv(df, models, label).collect()}
     psis = {r["feature"]: r["psi"] for r in stability.batch_psi(df, models, is_later).collect()}
     top_iv, top_psi = max(ivs.values(), default=1) or 1, max(psis.values(), default=1) or 1

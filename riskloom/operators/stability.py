@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .binning import BinModel, quantile_edges
+from .binning import BinModel, all_edges
 
 FLOOR = 1e-10
 
 
 def pooled_model(df: DataFrame, feature: str, n_bins: int = 10, where: Column | None = None) -> BinModel:
     """Quantile bins of the pooled rows (or of those ``where`` admits, such as a base period)."""
-    found = quantile_edges(df if where is None else df.where(where), feature, [0.0, *[i / n_bins for i in range(1, n_bins)]])
-    return BinModel(feature, sorted({s for s in found[1:] if s > found[0]}) if found else [], method="quantile")
+    return pooled_models(df, [feature], n_bins, where)[feature]
+
+
+def pooled_models(df: DataFrame, features: list[str], n_bins: int = 10, where: Column | None = None) -> dict[str, BinModel]:
+    """The bins of many features with the scans of one."""
+    found = all_edges(df if where is None else df.where(where), features, [0.0, *[i / n_bins for i in range(1, n_bins)]])
+    return {f: BinModel(f, sorted({s for s in found[f][1:] if s > found[f][0]}) if f in found else [], method="quantile") for f in features}
 
 
 def psi_term(expected: Column, actual: Column, floor: float = FLOOR) -> Column:

@@ -166,14 +166,21 @@ def bin_transform(spark, sf):
     return binning.transform(t(spark, sf, "lineitem"), m).select("l_orderkey", "l_linenumber", "l_extendedprice_bin")
 
 
+#: Edges over the least value, as the searches use them.
+METHOD_SQL = {
+    "uniform": bin_table(counted("CAST(least(4, greatest(0, CASE WHEN l_extendedprice >= lo + w * 4 / 5 THEN 4 WHEN l_extendedprice >= lo + w * 3 / 5 THEN 3 WHEN l_extendedprice >= lo + w * 2 / 5 THEN 2 WHEN l_extendedprice >= lo + w / 5 THEN 1 ELSE 0 END)) AS INTEGER)", "lineitem, b", Y), ctes="b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) - min(l_extendedprice) AS w FROM lineitem)"),
+    "quantile": bin_table(counted(bin_of("l_extendedprice", edges="e"), "lineitem, edges", Y), ctes=EDGES_SQL),
+}
+
+
 def _method_query(method: str):
     def run(spark, sf):
         d = lineitem(spark, sf)
         m = binning.fit_binning(d, "l_extendedprice", "y", method=method, max_n_bins=5)
-        return B.bin_stats(d, m, "y")
+        return B.bin_stats(d, m, "y").drop("bin_label")
 
     run.__name__ = f"binning_{method}"
-    query()(run)
+    query(METHOD_SQL.get(method))(run)
 
 
 for _m in binning.ALL_METHODS:
@@ -264,7 +271,7 @@ def _each(sql: Callable[[str], str], features: list[str] = FEATURES) -> str:
 @query("WITH b AS (" + bin_table(_each(lambda f: f"SELECT '{f}' AS feature, {bin_of(f, edges='e')} AS bin, count(*) AS n, sum({Y}) AS bad FROM lineitem, e_{f} GROUP BY 1, 2"), ["feature"], ctes=", ".join(f"e_{f} AS (SELECT list_filter(q, lambda v: v > lo) AS e FROM (SELECT list_distinct(quantile_cont({f}, [0.2, 0.4, 0.6, 0.8])) AS q, min({f}) AS lo FROM lineitem))" for f in FEATURES)) + f") SELECT feature, {r('max(iv_total)', 'iv')}, {r('max(ks)', 'ks')}, count(*) AS n_bins FROM b GROUP BY 1")
 def iv_batch(spark, sf):
     d = lineitem(spark, sf)
-    return B.batch_iv(d, {f: stability.pooled_model(d, f, 5) for f in FEATURES}, "y")
+    return B.batch_iv(d, stability.pooled_models(d, FEATURES, 5), "y")
 
 
 @query(_each(lambda f: f"""SELECT '{f}' AS feature, {r('sum(CASE WHEN n > 1 THEN (pb - pg) * ln(pb / pg) ELSE 0 END)', 'iv')} FROM (
@@ -486,7 +493,7 @@ def psi_table(spark, sf):
   SELECT {bin_of(f, edges='e')} AS bin, count(*) FILTER (WHERE l_linenumber <= 3) AS en, count(*) FILTER (WHERE l_linenumber > 3) AS an FROM lineitem, (SELECT list_distinct(quantile_cont({f}, [0.2, 0.4, 0.6, 0.8])) AS e FROM lineitem) GROUP BY 1))""", ["l_quantity", "l_extendedprice"]))
 def psi_batch(spark, sf):
     d = t(spark, sf, "lineitem")
-    return stability.batch_psi(d, {f: stability.pooled_model(d, f, 5) for f in ("l_quantity", "l_extendedprice")}, F.col("l_linenumber") > 3)
+    return stability.batch_psi(d, stability.pooled_models(d, ("l_quantity", "l_extendedprice"), 5), F.col("l_linenumber") > 3)
 
 
 @query(f"""
@@ -1048,3 +1055,6 @@ def segment_ks_auc(spark, sf):
 
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["bin_stats_quantile"](spark, "/root/testdata/sf0.001")
+
+
+from . import more  # noqa: E402,F401  registers the rest
