@@ -31,6 +31,11 @@ class Loss:
     def hessian(self, y: Column, p: Column) -> Column:
         return p * (1 - p)
 
+    def slopes(self, df: DataFrame, label: str, p: str) -> DataFrame:
+        """``df`` with ``gradient`` and ``hessian`` with respect to the margin, as boosting takes them."""
+        y, x = F.col(label), clipped(F.col(p))
+        return df.withColumns({"gradient": self.gradient(y, x), "hessian": self.hessian(y, x)})
+
     def mean(self, df: DataFrame, label: str, p: str) -> DataFrame:
         return df.where(F.col(label).isNotNull()).agg(F.avg(self.value(F.col(label), F.col(p))).alias("loss"))
 
@@ -88,6 +93,12 @@ class Asymmetric(Loss):
         p = clipped(p)
         return F.when(y == 1, -self.alpha * F.pow(1 - p, self.gamma_positive) * F.log(p)).otherwise(-(1 - self.alpha) * F.pow(p, self.gamma_negative) * F.log(1 - p))
 
+    def gradient(self, y, p):
+        p, q = clipped(p), 1 - clipped(p)
+        bad = self.alpha * F.pow(q, self.gamma_positive) * (self.gamma_positive * p * F.log(p) - q)
+        good = (1 - self.alpha) * F.pow(p, self.gamma_negative) * (p - self.gamma_negative * q * F.log(q))
+        return F.when(y == 1, bad).otherwise(good)
+
 
 @dataclass(frozen=True)
 class CostSensitive(Loss):
@@ -103,6 +114,86 @@ class CostSensitive(Loss):
         return F.when(y == 1, -self.false_negative).otherwise(self.false_positive) * p * (1 - p)
 
 
+@dataclass(frozen=True)
+class Smoothed(Loss):
+    """Cross entropy against labels drawn towards one half: y (1 - s) + s / 2."""
+
+    smoothing: float = 0.1
+
+    def target(self, y: Column) -> Column:
+        return y * (1 - self.smoothing) + self.smoothing / 2
+
+    def value(self, y, p):
+        p, y = clipped(p), self.target(y)
+        return -y * F.log(p) - (1 - y) * F.log(1 - p)
+
+    def gradient(self, y, p):
+        return p - self.target(y)
+
+
+@dataclass(frozen=True)
+class CapturedTop(Loss):
+    """Soft gate at ``edge``: bad rows under it cost ``miss``, good rows over it ``false_alarm``; plus some cross entropy."""
+
+    edge: float
+    miss: float = 5.0
+    false_alarm: float = 1.0
+    temperature: float = 0.05
+    bce_weight: float = 0.1
+
+    def _gate(self, p: Column) -> Column:
+        return sigmoid((p - self.edge) / self.temperature)
+
+    def value(self, y, p):
+        gate = self._gate(p)
+        return F.when(y == 1, self.miss * (1 - gate)).otherwise(self.false_alarm * gate) + self.bce_weight * CrossEntropy().value(y, p)
+
+    def gradient(self, y, p):
+        gate = self._gate(p)
+        side = F.when(y == 1, -self.miss).otherwise(self.false_alarm)
+        return side * gate * (1 - gate) / self.temperature * p * (1 - p) + self.bce_weight * (p - y)
+
+
+@dataclass(frozen=True)
+class SoftProfit(Loss):
+    """Less the profit of approving softly under ``cutoff``; plus some cross entropy."""
+
+    revenue: float = 1.0
+    default_cost: float = 10.0
+    cutoff: float = 0.5
+    temperature: float = 0.1
+    bce_weight: float = 0.1
+
+    def value(self, y, p):
+        approve = sigmoid((self.cutoff - p) / self.temperature)
+        return -approve * F.when(y == 1, -self.default_cost).otherwise(self.revenue) + self.bce_weight * CrossEntropy().value(y, p)
+
+    def gradient(self, y, p):
+        approve = sigmoid((self.cutoff - p) / self.temperature)
+        return F.when(y == 1, -self.default_cost).otherwise(self.revenue) * approve * (1 - approve) / self.temperature * p * (1 - p) + self.bce_weight * (p - y)
+
+
+@dataclass(frozen=True)
+class Weighted(Loss):
+    """Cross entropy times a weight of each row, such as ``at_stake`` or an amount over its mean."""
+
+    weight: Column
+
+    def value(self, y, p):
+        return self.weight * CrossEntropy().value(y, p)
+
+    def gradient(self, y, p):
+        return self.weight * (p - y)
+
+    def hessian(self, y, p):
+        return self.weight * p * (1 - p)
+
+
+def at_stake(y: Column, exposure: Column, lgd: float = 0.5, rate: float = 0.08, cost: float = 0.0, floor: float = 0.1) -> Column:
+    """Loss given default of the bad, margin of the good, ``floor`` at least."""
+    return F.greatest(F.when(y == 1, lgd * exposure).otherwise(rate * exposure - cost), F.lit(floor))
+
+
 def balanced_weights(df: DataFrame, label: str) -> CrossEntropy:
     """Class weights n / (2 n_class) from one aggregate."""
     n, bad = df.where(F.col(label).isNotNull()).agg(F.count("*"), F.sum(label)).first()

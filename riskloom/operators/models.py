@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +141,31 @@ def compare(models: dict[str, RiskModel], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "model string, ks double, auc double, gini double")
 
 
-def tune(df: DataFrame, features: list[str], label: str, key: str, kind: str, grid: dict[str, list], metric: str = "ks", folds: int = 3) -> tuple[dict, list[dict]]:
-    """Grid search over folds by a hash of ``key``: (best parameters, trials)."""
-    names, trials = list(grid), []
+def tune(df: DataFrame, features: list[str], label: str, key: str, kind: str, grid: dict[str, list], metric: str | list[str] = "ks", folds: int = 3, n_trials: int | None = None, seed: int = 42) -> tuple[dict, list[dict]]:
+    """Search over folds by a hash of ``key``: (best parameters, trials).
+
+    All points of ``grid``, or ``n_trials`` of them drawn at random.  With
+    several metrics (names of ``OBJECTIVES``) every trial has all of them, the
+    first decides, and ``pareto`` finds the trials that no other one beats.
+    """
+    names, trials, wanted = list(grid), [], [metric] if isinstance(metric, str) else list(metric)
+    points = [dict(zip(names, values)) for values in product(*grid.values())]
+    if n_trials is not None and n_trials < len(points):
+        points = [points[i] for i in sorted(np.random.default_rng(seed).choice(len(points), n_trials, replace=False))]
     fold = F.pmod(F.xxhash64(F.col(key)), F.lit(folds))
-    for values in product(*grid.values()):
-        params = dict(zip(names, values))
-        scores = [RiskModel.fit(df.where(fold != k), features, label, kind, **params).evaluate(df.where(fold == k))[metric] for k in range(folds)]
-        trials.append({**params, metric: float(np.mean(scores)), "sd": float(np.std(scores))})
-    return {n: max(trials, key=lambda t: t[metric])[n] for n in names}, trials
+    for params in points:
+        found = []
+        for k in range(folds):
+            scored = RiskModel.fit(df.where(fold != k), features, label, kind, **params).predict(df.where(fold == k), "_p")
+            found.append([float(OBJECTIVES[m](scored, label, "_p") or 0.0) if m in OBJECTIVES else metrics.ks_auc(scored, label, "_p").first()[m] for m in wanted])
+        trials.append({**params, **dict(zip(wanted, np.mean(found, axis=0).tolist())), "sd": float(np.std([f[0] for f in found]))})
+    return {n: max(trials, key=lambda t: t[wanted[0]])[n] for n in names}, trials
+
+
+def pareto(trials: list[dict], metric: list[str]) -> list[dict]:
+    """Trials that no other trial equals or beats in all metrics and beats in one."""
+    beats = lambda a, b: all(a[m] >= b[m] for m in metric) and any(a[m] > b[m] for m in metric)
+    return [t for t in trials if not any(beats(o, t) for o in trials)]
 
 
 OBJECTIVES: dict[str, Callable[[DataFrame, str, str], float]] = {
@@ -233,7 +250,80 @@ def beta_parameters(df: DataFrame, label: str, p: str) -> tuple[float, float]:
     return a, b
 
 
-def tree_rules(df: DataFrame, features: list[str], label: str, kind: str = "tree", max_rules: int = 50, **params) -> list[str]:
+def beta_cdf(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Distribution function of Beta(a, b), by Lentz's continued fraction on the side where it converges fast."""
+    x = np.clip(np.asarray(x, float), 0.0, 1.0)
+    swap = x > (a + 1) / (a + b + 2)
+    z, p, q = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    tiny = 1e-300
+    with np.errstate(all="ignore"):
+        front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(z) + q * np.log1p(-z)) / p
+        c, d = np.ones_like(z), 1 / (1 - (p + q) * z / (p + 1))
+        out = d.copy()
+        for m in range(1, 300):
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            for step in (even, odd):
+                d, c = 1 + step * d, 1 + step / c
+                d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
+                out = out * d * c
+            if (np.abs(d * c - 1) < 1e-15).all():
+                break
+        inner = np.where(z > 0, front * out, 0.0)
+    return np.where(swap, 1 - inner, inner)
+
+
+def beta_calibration(df: DataFrame, label: str, p: str) -> Column:
+    """Distribution function of the fitted Beta at the probability (Arrow batches)."""
+    a, b = beta_parameters(df, label, p)
+
+    @F.pandas_udf("double")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.where(x.isna(), np.nan, beta_cdf(x.fillna(0.5).to_numpy(), a, b)))
+
+    return place(F.col(p).cast("double"))
+
+
+CALIBRATIONS: dict[str, Callable[[DataFrame, str, str], Column]] = {"platt": platt, "histogram": histogram_calibration, "beta": beta_calibration}
+
+
+@dataclass
+class CalibratedModel:
+    """A model and what its probabilities become."""
+
+    model: RiskModel
+    adjust: Callable[[DataFrame, str], DataFrame]
+
+    @classmethod
+    def fit(cls, model: RiskModel, df: DataFrame, method: str = "platt") -> CalibratedModel:
+        """Calibrate on labelled rows that the model has not been fitted to; ``isotonic`` or one of ``CALIBRATIONS``."""
+        scored = model.predict(df, "_raw_p")
+        if method == "isotonic":
+            return cls(model, isotonic(scored, model.label, "_raw_p"))
+        if method not in CALIBRATIONS:
+            raise ValueError(f"unknown method {method!r}; one of {['isotonic', *CALIBRATIONS]}")
+        column = CALIBRATIONS[method](scored, model.label, "_raw_p")
+        return cls(model, lambda d, out: d.withColumn(out, column))
+
+    def predict(self, df: DataFrame, out: str = "probability") -> DataFrame:
+        return self.adjust(self.model.predict(df, "_raw_p"), out).drop("_raw_p")
+
+
+def permutation_importance(model: RiskModel, df: DataFrame, key: str, metric: str = "auc", repeats: int = 3) -> DataFrame:
+    """(feature, importance, sd): how far the metric falls when the values of one feature are dealt to other rows."""
+    from .selectors import _permuted
+
+    whole, rows = model.evaluate(df)[metric], []
+    for f in model.features:
+        falls = []
+        for k in range(repeats):
+            dealt = _permuted(df, [f], ["_dealt"], key, 1000 + 2 * k).withColumn(f, F.col("_dealt")).drop("_dealt")
+            falls.append(whole - model.evaluate(dealt)[metric])
+        rows.append((f, float(np.mean(falls)), float(np.std(falls))))
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, sd double")
+
+
+def tree_rules(df: DataFrame, features: list[str], label: str, kind: str = "tree", max_rules: int | None = None, **params) -> list[str]:
     """IF-THEN paths of fitted trees as rule text.
 
     Trees are fitted to the label as a number: leaves then differ by their bad

@@ -300,3 +300,22 @@ def drift_distance(df: DataFrame, score: str, is_reference: Column) -> DataFrame
     c = cumulate(by_score(df.withColumn("_s", is_reference.cast("int")), "_s", score), descending=False)
     gap = F.abs(F.try_divide(F.col("cum_bad"), F.col("total_bad")) - F.try_divide(F.col("cum_n") - F.col("cum_bad"), F.col("total_n") - F.col("total_bad")))
     return c.agg(F.max(gap).alias("ks"), F.sum(gap * F.coalesce(F.col("next_score") - F.col("score"), F.lit(0.0))).alias("wasserstein"))
+
+
+def compare_alignments(df: DataFrame, score: str, is_reference: Column, n_quantiles: int = 100) -> DataFrame:
+    """(method, ks, wasserstein) of the current scores against the reference: as they are, and after each alignment."""
+    ref, out = F.coalesce(is_reference, F.lit(False)), None
+    for name, column in (("none", F.col(score)), ("linear", linear_alignment(df, score, ref)), ("quantile", quantile_alignment(df, score, ref, n_quantiles))):
+        moved = df.select(F.when(ref, F.col(score)).otherwise(column).alias("_aligned"), ref.alias("_ref"))
+        part = drift_distance(moved, "_aligned", F.col("_ref"))
+        part = part.select(F.lit(name).alias("method"), *part.columns)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def compare_transforms(df: DataFrame, p: str, transforms: dict[str, object]) -> DataFrame:
+    """(transform, mean, std, min, max, correlation with p) of fitted score transforms, from one scan."""
+    names = list(transforms)
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("transform"), transforms[n].score(F.col(p)).cast("double").alias("s")) for n in names]))
+    rows = df.select(F.col(p).alias("_p"), cells.alias("c")).select("_p", "c.transform", "c.s")
+    return rows.groupBy("transform").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.min("s").alias("min"), F.max("s").alias("max"), F.corr("s", "_p").alias("correlation"))

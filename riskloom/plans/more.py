@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import losses
 from ..operators import bin_stats as B
 from ..operators import binning, eda, metrics, models, scorecard, selectors, stability, strategy
 from ..operators.binning import BinModel
@@ -307,3 +308,45 @@ def score_stability(spark, sf):
     m = BinModel("l_quantity", [10.0, 20.0, 30.0, 40.0])
     p = stability.psi_table(t(spark, sf, "lineitem"), m, F.col("l_linenumber") > 3).agg(F.max("psi").alias("psi"))
     return p.select("psi", L.psi_rating(F.col("psi")).alias("rating"))
+
+
+# --- gradients, comparisons of transforms and alignments ---
+
+PQ = f"SELECT l_orderkey, l_linenumber, {Y} AS y, {P_SQL} AS p, l_extendedprice AS a FROM lineitem"
+GATE = "(1 / (1 + exp(-(p - 0.6) / 0.05)))"
+APPROVE = "(1 / (1 + exp(-(0.5 - p) / 0.1)))"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {r('CASE WHEN y = 1 THEN 0.25 * pow(1 - p, 2) * (2 * p * ln(p) - (1 - p)) ELSE 0.75 * p * (p - (1 - p) * ln(1 - p)) END', 'asymmetric')}, {r('p - (y * 0.9 + 0.05)', 'smoothed')},
+  {r(f'CASE WHEN y = 1 THEN -5 ELSE 1 END * {GATE} * (1 - {GATE}) / 0.05 * p * (1 - p) + 0.1 * (p - y)', 'captured')}, {r(f'CASE WHEN y = 1 THEN -10 ELSE 1 END * {APPROVE} * (1 - {APPROVE}) / 0.1 * p * (1 - p) + 0.1 * (p - y)', 'profit')},
+  {r('greatest(CASE WHEN y = 1 THEN 0.5 * a ELSE 0.08 * a END, 0.1) * (p - y)', 'staked')}, {r('greatest(CASE WHEN y = 1 THEN 0.5 * a ELSE 0.08 * a END, 0.1) * p * (1 - p)', 'staked_hessian')} FROM ({PQ})""")
+def loss_gradients(spark, sf):
+    d, y, p = probabilities(spark, sf), F.col("y"), F.col("p")
+    staked = losses.Weighted(losses.at_stake(y, F.col("l_extendedprice")))
+    kinds = {"asymmetric": losses.Asymmetric(0.25, 2.0, 1.0), "smoothed": losses.Smoothed(0.1), "captured": losses.CapturedTop(0.6), "profit": losses.SoftProfit(), "staked": staked}
+    return d.select("l_orderkey", "l_linenumber", *[k.gradient(y, p).alias(n) for n, k in kinds.items()], staked.hessian(y, p).alias("staked_hessian"))
+
+
+SCORES = "round_even(greatest(least(600 + 20 / ln(2) * ln(0.05) - 20 / ln(2) * ln(p / (1 - p)), 900), 300), 2)", "round_even(100 * p, 2)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS transform, {r('avg(s)', 'mean')}, {r('stddev_pop(s)', 'std')}, {r('min(s)', 'min')}, {r('max(s)', 'max')}, {r('corr(s, p)', 'correlation')} FROM (SELECT p, {s} AS s FROM ({PQ}))" for n, s in zip(("standard", "linear"), SCORES)))
+def score_transforms_compared(spark, sf):
+    return scorecard.compare_transforms(probabilities(spark, sf), "p", {"standard": scorecard.StandardScore(lower=300, upper=900, decimal=2), "linear": scorecard.LinearScore(decimal=2)})
+
+
+@query()
+def alignments_compared(spark, sf):
+    return scorecard.compare_alignments(t(spark, sf, "lineitem"), "l_extendedprice", F.col("l_linenumber") <= 3, 20)
+
+
+@query()
+def beta_calibration(spark, sf):
+    d = probabilities(spark, sf)
+    return d.select("l_orderkey", "l_linenumber", models.beta_calibration(d, "y", "p").alias("calibrated"))
+
+
+@query()
+def permutation_importance(spark, sf):
+    d = lineitem(spark, sf)
+    return models.permutation_importance(models.RiskModel.fit(d, FEATURES[:2], "y", "tree", maxDepth=3), d, "l_orderkey", repeats=1)

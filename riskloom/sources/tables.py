@@ -38,8 +38,11 @@ def load_artefact(spark: SparkSession, path: str) -> str:
 
 
 def _rows(df: DataFrame, limit: int) -> tuple[list[str], list[list]]:
-    """Header and rows of a summary table; a report holds ``limit`` rows of it at most."""
-    return df.columns, [list(r) for r in df.limit(limit).collect()]
+    """Header and rows of a summary table; a report holds ``limit`` rows of it at most, and says so in a last row if there are more."""
+    rows = [list(r) for r in df.limit(limit + 1).collect()]
+    if len(rows) > limit:
+        rows[limit:] = [[f"only the first {limit} rows are shown", *[None] * (len(df.columns) - 1)]]
+    return df.columns, rows
 
 
 def html_report(tables: Mapping[str, DataFrame], title: str = "Report", limit: int = 1000) -> str:

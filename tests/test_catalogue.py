@@ -45,10 +45,14 @@ def test_oracle(spark, duck, name):
         assert all(map(same, a, b)), (columns, a, b)
 
 
-SLOW = {"model_comparison", "staged_selection", "binning_auto_select", "univariate_auc", "leakage_check"}
-
-
-@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES} - SLOW))
-def test_runs(spark, name):
+@pytest.mark.parametrize("name", sorted({*QUERIES} - {*ORACLES}))
+def test_without_oracle(spark, duck, name):
+    """These are held against definitions in the other modules; here: they run on the tables, and what they count is all rows."""
     out = QUERIES[name](spark, SF)
-    assert out.columns and out.count() > 0
+    rows = out.collect()
+    assert out.columns and rows
+    if {"n", "bad", "bin"} <= {*out.columns}:
+        n, bad = duck.execute("SELECT count(*), count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem").fetchone()
+        assert sum(r["n"] for r in rows) == n and sum(r["bad"] for r in rows) == bad
+    if "calibrated" in out.columns:
+        assert all(0 <= r["calibrated"] <= 1 for r in rows)
