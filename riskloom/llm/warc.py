@@ -8,10 +8,12 @@ member; archives are bytes of such members, and segments of one record may lie
 in different archives.  ``read`` parses the members, groups segments by origin
 id, orders them by number, verifies numbers and total length, and decodes the
 chunked framing.  ``response`` records hold the payload; ``revisit`` records
-hold headers only and name the record they refer to.
+hold headers only and name the record they refer to, by page and by record id.
 
 Defined results: null payload is empty; repeated rows give separate records
-with the same contents (ids carry an ordinal); a broken archive raises.
+with the same contents (ids carry an ordinal; revisits of a page that has
+several rows name the page alone); columns other than id, url and payload do
+not travel; a broken archive raises.
 """
 
 from __future__ import annotations
@@ -91,14 +93,19 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, block
 
 
-def page_records(page_id: int | None, ordinal: str, url: str | None, payload: bytes, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
-    rid = str(uuid.uuid5(SPACE, f"{page_id}/{ordinal}"))
+def page_records(page_id: int | None, ordinal: str, url: str | None, payload: bytes, refers_to: int | None, kept: str | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response with its continuations.
+
+    ``kept`` names the one response of a payload that others revisit: its id
+    follows from that name alone, so that they can tell it, in any archive.
+    """
+    shared = kept and str(uuid.uuid5(SPACE, f"kept/{kept}"))
+    rid = shared if shared and refers_to is None else str(uuid.uuid5(SPACE, f"{page_id}/{ordinal}"))
     digest = hashlib.sha1(payload).hexdigest()
     fields = {"WARC-Target-URI": re.sub(r"[\r\n]+", " ", url or ""), "WARC-Payload-Digest": f"sha1:{digest}", "X-Page-ID": "" if page_id is None else str(page_id), "X-Payload-Length": str(len(payload))}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        yield record("revisit", rid, head, fields | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Date": DATE.decode(), "X-Refers-To-Page": str(refers_to)})
+        yield record("revisit", rid, head, fields | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Date": DATE.decode(), "X-Refers-To-Page": str(refers_to)} | ({"WARC-Refers-To": f"<urn:uuid:{shared}>"} if shared else {}))
         return
     block = head + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
@@ -115,7 +122,10 @@ def page_records(page_id: int | None, ordinal: str, url: str | None, payload: by
 
 
 def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, deflated, refers_to): of equal payloads of ``min_bytes`` or more, the largest id is kept, the others refer to it.
+    """(page_id, url, deflated, refers_to, kept): of equal payloads of ``min_bytes`` or more, the largest id is kept, the others refer to it.
+
+    ``kept`` names the kept page and its payload, on its row and on those that
+    refer to it, unless it has several rows.
 
     Only digests are grouped; payloads travel to the join once, deflated.
     Rows of one id and payload (repeats) beyond it count as records of their
@@ -126,7 +136,9 @@ def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", pay
         (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string").alias("url"),
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload"))
-    last = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    per = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n", "page_id").agg(F.count("*").alias("own"))
+    last = per.groupBy("digest", "n").agg(F.max(F.struct("page_id", "own")).alias("last"), F.sum("own").alias("copies")).where("copies > 1").select("digest", "n", F.col("last.page_id").alias("keeper"), F.col("last.own").alias("own"))
+
     @tidy
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +146,8 @@ def decide(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", pay
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, *batch.columns[3:]], names=["page_id", "url", "deflated", "digest", "n"])
 
     out = rows.mapInArrow(deflate, "page_id long, url string, deflated binary, digest string, n int").join(last, ["digest", "n"], "left")
-    return out.select("page_id", "url", "deflated", F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    refers_to = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    return out.select("page_id", "url", "deflated", refers_to.alias("refers_to"), F.when(F.col("own") == 1, F.concat_ws("/", F.col("keeper").cast("string"), "digest")).alias("kept"))
 
 
 def write(rows: DataFrame, segment_bytes: int = 16384, chunk_bytes: int = 4096, archive_mb: float = 1) -> DataFrame:
@@ -158,7 +171,7 @@ def write(rows: DataFrame, segment_bytes: int = 16384, chunk_bytes: int = 4096,
         for batch in batches:
             for row in batch.to_pylist():
                 count += 1
-                for member in page_records(row["page_id"], f"{part_no}-{count}", row["url"], zlib.decompress(row["deflated"]), row["refers_to"], segment_bytes, chunk_bytes):
+                for member in page_records(row["page_id"], f"{part_no}-{count}", row["url"], zlib.decompress(row["deflated"]), row["refers_to"], row["kept"], segment_bytes, chunk_bytes):
                     open_[turn].append(member)
                     sizes[turn] += len(member)
                     if sizes[turn] >= archive_mb * MB:

@@ -108,3 +108,13 @@ def test_empty_table(spark, odd):
     none = odd.limit(0)
     assert bpe.encode(none, PATH, public_tokenizers.PATTERN).count() == 0
     assert media.read_back(media.store(none)).count() == 0
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    same, other = "x" * 1500, "y" * 2000
+    pages = spark.createDataFrame([(1, "u", same), (2, "u", same), (5, "u", same), (3, "v", other), (4, "v", other), (4, "v", other), (7, "w", "z" * 3000), (None, "n", same)], "page_id long, url string, html string")
+    records = [f for r in warc.write(warc.decide(pages)).collect() for f, _ in warc.parse(bytes(r["content"]))]
+    by_page = {f["x-page-id"]: f for f in records}
+    assert len({f["warc-record-id"] for f in records}) == len(records) == 8
+    assert all(by_page[k]["warc-refers-to"] == by_page["5"]["warc-record-id"] and by_page[k]["warc-type"] == "revisit" for k in ("1", "2", ""))
+    assert "warc-refers-to" not in by_page["3"] and by_page["3"]["x-refers-to-page"] == "4"
