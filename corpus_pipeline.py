@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by 0.8 or more of their five-word shingles, the one with the smallest id stays."""
+    """Of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays."""
     bounded(spark)
     return simhash.dedup(docs, words=5, similarity=0.8)
 
@@ -70,12 +70,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of an earlier stage, in whatever store it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a Parquet table in the shared folder."""
+    """All stages over ``documents``; each result is a Parquet table in the shared folder, which goes when the next stands.  The last stays: it is the result."""
     import uuid
 
-    docs, top = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, top, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        own = f"{top}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(own)
+        docs = spark.read.parquet(own)
+        if before:
+            remove(spark, before)
+        before = own
     return docs
