@@ -163,12 +163,16 @@ def mark_shared(buckets: int) -> "callable":
     def reduce(table: pa.Table) -> pa.Table:
         trim()
         packs, bucket = table["pack"].to_pylist(), table["bucket"][0].as_py()
-        keys = [np.frombuffer(x, np.uint32) for x in table["x"].to_pylist()]
-        n = np.array([len(k) for k in keys])
+        x = table["x"].combine_chunks()
+        n = pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k).view(bool) if b else np.ones(k, bool) for b, k in zip(table[c].to_pylist(), n.tolist())])
         several, reference = bits("y"), bits("z")
-        order = np.sort(np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.arange(n.sum(), dtype=np.uint64))
-        at, key = (order & np.uint64(0xFFFFFFFF)).astype(np.int64), order >> np.uint64(32)
+        order = np.frombuffer(b"".join(x.to_pylist()), np.uint32).astype(np.uint64)
+        order <<= np.uint64(32)  # in place: a bucket is the largest thing that a worker holds
+        order |= np.arange(len(order), dtype=np.uint64)
+        order.sort()
+        at, key = order.astype(np.uint32), (order >> np.uint64(32)).astype(np.uint32)
+        del order
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         good = ((size > 1) | np.logical_or.reduceat(several[at], first)) & np.logical_or.reduceat(reference[at], first)

@@ -86,13 +86,16 @@ def least_of(inverse: np.ndarray, n: int, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_words``, ``cut_from``, ``cut_to`` (half-open word spans of the repeats) and ``kept`` (words left, joined by one space)."""
+def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", pack_mb: float = 2, bucket_mb: float = 16) -> DataFrame:
+    """``docs`` with ``n_words``, ``cut_from``, ``cut_to`` (half-open word spans of the repeats) and ``kept`` (words left, joined by one space).
+
+    ``pack_mb`` and ``bucket_mb`` bound what a worker holds at a time; no result depends on them.
+    """
     size = (window + 1) // 2
     added = [T.StructField("n_words", T.LongType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("cut_from", "cut_to")], T.StructField("kept", T.StringType())]
     own = [f for f in docs.schema.fields if f.name not in {a.name for a in added}]
     docs = docs.select(*[docs[f.name] for f in own])
-    at, pack_col = layout(docs, text_col, pack_mb=2, bucket_mb=16), fresh(docs, "pack")
+    at, pack_col = layout(docs, text_col, pack_mb, bucket_mb), fresh(docs, "pack")
     dealt = packed(docs, at, pack_col, id_col, text_col)
     n_buckets = at.buckets
 
@@ -187,10 +190,10 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
     return dealt.groupBy(pack_col).cogroup(owners.withColumnRenamed("pack", pack_col).groupBy(pack_col)).applyInArrow(finish, schema)
 
 
-def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", pack_mb: float = 1, bucket_mb: float = 6) -> DataFrame:
     """``docs`` whose texts lost their repeated windows: what stays keeps its own spacing; texts without repeats stay as they are.  A text that loses all its words goes."""
     own = [f for f in docs.schema.fields if f.name not in ("n_words", "cut_from", "cut_to", "kept")]
-    out = repeats(docs, window, id_col, text_col)
+    out = repeats(docs, window, id_col, text_col, pack_mb, bucket_mb)
     changed = F.size("cut_from") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col(text_col))
     return out.where(~changed | (F.octet_length("kept") > 0)).select(*[text.alias(f.name) if f.name == text_col else F.col(f.name) for f in own])
