@@ -1,24 +1,31 @@
 """Language-model scores by online logistic context mixing over bits of words.
 
-A text is its words, lower-cased in A-Z, then one end.  Every word is a symbol
-with a Huffman code: each of the ``top`` most frequent words of the training
-texts is a symbol of its own, and all others fall into ``classes`` by bits of
-their hash.  A word is coded as the bits of its symbol's code, each at a node
-of the tree.  Every bit is predicted by several models: node alone; node with
-the symbol before, the two symbols before, or the three last frequent words,
-each hashed into a table of fixed size; and node within this text so far.
+A text is its words, lower-cased in A-Z, then one end.  Every word of the
+training texts has a code of its own, of any number of words: the ``top`` most
+frequent ones are symbols of a Huffman code, in which all others fall into
+classes by bits of their hash; inside its class a word has a Huffman code of
+that class, where one leaf stands for all unknown words (it weighs as much as
+the words seen once).  A word is coded as the bits of its symbol, then those
+inside its class, each at a node of a tree.  Every bit is predicted by several
+models: node alone; node with what stands before, hashed into tables of fixed
+size (symbol before, two symbols before and the three last frequent words;
+inside classes the word before, the two words before and the three last
+frequent words, in tables of their own); and node within this text so far.
 Their log odds are combined with weights that a gate (how much the hashed
-contexts have seen) selects; weights adapt to the text block by block, and an
-adaptive map from predicted to observed odds refines the result.  Inside its
-class a word has a mixture of its corpus share and its share among the class's
-words in this text so far.  All this is causal: a word's probability depends
-on what precedes it (adaptation: on earlier blocks).
-
-Gathering: each pack sends its distinct word keys and counts to hash buckets,
-which sum them and answer with the corpus counts, so that no vocabulary is
-ever in one place; the frequent words and the classes (fixed numbers) and the
-context tables (of fixed size, summed from every training text) are broadcast.
-A text of more than a slice of tokens is scored on its own.
+contexts have seen; inside classes also how often the text was at the node)
+selects; weights adapt to the text block by block, and an adaptive map from
+predicted to observed odds refines the result.  Only words that no learned
+text has share a code; the text so far tells those of a class apart.  All this
+is causal: a word's probability depends on what precedes it (adaptation: on
+earlier blocks).
+
+Gathering: each pack sends its distinct word keys and counts to the buckets of
+their classes, which sum them, code the words of their class, and answer with
+corpus counts and codes, so that no vocabulary is ever in one place.  The
+frequent words (a fixed number), a total per class (a class for each bucket,
+``classes`` at least) and the context tables (of fixed size, summed from every
+training text) are broadcast.  A text of more than a slice of tokens is scored
+on its own.
 
 Word keys are 64-bit hashes.  Defined results: null text has the end alone;
 with nothing to learn from all counts are 0; a null id is neither held out nor
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB, blobs, cut, fresh, hash_words, layout, mix64, ordered, packed, pieces, planes, tidy, unplanes, words_at
+from .common import BLOB, blobs, cut, fresh, hash_words, layout, mix64, ordered, pack_of, packed, planes, ranges, tidy, unplanes, words_at
 
 #: Key of the end of a text; no word has it, as words are not empty.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -46,8 +53,15 @@ CONTEXTS = 3
 #: Bits of one text between two updates of its weights: few at first.
 FIRST, BLOCK = (48, 96, 192, 384), 512
 INPUTS = CONTEXTS + 3  # node, hashed contexts, this text, bias
+GATES = 16
+#: First weights inside classes, by how often the text was at the node.
+INNER_FIRST = ([0.2, 0.2, 0.2, 0.2, 0.2, 0], [0, 0.1, 0.1, 0.1, 0.7, 0], [0, 0.1, 0.1, 0.1, 0.7, 0], [0, 0.1, 0.1, 0.1, 0.7, 0])
+#: What this text has seen is added to so many bits as the contexts foretell: of frequent words and classes, inside classes.
+PRIOR, INNER_PRIOR = 6, 0.5
 CHUNK = 1 << 16
 SUMS = "chunk int, part int, sums binary"
+#: Counts of a context: two for each slot, of frequent words and classes, then inside classes.
+SLOTS = 4 << TABLE_BITS
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +72,7 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Code:
-    """Huffman code of the symbols: the frequent words, then the classes of all others."""
+    """Huffman code of the symbols: the frequent words, then the classes of all others (``Tails`` go on inside those)."""
 
     keys: np.ndarray  # of the frequent words, sorted
     length: np.ndarray
@@ -111,40 +125,174 @@ def class_of(keys: np.ndarray, classes: int) -> np.ndarray:
     return (keys % np.uint64(classes)).astype(np.int64)
 
 
+def climb(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman code of some leaves: (length, bits of each as a number, share of the side 1 at every node passed, leaf by leaf); shares in 256 steps from a half."""
+    n = len(weights)
+    order = np.argsort(weights, kind="stable")
+    leaf, made, up, side = weights[order].tolist(), [], np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint64)
+    i = j = 0
+    light, heavy = [], []
+    for _ in range(n - 1):  # the two lightest are at the heads of two ascending queues
+        pair = []
+        for _ in range(2):
+            if j >= len(made) or i < n and leaf[i] <= made[j]:
+                pair.append(i)
+                i += 1
+            else:
+                pair.append(n + j)
+                j += 1
+        a, b = pair
+        light.append(a)
+        heavy.append(b)
+        made.append((leaf[a] if a < n else made[a - n]) + (leaf[b] if b < n else made[b - n]))
+    up[light], up[heavy], side[heavy] = np.arange(n, 2 * n - 1), np.arange(n, 2 * n - 1), 1
+    weight = np.array(leaf + made, np.float64)
+    share = np.zeros(2 * n - 1, np.uint8)
+    share[n:] = np.minimum((weight[heavy] / weight[n:] - 0.5) * 512, 255)
+    at, length, code = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+    steps = []
+    going = np.arange(n) if n > 1 else np.zeros(0, np.int64)
+    while len(going):
+        code[going] |= side[at[going]] << length[going].astype(np.uint64)
+        at[going] = up[at[going]]
+        steps.append((going, at[going]))
+        length[going] += 1
+        going = going[at[going] < 2 * n - 2]
+    ends = np.cumsum(length)
+    passed = np.zeros(int(length.sum()), np.uint8)
+    for k, (who, node) in enumerate(steps):
+        passed[ends[who] - 1 - k] = share[node]
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return length[back], code[back], passed[ranges((ends - length)[back], length[back])]
+
+
+@dataclass
+class Tails:
+    """What codes some distinct words inside their classes, one after the other."""
+
+    length: np.ndarray
+    code: np.ndarray
+    share: np.ndarray
+
+    def pick(self, words: np.ndarray) -> Tails:
+        start = np.cumsum(self.length) - self.length
+        return Tails(self.length[words], self.code[words], self.share[ranges(start[words], self.length[words])])
+
+
+def inner_codes(sums: np.ndarray, frequent: np.ndarray) -> tuple[Tails, np.ndarray]:
+    """Huffman code of the words of a class by their counts, with one leaf for all unknown words: (its leaves, the leaf of each word).  Frequent words need none."""
+    known = np.flatnonzero((sums > 0) & ~frequent)
+    length, code, share = climb(np.concatenate([[max(1, int((sums[known] == 1).sum()))], sums[known]]))
+    leaf = np.zeros(len(sums), np.int64)
+    leaf[known] = np.arange(1, len(known) + 1)
+    leaf[frequent] = len(length)
+    return Tails(np.append(length, 0), np.append(code, np.uint64(0)), share), leaf
+
+
+def by_class(distinct: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order of sorted keys by class, then key; (class, start, end) in it of the classes that have any)."""
+    own = class_of(distinct, classes)
+    order = by_number(own)
+    own = own[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return order, list(zip(own[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(own)]))
+
+
+@dataclass
+class Paths:
+    """The nodes inside classes that some distinct words pass, one word after the other."""
+
+    start: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    base: np.ndarray  # log odds of the node alone
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, tails: Tails) -> Paths:
+        start = np.cumsum(tails.length) - tails.length
+        word = np.repeat(np.arange(len(symbols)), tails.length)
+        level = (np.arange(len(word)) - start[word]).astype(np.uint64)
+        left = tails.length[word].astype(np.uint64) - level
+        code = tails.code[word]
+        node = inner_node(symbols[word], (code >> left) | (np.uint64(1) << level))
+        return cls(start, tails.length, node, (code >> (left - np.uint64(1)) & np.uint64(1)).astype(bool), ODDS[tails.share])
+
+
+def inner_node(symbol: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Number of the node inside class ``symbol`` that the bits ``before``, after a leading 1, lead to."""
+    return (mix64(symbol.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + before * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
+
+
 @dataclass
 class Bits:
-    """All coded bits of some texts: token, node, bit and slots of the hashed contexts."""
+    """Coded bits of some texts, token by token: bits per token, node, bit and slots of the hashed contexts."""
 
-    token: np.ndarray
+    length: np.ndarray
     node: np.ndarray
     bit: np.ndarray
     slots: list[np.ndarray]
+    base: np.ndarray | None = None  # inside classes: log odds of the node alone
 
     @classmethod
     def of(cls, code: Code, symbols: np.ndarray, tokens: np.ndarray) -> Bits:
-        n = len(symbols)
-        begin = np.cumsum(tokens) - tokens
-        doc = np.repeat(np.arange(len(tokens)), tokens)
-        place = np.arange(n) - begin[doc]
-        one = np.where(place >= 1, np.concatenate([[0], symbols[:-1] + 1]), 0).astype(np.uint64)
-        two = np.where(place >= 2, np.concatenate([[0, 0], symbols[:-2] + 1])[:n], 0).astype(np.uint64)
-        common = np.flatnonzero(symbols < len(code.keys))
-        before = np.searchsorted(common, np.arange(n))  # frequent words before each token
-        last = np.zeros(n, np.uint64)
-        for back, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0xD6E8FEB86659FD93)):
-            own = before - back
-            ok = own >= 0
-            at = common[np.maximum(own, 0)] if len(common) else np.zeros(n, np.int64)
-            ok &= at >= begin[doc]
-            last += np.where(ok, symbols[at] + 1 if len(common) else 0, 0).astype(np.uint64) * np.uint64(odd)
+        """Of the symbols."""
         length = code.length[symbols]
-        token = np.repeat(np.arange(n), length)
-        level = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-        node = code.node[symbols[token], level]
-        bit = code.bit[symbols[token], level]
-        deep = node.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        slots = [(mix64(c[token] + deep) >> np.uint64(64 - TABLE_BITS)).astype(np.int32) for c in (one * np.uint64(0x9FB21C651E98DF25), one * np.uint64(0x9FB21C651E98DF25) + two * np.uint64(0xE7037ED1A0B428DB), last)]
-        return cls(token, node, bit, slots)
+        at = ranges(symbols * code.node.shape[1], length)
+        node = code.node.reshape(-1)[at]
+        return cls(length, node, code.bit.reshape(-1)[at], slots_of([*previous(symbols.astype(np.uint64), tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)))
+
+    @classmethod
+    def inside(cls, code: Code, symbols: np.ndarray, tokens: np.ndarray, paths: Paths, words: np.ndarray, keys: np.ndarray) -> Bits:
+        """Of the words inside their classes: ``words`` are their numbers in ``paths``."""
+        length = paths.length[words]
+        at = ranges(paths.start[words], length)
+        node = paths.node[at]
+        return cls(length, node, paths.bit[at], slots_of([*previous(keys, tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)), paths.base[at])
+
+
+def previous(number: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the number before, and of the two before, in the same text."""
+    one = np.empty_like(number)
+    one[1:] = number[:-1] + np.uint64(1)
+    begin = np.cumsum(tokens) - tokens
+    one[begin] = 0
+    two = np.empty_like(number)
+    two[1:] = one[:-1]
+    two[begin] = 0
+    one *= np.uint64(0x9FB21C651E98DF25)
+    return one, one + two * np.uint64(0xE7037ED1A0B428DB)
+
+
+def last_frequent(code: Code, symbols: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hash of the last three frequent words of the same text."""
+    own = symbols < len(code.keys)
+    before = np.cumsum(own) - own  # frequent words before each token
+    first = np.repeat(before[np.cumsum(tokens) - tokens], tokens)
+    value = np.concatenate([np.zeros(3, np.uint64), symbols[own].astype(np.uint64) + np.uint64(1)])
+    out = np.zeros(len(symbols), np.uint64)
+    for back, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (3, 0xD6E8FEB86659FD93)):
+        out += value[before + 3 - back] * (before - back >= first) * np.uint64(odd)
+    return out
+
+
+def slots_of(contexts: list[np.ndarray], length: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """Upper bits of ``mix64`` of each context and the node."""
+    node *= np.uint64(0xA24BAED4963EE407)
+    t, out = np.empty_like(node), []
+    for c in contexts:
+        x = np.repeat(c, length)
+        x += node
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            np.right_shift(x, np.uint64(shift), out=t)
+            x ^= t
+            x *= np.uint64(odd)
+        np.right_shift(x, np.uint64(31), out=t)
+        x ^= t
+        x >>= np.uint64(64 - TABLE_BITS)
+        out.append(x.view(np.int64))
+    return out
 
 
 @dataclass
@@ -156,47 +304,69 @@ class Model:
     node_odds: np.ndarray
     seen: np.ndarray  # (contexts, slots): share of the slot's own odds to take, by what was seen, and those odds times it, as one number
 
+    inner_seen: np.ndarray | None = None  # the same of nodes inside classes
+
     @classmethod
-    def build(cls, code: Code, known_tokens: int, known_words: int, class_tokens: np.ndarray, class_words: np.ndarray, node_counts: np.ndarray, counts: np.ndarray) -> Model:
-        """``class_tokens``, ``class_words``: of the words without a symbol of their own."""
+    def build(cls, code: Code, known_tokens: int, known_words: int, class_tokens: np.ndarray, class_words: np.ndarray, node_counts: np.ndarray, counts: np.ndarray, inner_counts: np.ndarray | None = None) -> Model:
+        """``class_tokens``, ``class_words``: of the words without a code of their own."""
         share = (node_counts[:, 1] + 0.4) / (node_counts.sum(axis=1) + 0.8)
-        total = counts.sum(axis=2)
-        trust = total / (total + 6)
-        pair = np.stack([trust, trust * odds((counts[:, :, 1] + 0.4) / (total + 0.8))], axis=2).astype(np.float32)
-        return cls(code, known_tokens, known_words, class_tokens + 0.5 * class_words + 0.5, odds(share).astype(np.float32), pair.view(np.float64)[:, :, 0])
+        return cls(code, known_tokens, known_words, class_tokens + 0.5 * class_words + 0.5, odds(share).astype(np.float32), cls.pairs(counts), None if inner_counts is None else cls.pairs(inner_counts))
+
+    @staticmethod
+    def pairs(counts: np.ndarray) -> np.ndarray:
+        out = np.empty(counts.shape, np.float32)
+        for c, o in zip(counts, out):
+            total = c.sum(axis=1)
+            o[:, 0] = total / (total + 6)
+            o[:, 1] = o[:, 0] * odds((c[:, 1] + 0.4) / (total + 0.8))
+        return out.view(np.float64)[:, :, 0]
 
     def first_weights(self) -> np.ndarray:
-        """(gates, inputs): contexts that have seen more weigh more."""
-        w = np.zeros((4, 4, INPUTS), np.float32)
+        """(gates, inputs): contexts that have seen more weigh more; inside classes, what this text has seen."""
+        w = np.zeros((2, 4, 4, INPUTS), np.float32)
         for a in range(4):  # symbol before
             for b in range(4):  # two symbols before
-                w[a, b] = [0.0, 0.22 + 0.04 * a, 0.04 * b, 0.38 - 0.02 * (a + b), 0.4, 0]
-        return w.reshape(16, INPUTS)
+                w[0, a, b] = [0.0, 0.22 + 0.04 * a, 0.04 * b, 0.38 - 0.02 * (a + b), 0.4, 0]
+        for a in range(4):  # times that the text was at the node
+            for b in range(4):  # word before
+                w[1, a, b] = INNER_FIRST[a]
+        return w.reshape(2 * GATES, INPUTS)
 
 
 def odds(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
-def small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in 16 bits where they fit: numpy sorts those by radix."""
-    return x.astype(np.uint16) if len(x) and int(x.max()) < 1 << 16 else x
+#: Log odds of the side 1, by its share in 256 steps from a half.
+ODDS = odds(0.5 + (np.arange(256) + 0.5) / 512).astype(np.float32)
+
+
+def by_number(x: np.ndarray) -> np.ndarray:
+    """Stable order of numbers under 2^32: numpy sorts 16 bits by radix."""
+    most = int(x.max()) if len(x) else 0
+    order = np.argsort(x.astype(np.uint16), kind="stable")
+    return order if most < 1 << 16 else order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
 
 
 def before_counts(key: np.ndarray, doc: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each event, how many earlier events of its text have its key, and how many of those the flag.  ``doc`` ascends."""
-    order = np.argsort(small(key), kind="stable")
+    """For each event, how many earlier events of its text have its key (under 2^32), and how many of those the flag.  ``doc`` ascends."""
+    order = by_number(key)
     k, d = key[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(k)))
+    new = np.ones(len(k), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    new[1:] |= d[1:] != d[:-1]
+    start = np.flatnonzero(new).astype(np.int32)
+    size = np.diff(start, append=np.int32(len(k)))
     n = np.empty(len(k), np.int32)
-    n[order] = np.arange(len(k), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+    n[order] = np.arange(len(k), dtype=np.int32) - np.repeat(start, size)
     if flag is None:
         return n, n
     f = flag[order]
-    ones = np.cumsum(f, dtype=np.int32) - f
+    ones = np.cumsum(f, dtype=np.int32)
+    ones -= f
+    ones -= np.repeat(ones[start], size)
     m = np.empty(len(k), np.int32)
-    m[order] = ones - np.repeat(ones[start], size)
+    m[order] = ones
     return n, m
 
 
@@ -206,84 +376,147 @@ def blocks(place: np.ndarray) -> np.ndarray:
     return np.where(place < begun[-1], np.searchsorted(begun, place, side="right"), len(FIRST) + (place - begun[-1]) // BLOCK)
 
 
-def mix(model: Model, b: Bits, doc: np.ndarray, n_docs: int, rate: float = 0.002) -> np.ndarray:
-    """Natural log of the probability of every bit."""
-    n, ones = before_counts(b.node, doc, b.bit)
-    base = model.node_odds[b.node]
-    x = np.empty((len(doc), INPUTS), np.float32)
-    x[:, 0] = base
-    gate = np.zeros(len(doc), np.int32)
+def inputs(model: Model, b: Bits, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(log odds of every bit by each model, gates)."""
+    n, ones = before_counts(b.node, np.repeat(doc, b.length), b.bit)
+    inner = b.base is not None
+    base, prior = (b.base, np.float32(INNER_PRIOR)) if inner else (model.node_odds[b.node], np.float32(PRIOR))
+    x, levels = [base], []
     for j, s in enumerate(b.slots):
-        pair = model.seen[j][s].view(np.float32).reshape(-1, 2)
-        trust = np.ascontiguousarray(pair[:, 0])
-        last = base - base * trust + pair[:, 1]
-        x[:, 1 + j] = last
+        pair = (model.inner_seen if inner else model.seen)[j].take(s).view(np.float32)
+        trust = np.ascontiguousarray(pair[::2])
         if j < 2:
-            gate *= 4
-            for least in (2.5, 29.5, 299.5):
-                gate += trust > least / (least + 6)
-    some = ones.astype(np.float32) + 6 / (1 + np.exp(-last))  # odds of the bit in this text so far
-    x[:, CONTEXTS + 1] = np.log(some / (n.astype(np.float32) + 6 - some))
-    x[:, CONTEXTS + 2] = 0.3
+            level = (trust > np.float32(2.5 / 8.5)).view(np.uint8)
+            for least in (29.5, 299.5):
+                level = level + (trust > np.float32(least / (least + 6))).view(np.uint8)
+            levels.append(level)
+        trust *= base
+        last = base - trust
+        last += pair[1::2]
+        x.append(last)
+    against = np.exp(-last)
+    some = prior / (1 + against)  # odds of the bit in this text so far
+    against *= some
+    against += n - ones
+    some += ones
+    some /= against
+    x.append(np.log(some, out=some))
+    if inner:
+        return x, np.minimum(n, 3).astype(np.uint8) * np.uint8(4) + levels[0] + np.uint8(GATES)
+    return x, levels[0] * np.uint8(4) + levels[1]
+
+
+def mix(model: Model, parts: list[Bits], tokens: np.ndarray, rate: float = 0.002) -> np.ndarray:
+    """Natural log of the probability of every token's bits; those of a token come part by part."""
+    n_docs = len(tokens)
+    doc = np.repeat(np.arange(n_docs, dtype=np.int32), tokens)
+    token_end = np.cumsum(sum(b.length for b in parts))
+    text_end = token_end[np.cumsum(tokens) - 1]
+    many = np.diff(text_end, prepend=0)
+    number = blocks(np.arange(int(many.max()))).astype(np.int32)
+    n_blocks = np.where(many > 0, number[np.maximum(many - 1, 0)] + 1, 0)
+    first_cell = np.cumsum(n_blocks) - n_blocks
+    cell_doc = np.repeat(np.arange(n_docs), n_blocks)
+    cell_block = np.arange(len(cell_doc)) - first_cell[cell_doc]
+    turn = np.argsort(cell_block, kind="stable")  # cells in the order of their blocks
+    rank = np.empty(len(turn), np.int32)
+    rank[turn] = np.arange(len(turn)) * (2 * GATES)
+    place = token_end - sum(b.length for b in parts) - np.repeat(text_end - many, tokens)  # of the first bit of each token in its text
+    keys, sources = [], []
+    for b in parts:
+        x, gate = inputs(model, b, doc)
+        key = np.repeat((place - np.cumsum(b.length) + b.length).astype(np.int32), b.length)
+        key += np.arange(len(key), dtype=np.int32)
+        key = number.take(key)
+        key += np.repeat(first_cell[doc].astype(np.int32), b.length)
+        key = rank.take(key)
+        key += gate
+        keys.append(key)
+        sources.append(x)
+        place = place + b.length
+    key = np.concatenate(keys)
+    size = len(key)
+    by = by_number(key)
+    key = key[by]
+    y_ = np.concatenate([b.bit for b in parts])[by].astype(np.float32)
+    token = np.concatenate([np.repeat(np.arange(len(doc), dtype=np.int32), b.length) for b in parts])[by]
+    x_ = np.empty((size, INPUTS), np.float32)
+    for j, columns in enumerate(zip(*sources)):
+        x_[:, j] = np.concatenate(columns).take(by)
+    x_[:, CONTEXTS + 2] = 0.3
+    new = np.ones(size, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    run_cell, run_gate = np.divmod(key[first], 2 * GATES)
+    run_key = cell_doc[turn][run_cell] * (2 * GATES) + run_gate  # weights of each run
+    run_block = cell_block[turn][run_cell]
+    run_more = run_block < n_blocks[cell_doc[turn][run_cell]] - 1  # another block of the text follows
+    run_size = np.diff(np.append(first, size))
     weights = np.tile(model.first_weights(), (n_docs, 1))
     grid = 1 / (1 + np.exp(-np.linspace(-8, 8, 17)))
     refine = np.tile(grid.astype(np.float32), n_docs)
-    begin = np.searchsorted(doc, np.arange(n_docs + 1))
-    block = blocks(np.arange(len(doc)) - begin[doc])
-    final_block = block[np.maximum(begin[1:] - 1, 0)] if len(doc) else block
-    by = np.argsort(small(block), kind="stable")
-    edges = np.searchsorted(block[by], np.arange(int(block.max()) + 2 if len(block) else 1)).tolist()
-    d_, y_, more_ = doc[by].astype(np.int32), b.bit[by], (block < final_block[doc])[by]
-    key_ = d_ * 16 + gate[by]
-    x = x[by]
-    out = np.empty(len(doc), np.float32)
-    for lo, hi in zip(edges, edges[1:]):
-        d, y, key, own = d_[lo:hi], y_[lo:hi], key_[lo:hi], x[lo:hi]
-        t = np.einsum("ij,ij->i", weights[key], own)
-        np.clip(t, -12, 12, out=t)
-        p = 1 / (1 + np.exp(-t))
-        spot = np.clip(t + 8, 0, 15.999)
-        cell = spot.astype(np.int32)
-        part = spot - cell
-        cell += d * 17
-        low = refine[cell]
-        mixed = 0.6 * p + 0.4 * (low + part * (refine[cell + 1] - low))
-        np.clip(mixed, 1e-6, 1 - 1e-6, out=mixed)
-        out[lo:hi] = np.log(np.where(y, mixed, 1 - mixed))
-        more = more_[lo:hi]
-        if more.all():
-            pass
-        elif more.any():
-            keep = np.flatnonzero(more)
-            key, own, y, p, cell, part = key[keep], own[keep], y[keep], p[keep], cell[keep], part[keep]
-        else:
+    run_shift = run_key // (2 * GATES) * 17
+    run_edges = np.searchsorted(run_block, np.arange(int(cell_block.max()) + 2))
+    edges, ends, all_more = run_edges.tolist(), np.append(first, size)[run_edges].tolist(), np.minimum.reduceat(run_more, run_edges[:-1]).tolist()
+    out = np.empty(size, np.float32)
+    for a, z, lo, hi, every in zip(edges, edges[1:], ends, ends[1:], all_more):
+        y, own, key, length = y_[lo:hi], x_[lo:hi], run_key[a:z], run_size[a:z]
+        t = np.einsum("ij,ij->i", np.repeat(weights.take(key, axis=0), length, axis=0), own)
+        np.maximum(t, -12, out=t)
+        np.minimum(t, 12, out=t)
+        spot = np.maximum(t + 8, 0)
+        np.minimum(spot, 15.999, out=spot)
+        p = np.negative(t, out=t)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        cell = spot.astype(np.intp)
+        spot -= cell
+        cell += np.repeat(run_shift[a:z], length)
+        low = refine.take(cell)
+        high = refine.take(cell + 1)
+        high -= low
+        high *= spot
+        low += high
+        low *= 0.4
+        low += 0.6 * p
+        out[lo:hi] = low
+        more = run_more[a:z]
+        if not every and not more.any():
             continue
-        order = np.argsort(small(key - int(key.min())), kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        weights[key[first]] += rate * np.add.reduceat(((y - p)[:, None] * own)[order], first, axis=0)
-        near = cell + (part > 0.5)
-        low = int(near.min())
-        count, ones = np.bincount(near - low).astype(np.float32), np.bincount(near - low, y).astype(np.float32)
+        np.subtract(y, p, out=p)
+        sums = np.add.reduceat(p[:, None] * own, first[a:z] - lo, axis=0)
+        cell += spot > 0.5
+        if every:
+            weights[key] += rate * sums
+        else:
+            weights[key[more]] += rate * sums[more]
+            keep = np.repeat(more, length)
+            cell, y = cell[keep], y[keep]
+        low = int(cell.min())
+        cell -= low
+        count, ones = np.bincount(cell).astype(np.float32), np.bincount(cell, y).astype(np.float32)
         spread = refine[low : low + len(count)]
         spread += (ones - count * spread) / (count + 12)
-    back = np.empty(len(out), np.float64)
-    back[by] = out
-    return back
+    np.maximum(out, 1e-6, out=out)
+    np.minimum(out, 1 - 1e-6, out=out)
+    out -= 1 - y_
+    np.log(np.abs(out, out=out), out=out)
+    return np.bincount(token, out, len(doc))
 
 
-def score_texts(model: Model, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score, base score, known tokens) per text; ``counts`` are the corpus counts of the tokens."""
+def score_texts(model: Model, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray, paths: Paths | None = None, words: np.ndarray | None = None, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, base score, known tokens) per text; ``counts`` are the corpus counts of the tokens, ``words`` their numbers in ``paths``."""
     begin = np.cumsum(tokens) - tokens
     base = np.log10((counts + 0.5) / (model.known_tokens + 0.5 * (model.known_words + 1)))
-    symbols = model.code.symbols(keys)
-    b = Bits.of(model.code, symbols, tokens)
-    doc = np.repeat(np.arange(len(tokens)), tokens)
-    log = np.zeros(len(keys))
-    if len(b.token):
-        log += np.bincount(b.token, mix(model, b, doc[b.token], len(tokens)), len(keys))
+    symbols = model.code.symbols(keys) if symbols is None else symbols
+    doc = np.repeat(np.arange(len(tokens), dtype=np.int32), tokens)
+    parts = [Bits.of(model.code, symbols, tokens)]
+    if paths is not None:
+        parts.append(Bits.inside(model.code, symbols, tokens, paths, words, keys))
+    log = mix(model, parts, tokens) if any(len(b.bit) for b in parts) else np.zeros(len(keys))
     own = symbols - len(model.code.keys)
-    rare = np.flatnonzero(own >= 0)
+    rare = np.flatnonzero(own >= 0 if paths is None else (own >= 0) & (counts == 0))  # without a code of their own
     if len(rare):
         d, c = doc[rare], own[rare]
         _, word = np.unique(keys[rare], return_inverse=True)
@@ -295,7 +528,23 @@ def score_texts(model: Model, keys: np.ndarray, tokens: np.ndarray, counts: np.n
     return np.add.reduceat(log, begin) / np.log(10), np.add.reduceat(base, begin), np.add.reduceat((counts > 0).astype(np.int64), begin)
 
 
-def slices(tokens: np.ndarray, limit: int = 100_000) -> list[tuple[int, int]]:
+def sparse(sums: np.ndarray) -> bytes:
+    """A chunk of a table: where it is not zero, and the counts there; all counts if those are no more."""
+    held = np.flatnonzero(sums)
+    if 6 * len(held) < 4 * len(sums):
+        return held.astype(np.uint16).tobytes() + planes(sums[held])
+    return planes(sums)
+
+
+def add_sparse(sums: np.ndarray, data: bytes) -> None:
+    if len(data) == 4 * len(sums):
+        sums += unplanes(data, np.int32)
+    else:
+        n = len(data) // 6
+        sums[np.frombuffer(data, np.uint16, n)] += unplanes(data[2 * n :], np.int32)
+
+
+def slices(tokens: np.ndarray, limit: int = 16_000) -> list[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` tokens each; a larger text stands alone."""
     out, lo, held = [], 0, 0
     for k, n in enumerate(tokens.tolist()):
@@ -317,7 +566,7 @@ def score(docs: DataFrame, learn_from: Column, top: int = 255, classes: int = 32
     rows = docs.select(*[docs[f.name] for f in own], F.coalesce(learn_from, F.lit(False)).alias(learn))
     at = layout(rows, text_col)
     dealt = packed(rows, at, pack_col, id_col, text_col)
-    n_buckets = at.buckets
+    classes = max(classes, at.buckets)  # the bucket of a class holds its words and their code
 
     def count(table: pa.Table) -> pa.Table:
         _, texts, table = ordered(table, id_col, text_col)
@@ -325,92 +574,157 @@ def score(docs: DataFrame, learn_from: Column, top: int = 255, classes: int = 32
         used = np.repeat(table[learn].to_numpy(), tokens)
         distinct, inverse = np.unique(keys, return_inverse=True)
         n = np.bincount(inverse, used, len(distinct)).astype(np.int64)
+        order, parts = by_class(distinct, classes)
+        distinct, n = distinct[order], n[order]
         pack = table[pack_col][0].as_py()
-        return blobs([(b, pack, distinct[lo:hi].tobytes(), planes(n[lo:hi]), None) for b, lo, hi in pieces(distinct, n_buckets)])
+        return blobs([(c, pack, distinct[lo:hi].tobytes(), planes(n[lo:hi]), None) for c, lo, hi in parts])
 
     def total(table: pa.Table) -> pa.Table:
+        """Facts of a class (as pack -1), its words (-2), then which of them each pack has."""
         packs, bucket = table["pack"].to_pylist(), table["bucket"][0].as_py()
         parts = [np.frombuffer(x, np.uint64) for x in table["x"].to_pylist()]
         keys, n = np.concatenate(parts), np.concatenate([unplanes(y, np.int64) for y in table["y"].to_pylist()])
         distinct, inverse = np.unique(keys, return_inverse=True)
         sums = np.bincount(inverse, n, len(distinct)).astype(np.int64)
-        answer = np.split(sums[inverse], np.cumsum([len(p) for p in parts])[:-1])
+        answer = np.split(inverse.astype(np.int32), np.cumsum([len(p) for p in parts])[:-1])
         first = np.lexsort((distinct, -sums))[:top]
         first = first[sums[first] > 0]
-        own, seen = class_of(distinct, classes), sums > 0
-        facts = np.concatenate([np.bincount(own, sums, classes), np.bincount(own, seen, classes)]).astype(np.int64)
-        return blobs([*[(bucket, p, planes(a), None, None) for p, a in zip(packs, answer)], (bucket, -1, facts.tobytes(), distinct[first].tobytes(), sums[first].tobytes())])
-
-    answers = cut(dealt.groupBy(pack_col).applyInArrow(count, BLOB).groupBy("bucket").applyInArrow(total, BLOB))
+        facts = np.array([sums.sum(), (sums > 0).sum(), (sums == 1).sum()], np.int64)
+        return blobs([(bucket, -1, facts.tobytes(), distinct[first].tobytes(), sums[first].tobytes()), (bucket, -2, distinct.tobytes(), planes(sums), None), *[(bucket, p, planes(a), None, None) for p, a in zip(packs, answer)]])
 
-    def add_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = np.zeros(2 * classes, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                facts += np.frombuffer(x, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(facts)), pa.int32()), pa.array(facts)], names=["place", "n"])
+    counted = cut(dealt.groupBy(pack_col).applyInArrow(count, BLOB).groupBy("bucket").applyInArrow(total, BLOB))
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v, np.int64)) for v in (x, y)], names=["key", "n"])
 
-    stats = answers.where("pack = -1")
-    facts = np.zeros(2 * classes, np.int64)
-    for r in stats.select("x").mapInArrow(add_facts, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # of fixed size
-        facts[r["place"]] = r["n"]
-    class_tokens, class_words = facts[:classes], facts[classes:]
-    known_tokens, known_words = int(class_tokens.sum()), int(class_words.sum())
+    stats = counted.where("pack = -1")
+    facts = np.zeros((classes, 3), np.int64)
+    for r in stats.select("bucket", "x").collect():  # a row per class
+        facts[r["bucket"]] = np.frombuffer(r["x"], np.int64)
+    known_tokens, known_words = int(facts[:, 0].sum()), int(facts[:, 1].sum())
     frequent = stats.select("y", "z").mapInArrow(unfold, "key long, n long").orderBy(F.desc("n"), "key").limit(top).collect()
     keys, n = np.array([r["key"] for r in frequent], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in frequent], dtype=np.int64)
     of = class_of(keys, classes)
-    class_tokens, class_words = class_tokens - np.bincount(of, n, classes).astype(np.int64), class_words - np.bincount(of, minlength=classes)
-    code = Code.build(keys, n, class_tokens)
+    # of all other words; those seen once stand for the unknown ones
+    held = facts[:, 0] + facts[:, 2] - np.bincount(of, n + (n == 1), classes).astype(np.int64)
+    code = Code.build(keys, n, held)
     sc = docs.sparkSession.sparkContext
     shared_code = sc.broadcast(code)
     n_nodes = len(code.length) - 1
 
+    @tidy
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each class get codes; every pack gets those of its words."""
+        own_class, sums, tails, leaf = -1, None, None, None
+        for batch in batches:
+            out = []
+            for bucket, pack, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if pack == -2:
+                    own_class, words, sums = bucket, np.frombuffer(x, np.uint64), unplanes(y, np.int64)
+                    tails, leaf = inner_codes(sums, np.isin(words, shared_code.value.keys))
+                    continue
+                if bucket != own_class:
+                    raise ValueError("the words of a class must precede its packs")
+                rank = unplanes(x, np.int32)
+                t = tails.pick(leaf[rank])
+                out.append((bucket, pack, planes(sums[rank]), t.length.astype(np.uint8).tobytes() + planes(t.code), t.share.tobytes()))
+            if out:
+                yield from blobs(out).to_batches()
+
+    asked = cut(counted.where("pack != -1").mapInArrow(encode, BLOB)).withColumnRenamed("pack", pack_col)
+
+    def read(texts: list[bytes], found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Tails]:
+        """(keys, tokens per text, distinct keys, which of them each token is, their corpus counts, their codes) from the answers to a pack."""
+        keys, tokens = stream(texts)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        order, _ = by_class(distinct, classes)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        _, x, y, z = zip(*sorted(found))
+        n = np.concatenate([unplanes(v, np.int64) for v in x])
+        if len(n) != len(distinct):
+            raise ValueError("a pack and its answers must meet whole")
+        n = n[back]
+        length = np.concatenate([np.frombuffer(v, np.uint8, len(v) // 9) for v in y]).astype(np.int64)
+        codes = np.concatenate([unplanes(v[len(v) // 9 :], np.uint64) for v in y])
+        return keys, tokens, distinct, inverse, n, Tails(length, codes, np.frombuffer(b"".join(z), np.uint8)).pick(back)
+
     @tidy
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of all contexts over the learned texts of a partition; rows come pack by pack."""
         c: Code = shared_code.value
-        sums = np.zeros((CONTEXTS, 2 << TABLE_BITS), np.int32)
+        sums = np.zeros((CONTEXTS, 2, SLOTS // 2), np.int32)
         nodes = np.zeros(2 * n_nodes, np.int64)
+
+        def learned(texts: list[bytes], used: np.ndarray, found: list[tuple]) -> None:
+            if not used.any():
+                return
+            _, tokens, distinct, words, _, tails = read(texts, found)
+            words, tokens = words[np.repeat(used, tokens)], tokens[used]
+            symbols = c.symbols(distinct)
+            paths = Paths.of(symbols, tails)
+            ends = np.concatenate([[0], np.cumsum(tokens)])
+            for lo, hi in slices(tokens):
+                w = words[ends[lo] : ends[hi]]
+                outer, inner = Bits.of(c, symbols[w], tokens[lo:hi]), Bits.inside(c, symbols[w], tokens[lo:hi], paths, w, distinct[w])
+                nodes[:] += np.bincount(outer.node * 2 + outer.bit, minlength=2 * n_nodes)
+                for j in range(CONTEXTS):
+                    for table, part in ((sums[j, 0], outer), (sums[j, 1], inner)):
+                        np.add.at(table, part.slots[j] * 2 + part.bit, np.int32(1))
+
+        now, texts, used, found = None, [], [], []
         for batch in batches:
-            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
-            lo, size = 0, np.cumsum([len(t) for t in texts]) // (1 << 20)
-            for hi in [*(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]:
-                if hi > lo:
-                    found, tokens = stream(texts[lo:hi])
-                    b = Bits.of(c, c.symbols(found), tokens)
-                    nodes += np.bincount(b.node * 2 + b.bit, minlength=2 * n_nodes)
-                    for j, s in enumerate(b.slots):
-                        sums[j] += np.bincount(s * 2 + b.bit, minlength=2 << TABLE_BITS).astype(np.int32)
-                lo = hi
-        out = [(-1, planes(nodes))]
-        for j in range(CONTEXTS):
-            out += [(j * ((2 << TABLE_BITS) // CHUNK) + i, planes(part)) for i, part in enumerate(sums[j].reshape(-1, CHUNK)) if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["chunk", "sums"])
+            columns = [batch.column(k).cast(pa.binary()) if k == 2 else batch.column(k) for k in range(batch.num_columns)]
+            for pack, bucket, text, learns, *answer in zip(*(v.to_pylist() for v in columns)):
+                if pack != now:
+                    learned(texts, np.array(used, bool), found)
+                    now, texts, used, found = pack, [], [], []
+                if bucket < 0:
+                    texts.append(text or b"")
+                    used.append(learns)
+                else:
+                    found.append((bucket, *answer))
+        learned(texts, np.array(used, bool), found)
+        yield chunks([-1], [planes(nodes)])
+        for j, own_sums in enumerate(sums.reshape(CONTEXTS, -1)):
+            held = [(i, part) for i, part in enumerate(own_sums.reshape(-1, CHUNK), j * (SLOTS // CHUNK)) if part.any()]
+            yield chunks([i for i, _ in held], [sparse(part) for _, part in held])
+
+    def chunks(numbers: list[int], values: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(values, pa.binary())], names=["chunk", "sums"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = key[0].as_py()
-        kind = np.int64 if chunk < 0 else np.int32
-        sums = np.zeros(1, np.int64)
+        sums = np.zeros(2 * n_nodes if chunk < 0 else CHUNK, np.int64)
         for batch in batches:
             for x in batch.column(batch.schema.get_field_index("sums")).to_pylist():
-                sums = sums + unplanes(x, kind)
-        sums = np.minimum(sums, np.iinfo(kind).max).astype(kind)  # of a slot seen two thousand million times the share stays
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([planes(sums)], pa.binary())], names=["chunk", "part", "sums"])
-
-    partial = rows.where(F.col(learn)).select(text_col).mapInArrow(tables, "chunk int, sums binary")
-    salted = partial.select("chunk", F.pmod(F.spark_partition_id(), F.lit(max(1, at.partitions // 32))).alias("part"), "sums")
-    summed = salted.groupBy("chunk", "part").applyInArrow(add, SUMS).groupBy("chunk").applyInArrow(add, SUMS).select("chunk", "sums").collect()  # of fixed size
-    node_counts, counts = np.zeros(2 * n_nodes, np.int64), np.zeros((CONTEXTS * (2 << TABLE_BITS) // CHUNK, CHUNK), np.float32)
+                if chunk < 0:
+                    sums += unplanes(x, np.int64)
+                else:
+                    add_sparse(sums, x)
+        # of a slot seen two thousand million times the share stays
+        own_sums = planes(sums) if chunk < 0 else sparse(np.minimum(sums, np.iinfo(np.int32).max).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([own_sums], pa.binary())], names=["chunk", "part", "sums"])
+
+    answer = ["x", "y", "z"]
+    asking = rows.select(pack_of(at, id_col, text_col).alias("pack"), F.lit(-1).alias("bucket"), F.col(text_col).alias("text"), F.col(learn).alias("learn"), *[F.lit(None).cast("binary").alias(c) for c in answer])
+    answered = asked.select(F.col(pack_col).alias("pack"), "bucket", F.lit(None).cast("string").alias("text"), F.lit(False).alias("learn"), *answer)
+    few = max(sc.defaultParallelism, -(-at.total_bytes // (48 << 20)))  # every partition sends a whole table
+    by_pack = asking.union(answered).repartition(few, "pack").sortWithinPartitions("pack", "bucket")
+    partial = by_pack.mapInArrow(tables, "chunk int, sums binary")
+    salted = partial.select("chunk", F.pmod(F.spark_partition_id(), F.lit(max(1, few // 32))).alias("part"), "sums")
+    summed = cut(salted.groupBy("chunk", "part").applyInArrow(add, SUMS).groupBy("chunk").applyInArrow(add, SUMS).select("chunk", "sums")).collect()  # of fixed size
+    node_counts, counts = np.zeros(2 * n_nodes, np.int64), np.zeros((CONTEXTS * SLOTS // CHUNK, CHUNK), np.float32)
     for r in summed:
         if r["chunk"] < 0:
             node_counts = unplanes(bytes(r["sums"]), np.int64)
         else:
-            counts[r["chunk"]] = unplanes(bytes(r["sums"]), np.int32)
-    model = Model.build(code, known_tokens, known_words, class_tokens, class_words, node_counts.reshape(-1, 2), counts.reshape(CONTEXTS, -1, 2))
+            add_sparse(counts[r["chunk"]], bytes(r["sums"]))
+    del summed
+    none = np.zeros(classes, np.int64)  # every learned word has a code of its own
+    model = Model.build(code, known_tokens, known_words, none, none, node_counts.reshape(-1, 2), *counts.reshape(CONTEXTS, 2, -1, 2).swapaxes(0, 1))
     shared = sc.broadcast(model)
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -421,16 +735,18 @@ def score(docs: DataFrame, learn_from: Column, top: int = 255, classes: int = 32
             return arrow.empty_table()
         m: Model = shared.value
         _, texts, table = ordered(table, id_col, text_col)
-        keys, tokens = stream(texts)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        n = np.concatenate([unplanes(x, np.int64) for x in found.sort_by("bucket")["x"].to_pylist()])[inverse]
+        keys, tokens, distinct, words, n, tails = read(texts, list(zip(*(found[c].to_pylist() for c in ("bucket", "x", "y", "z")))))
+        symbols = m.code.symbols(distinct)
+        paths = Paths.of(symbols, tails)
         ends = np.concatenate([[0], np.cumsum(tokens)])
-        parts = [score_texts(m, keys[ends[a] : ends[b]], tokens[a:b], n[ends[a] : ends[b]]) for a, b in slices(tokens)]
+        parts = []
+        for a, b in slices(tokens):
+            w = words[ends[a] : ends[b]]
+            parts.append(score_texts(m, keys[ends[a] : ends[b]], tokens[a:b], n[w], paths, w, symbols[w]))
         own_score, base, known = (np.concatenate(x) for x in zip(*parts))
         size = np.array([len(t) + 1 for t in texts])
         columns = [table[f.name].combine_chunks() for f in own]
         columns += [pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(texts), m.known_tokens), pa.int64()), pa.array(base), pa.array(own_score), pa.array(-own_score * np.log2(10) / size)]
         return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], names=arrow.names)
 
-    asked = answers.where("pack >= 0").withColumnRenamed("pack", pack_col)
     return dealt.groupBy(pack_col).cogroup(asked.groupBy(pack_col)).applyInArrow(finish, schema)
