@@ -12,41 +12,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontaminate, language, simhash, substring
-from riskloom.llm.common import bounded, shared_dir
+from riskloom.llm.common import bounded, give_back, shared_dir
 
 #: A document goes if less than this share of its words is of one known language.
 MIN_SHARE = 0.4
 
 
+def ready(spark: SparkSession) -> None:
+    """Before each stage: Arrow batches of 1 MB, and executors without the garbage of the stage before."""
+    bounded(spark, 1)
+    give_back(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is unknown (no letters) or whose best language holds under MIN_SHARE go; ``lang`` becomes the prediction."""
-    bounded(spark, 1)
+    ready(spark)
     field = language.learn(docs)
+    give_back(spark)
     out = language.predict(docs, field).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
     return out.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with the smallest id stays."""
-    bounded(spark, 1)
+    ready(spark)
     return simhash.dedup(docs, words=5, similarity=0.8)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds go from the later ones."""
-    bounded(spark, 1)
+    ready(spark)
     return sized(substring.dedup(docs, window=50))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of 10 words or more of a benchmark item go; documents that are mostly such spans go as a whole."""
-    bounded(spark, 1)
+    ready(spark)
     return sized(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, max_coverage=0.5))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids, their number, and whether they decode to the text."""
-    bounded(spark, 1)
+    ready(spark)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
     same = F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))

@@ -106,6 +106,19 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
+def give_back(spark: SparkSession, always: bool = False) -> None:
+    """Executors collect their garbage and return the free heap to the system, on a cluster (or ``always``).
+
+    A JVM keeps what its heap has once grown to, while the Python workers beside
+    it need memory of the same executor.  One small task an executor.
+    """
+    sc = spark.sparkContext
+    if not always and re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        return
+    n = max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have (names are not case-sensitive)."""
     used = {c.lower() for c in docs.columns}

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, cut, hash_words, mix64, tidy, words_at
+from .common import NO_ID, cut, give_back, hash_words, mix64, tidy, words_at
 from .graph import components
 from .substring import stretch_keys
 
@@ -264,6 +264,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
     shared = cut(owners.join(several, "token", "left_semi").join(facts, "node"))
     roots, sets, tested, width = None, None, None, 1
     while True:
+        give_back(docs.sparkSession)
         live = shared.withColumn("root", F.col("node")) if roots is None else shared.join(roots, "node")
         pairs, mixed = _leader_pairs(live, similarity, width)
         pairs = pairs.unionAll(_ball_pairs(classes.where("n > 0"), distance)).distinct() if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
@@ -271,10 +272,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
         if sets is None:
             ends = shared.select("node").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
             sets = cut(_sets(rows, classes.join(ends, "node", "left_semi").select("node", "key", F.col("rank.copy").alias("copy")), words))
+        give_back(docs.sparkSession)
         found = cut(_verified(pairs, sets, similarity))
         tested = pairs if tested is None else tested.unionAll(pairs)
         roots = joined(roots, found) if roots is not None else joined(classes.select("node", F.col("node").alias("root")), found)
         if not mixed.where(F.col("outside") > width).limit(1).count():
+            give_back(docs.sparkSession)
             return classes.join(roots, "node").select("rank", "root")
         width *= 32
 

@@ -64,3 +64,13 @@ def test_checkpoints_restore_the_session(spark):
     before = spark.conf.get(name, "false")
     out = common.cut(spark.range(10).repartition(3, "id"))
     assert out.count() == 10 and out.count() == 10 and spark.conf.get(name, "false") == before
+
+
+def test_give_back_collects_the_heap(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    before = full()
+    common.give_back(spark, always=True)
+    assert full() == before + 1
+    common.give_back(spark)  # a local master has no executors beside the driver
+    assert full() == before + 1

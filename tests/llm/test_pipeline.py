@@ -103,3 +103,13 @@ def test_language_stage_rejects_what_has_no_letters(spark):
     out = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionAll(junk), DATA).collect()}
     assert 10**9 not in out and 10**9 + 1 not in out and len(out) > 0.97 * docs.count()
     assert public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def test_stages_start_without_garbage(spark, odd, monkeypatch):
+    called = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", called.append, raising=False)
+    docs = odd.drop("pack", "ids", "media")
+    for name, stage in corpus_pipeline.STAGES:
+        called.clear()
+        stage(spark, docs, DATA)
+        assert called, name
