@@ -59,6 +59,8 @@ INNER_FIRST = ([0.2, 0.2, 0.2, 0.2, 0.2, 0], [0, 0.1, 0.1, 0.1, 0.7, 0], [0, 0.1
 #: What this text has seen is added to so many bits as the contexts foretell: of frequent words and classes, inside classes.
 PRIOR, INNER_PRIOR = 6, 0.5
 CHUNK = 1 << 16
+#: Numbers hashed at a time: they stay in a core's cache.
+PIECE = 1 << 13
 SUMS = "chunk int, part int, sums binary"
 #: Counts of a context: two for each slot, of frequent words and classes, then inside classes.
 SLOTS = 4 << TABLE_BITS
@@ -212,12 +214,20 @@ class Paths:
     @classmethod
     def of(cls, symbols: np.ndarray, tails: Tails) -> Paths:
         start = np.cumsum(tails.length) - tails.length
-        word = np.repeat(np.arange(len(symbols)), tails.length)
-        level = (np.arange(len(word)) - start[word]).astype(np.uint64)
-        left = tails.length[word].astype(np.uint64) - level
-        code = tails.code[word]
-        node = inner_node(symbols[word], (code >> left) | (np.uint64(1) << level))
-        return cls(start, tails.length, node, (code >> (left - np.uint64(1)) & np.uint64(1)).astype(bool), ODDS[tails.share])
+        total = int(tails.length.sum())
+        node, bit = np.empty(total, np.uint32), np.empty(total, bool)
+        step = max(1, PIECE * len(symbols) // max(total, 1))  # words whose bits make about a piece
+        for lo in range(0, len(symbols), step):
+            length = tails.length[lo : lo + step]
+            a, z = start[lo], start[lo] + length.sum()
+            left = np.repeat((start[lo : lo + step] + length - a).astype(np.uint64), length)
+            left -= np.arange(z - a, dtype=np.uint64)  # bits from this one on
+            before = np.repeat(tails.code[lo : lo + step] | np.uint64(1) << length.astype(np.uint64), length)
+            before >>= left
+            node[a:z] = inner_node(np.repeat(symbols[lo : lo + step], length), before)
+            left -= np.uint64(1)
+            np.not_equal(np.repeat(tails.code[lo : lo + step], length) >> left & np.uint64(1), 0, out=bit[a:z])
+        return cls(start, tails.length, node, bit, ODDS.take(tails.share))
 
 
 def inner_node(symbol: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -240,16 +250,16 @@ class Bits:
         """Of the symbols."""
         length = code.length[symbols]
         at = ranges(symbols * code.node.shape[1], length)
-        node = code.node.reshape(-1)[at]
-        return cls(length, node, code.bit.reshape(-1)[at], slots_of([*previous(symbols.astype(np.uint64), tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)))
+        node = code.node.reshape(-1).take(at, mode="clip")
+        return cls(length, node, code.bit.reshape(-1).take(at, mode="clip"), slots_of([*previous(symbols.astype(np.uint64), tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)))
 
     @classmethod
     def inside(cls, code: Code, symbols: np.ndarray, tokens: np.ndarray, paths: Paths, words: np.ndarray, keys: np.ndarray) -> Bits:
         """Of the words inside their classes: ``words`` are their numbers in ``paths``."""
         length = paths.length[words]
         at = ranges(paths.start[words], length)
-        node = paths.node[at]
-        return cls(length, node, paths.bit[at], slots_of([*previous(keys, tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)), paths.base[at])
+        node = paths.node.take(at, mode="clip")
+        return cls(length, node, paths.bit.take(at, mode="clip"), slots_of([*previous(keys, tokens), last_frequent(code, symbols, tokens)], length, node.astype(np.uint64)), paths.base.take(at, mode="clip"))
 
 
 def previous(number: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +288,7 @@ def last_frequent(code: Code, symbols: np.ndarray, tokens: np.ndarray) -> np.nda
 
 
 def slots_of(contexts: list[np.ndarray], length: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-    """Upper bits of ``mix64`` of each context and the node."""
+    """Upper bits of ``mix64`` of each context and the node (its last step does not reach them)."""
     node *= np.uint64(0xA24BAED4963EE407)
     t, out = np.empty_like(node), []
     for c in contexts:
@@ -288,8 +298,6 @@ def slots_of(contexts: list[np.ndarray], length: np.ndarray, node: np.ndarray) -
             np.right_shift(x, np.uint64(shift), out=t)
             x ^= t
             x *= np.uint64(odd)
-        np.right_shift(x, np.uint64(31), out=t)
-        x ^= t
         x >>= np.uint64(64 - TABLE_BITS)
         out.append(x.view(np.int64))
     return out
@@ -348,24 +356,35 @@ def by_number(x: np.ndarray) -> np.ndarray:
     return order if most < 1 << 16 else order[np.argsort((x >> 16).astype(np.uint16)[order], kind="stable")]
 
 
-def before_counts(key: np.ndarray, doc: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each event, how many earlier events of its text have its key (under 2^32), and how many of those the flag.  ``doc`` ascends."""
-    order = by_number(key)
-    k, d = key[order], doc[order]
-    new = np.ones(len(k), bool)
-    np.not_equal(k[1:], k[:-1], out=new[1:])
-    new[1:] |= d[1:] != d[:-1]
-    start = np.flatnonzero(new).astype(np.int32)
-    size = np.diff(start, append=np.int32(len(k)))
-    n = np.empty(len(k), np.int32)
-    n[order] = np.arange(len(k), dtype=np.int32) - np.repeat(start, size)
+def before_counts(key: np.ndarray, size: np.ndarray, flag: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each event, how many earlier events of its text have its key (under 2^32), and how many of those the flag.  ``size``: events of each text, which follow each other."""
+    events = len(key)
+    both = key.astype(np.uint64)  # number, place (under 2^31), flag: each text is sorted alone, which stays in a core's cache
+    both <<= np.uint64(32)
+    low = np.arange(0, 2 * events, 2, dtype=np.uint64)
+    if flag is not None:
+        low |= flag.view(np.uint8)
+    both |= low
+    ends = np.cumsum(size)
+    for lo, hi in zip((ends - size).tolist(), ends.tolist()):
+        if hi - lo > 1:
+            both[lo:hi].sort()
+    new = np.ones(events + 1, bool)
+    high, low = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+    np.not_equal(high[1:], high[:-1], out=new[1:-1])
+    new[ends] = True
+    start = np.flatnonzero(new[:-1]).astype(np.int32)
+    many = np.diff(start, append=np.int32(events))
+    order = (low >> np.uint32(1)).astype(np.int64)
+    n = np.empty(events, np.int32)
+    n[order] = np.arange(events, dtype=np.int32) - np.repeat(start, many)
     if flag is None:
         return n, n
-    f = flag[order]
-    ones = np.cumsum(f, dtype=np.int32)
-    ones -= f
-    ones -= np.repeat(ones[start], size)
-    m = np.empty(len(k), np.int32)
+    low &= np.uint32(1)
+    ones = np.cumsum(low, dtype=np.int32)
+    ones -= low.view(np.int32)
+    ones -= np.repeat(ones[start], many)
+    m = np.empty(events, np.int32)
     m[order] = ones
     return n, m
 
@@ -376,14 +395,14 @@ def blocks(place: np.ndarray) -> np.ndarray:
     return np.where(place < begun[-1], np.searchsorted(begun, place, side="right"), len(FIRST) + (place - begun[-1]) // BLOCK)
 
 
-def inputs(model: Model, b: Bits, doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(log odds of every bit by each model, gates)."""
-    n, ones = before_counts(b.node, np.repeat(doc, b.length), b.bit)
+def inputs(model: Model, b: Bits, size: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Gates; fills ``x`` with the log odds of every bit by each model, a row each.  ``size``: bits of each text."""
+    n, ones = before_counts(b.node, size, b.bit)
     inner = b.base is not None
     base, prior = (b.base, np.float32(INNER_PRIOR)) if inner else (model.node_odds[b.node], np.float32(PRIOR))
-    x, levels = [base], []
+    x[0], levels = base, []
     for j, s in enumerate(b.slots):
-        pair = (model.inner_seen if inner else model.seen)[j].take(s).view(np.float32)
+        pair = (model.inner_seen if inner else model.seen)[j].take(s, mode="clip").view(np.float32)
         trust = np.ascontiguousarray(pair[::2])
         if j < 2:
             level = (trust > np.float32(2.5 / 8.5)).view(np.uint8)
@@ -391,24 +410,23 @@ def inputs(model: Model, b: Bits, doc: np.ndarray) -> tuple[list[np.ndarray], np
                 level = level + (trust > np.float32(least / (least + 6))).view(np.uint8)
             levels.append(level)
         trust *= base
-        last = base - trust
+        last = np.subtract(base, trust, out=x[j + 1])
         last += pair[1::2]
-        x.append(last)
     against = np.exp(-last)
     some = prior / (1 + against)  # odds of the bit in this text so far
     against *= some
     against += n - ones
     some += ones
     some /= against
-    x.append(np.log(some, out=some))
+    np.log(some, out=x[CONTEXTS + 1])
     if inner:
-        return x, np.minimum(n, 3).astype(np.uint8) * np.uint8(4) + levels[0] + np.uint8(GATES)
-    return x, levels[0] * np.uint8(4) + levels[1]
+        return np.minimum(n, 3).astype(np.uint8) * np.uint8(4) + levels[0] + np.uint8(GATES)
+    return levels[0] * np.uint8(4) + levels[1]
 
 
 def mix(model: Model, parts: list[Bits], tokens: np.ndarray, rate: float = 0.002) -> np.ndarray:
-    """Natural log of the probability of every token's bits; those of a token come part by part."""
-    n_docs = len(tokens)
+    """Natural log of the probability of the bits of every text; those of a token come part by part."""
+    n_docs, begin = len(tokens), np.cumsum(tokens) - tokens
     doc = np.repeat(np.arange(n_docs, dtype=np.int32), tokens)
     token_end = np.cumsum(sum(b.length for b in parts))
     text_end = token_end[np.cumsum(tokens) - 1]
@@ -422,46 +440,47 @@ def mix(model: Model, parts: list[Bits], tokens: np.ndarray, rate: float = 0.002
     rank = np.empty(len(turn), np.int32)
     rank[turn] = np.arange(len(turn)) * (2 * GATES)
     place = token_end - sum(b.length for b in parts) - np.repeat(text_end - many, tokens)  # of the first bit of each token in its text
-    keys, sources = [], []
+    size = int(token_end[-1])
+    key, x, lo = np.empty(size, np.int32), np.empty((INPUTS - 1, size), np.float32), 0
     for b in parts:
-        x, gate = inputs(model, b, doc)
-        key = np.repeat((place - np.cumsum(b.length) + b.length).astype(np.int32), b.length)
-        key += np.arange(len(key), dtype=np.int32)
-        key = number.take(key)
-        key += np.repeat(first_cell[doc].astype(np.int32), b.length)
-        key = rank.take(key)
-        key += gate
-        keys.append(key)
-        sources.append(x)
+        hi = lo + len(b.bit)
+        own = np.repeat((place - np.cumsum(b.length) + b.length).astype(np.int32), b.length)
+        own += np.arange(len(own), dtype=np.int32)
+        own = number.take(own, mode="clip")
+        own += np.repeat(first_cell[doc].astype(np.int32), b.length)
+        np.add(rank.take(own, mode="clip"), inputs(model, b, np.add.reduceat(b.length, begin), x[:, lo:hi]), out=key[lo:hi])
         place = place + b.length
-    key = np.concatenate(keys)
-    size = len(key)
+        lo = hi
     by = by_number(key)
-    key = key[by]
-    y_ = np.concatenate([b.bit for b in parts])[by].astype(np.float32)
-    token = np.concatenate([np.repeat(np.arange(len(doc), dtype=np.int32), b.length) for b in parts])[by]
-    x_ = np.empty((size, INPUTS), np.float32)
-    for j, columns in enumerate(zip(*sources)):
-        x_[:, j] = np.concatenate(columns).take(by)
-    x_[:, CONTEXTS + 2] = 0.3
+    key = key.take(by)
+    hit = np.concatenate([b.bit for b in parts]).take(by)
+    y_, hit = hit.astype(np.float32), hit.astype(np.intp)
+    x_ = np.empty((INPUTS, size), np.float32)
+    for row, own in zip(x, x_):
+        row.take(by, out=own, mode="clip")
+    x_[CONTEXTS + 2] = 0.3
+    del x
     new = np.ones(size, bool)
     np.not_equal(key[1:], key[:-1], out=new[1:])
     first = np.flatnonzero(new)
     run_cell, run_gate = np.divmod(key[first], 2 * GATES)
-    run_key = cell_doc[turn][run_cell] * (2 * GATES) + run_gate  # weights of each run
+    run_doc = cell_doc[turn][run_cell]
+    run_key = run_doc * (2 * GATES) + run_gate  # weights of each run
     run_block = cell_block[turn][run_cell]
-    run_more = run_block < n_blocks[cell_doc[turn][run_cell]] - 1  # another block of the text follows
+    run_more = run_block < n_blocks[run_doc] - 1  # another block of the text follows
     run_size = np.diff(np.append(first, size))
     weights = np.tile(model.first_weights(), (n_docs, 1))
     grid = 1 / (1 + np.exp(-np.linspace(-8, 8, 17)))
     refine = np.tile(grid.astype(np.float32), n_docs)
-    run_shift = run_key // (2 * GATES) * 17
     run_edges = np.searchsorted(run_block, np.arange(int(cell_block.max()) + 2))
-    edges, ends, all_more = run_edges.tolist(), np.append(first, size)[run_edges].tolist(), np.minimum.reduceat(run_more, run_edges[:-1]).tolist()
+    edges, ends = run_edges.tolist(), np.append(first, size)[run_edges].tolist()
+    all_more, any_more = (f.reduceat(run_more, run_edges[:-1]).tolist() for f in (np.logical_and, np.logical_or))
     out = np.empty(size, np.float32)
-    for a, z, lo, hi, every in zip(edges, edges[1:], ends, ends[1:], all_more):
-        y, own, key, length = y_[lo:hi], x_[lo:hi], run_key[a:z], run_size[a:z]
-        t = np.einsum("ij,ij->i", np.repeat(weights.take(key, axis=0), length, axis=0), own)
+    for a, z, lo, hi, every, some in zip(edges, edges[1:], ends, ends[1:], all_more, any_more):
+        own, weight, length = x_[:, lo:hi], run_key[a:z], run_size[a:z]
+        t = np.repeat(weights.take(weight, axis=0).T, length, axis=1)
+        t *= own
+        t = np.add.reduce(t, axis=0)
         np.maximum(t, -12, out=t)
         np.minimum(t, 12, out=t)
         spot = np.maximum(t + 8, 0)
@@ -470,39 +489,44 @@ def mix(model: Model, parts: list[Bits], tokens: np.ndarray, rate: float = 0.002
         np.exp(p, out=p)
         p += 1
         np.reciprocal(p, out=p)
-        cell = spot.astype(np.intp)
-        spot -= cell
-        cell += np.repeat(run_shift[a:z], length)
-        low = refine.take(cell)
-        high = refine.take(cell + 1)
+        low = np.floor(spot)
+        spot -= low
+        cell = low.astype(np.intp)
+        shift = int(run_doc[a]) * 17  # runs of a block come text by text
+        cell += np.repeat(run_doc[a:z] * 17 - shift, length)
+        near = refine[shift : (int(run_doc[z - 1]) + 1) * 17]
+        low = near.take(cell, out=low, mode="clip")
+        high = near[1:].take(cell, mode="clip")
         high -= low
         high *= spot
         low += high
         low *= 0.4
-        low += 0.6 * p
-        out[lo:hi] = low
-        more = run_more[a:z]
-        if not every and not more.any():
+        np.multiply(p, 0.6, out=high)
+        np.add(low, high, out=out[lo:hi])
+        if not some:
             continue
-        np.subtract(y, p, out=p)
-        sums = np.add.reduceat(p[:, None] * own, first[a:z] - lo, axis=0)
+        np.subtract(y_[lo:hi], p, out=p)
+        sums = np.add.reduceat(p * own, first[a:z] - lo, axis=1).T
+        sums *= rate
         cell += spot > 0.5
+        cell += cell
+        cell += hit[lo:hi]
         if every:
-            weights[key] += rate * sums
+            weights[weight] += sums
         else:
-            weights[key[more]] += rate * sums[more]
-            keep = np.repeat(more, length)
-            cell, y = cell[keep], y[keep]
-        low = int(cell.min())
-        cell -= low
-        count, ones = np.bincount(cell).astype(np.float32), np.bincount(cell, y).astype(np.float32)
-        spread = refine[low : low + len(count)]
-        spread += (ones - count * spread) / (count + 12)
+            more = run_more[a:z]
+            weights[weight[more]] += sums[more]
+            cell = cell[np.repeat(more, length)]
+        count = np.bincount(cell, minlength=2 * len(near)).astype(np.float32).reshape(-1, 2)
+        ones = count[:, 1]
+        count = count[:, 0] + ones
+        near += (ones - count * near) / (count + 12)
     np.maximum(out, 1e-6, out=out)
     np.minimum(out, 1 - 1e-6, out=out)
-    out -= 1 - y_
+    y_ -= 1
+    out += y_
     np.log(np.abs(out, out=out), out=out)
-    return np.bincount(token, out, len(doc))
+    return np.bincount(run_doc, np.add.reduceat(out, first, dtype=np.float64), n_docs)
 
 
 def score_texts(model: Model, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray, paths: Paths | None = None, words: np.ndarray | None = None, symbols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -514,18 +538,19 @@ def score_texts(model: Model, keys: np.ndarray, tokens: np.ndarray, counts: np.n
     parts = [Bits.of(model.code, symbols, tokens)]
     if paths is not None:
         parts.append(Bits.inside(model.code, symbols, tokens, paths, words, keys))
-    log = mix(model, parts, tokens) if any(len(b.bit) for b in parts) else np.zeros(len(keys))
+    log = mix(model, parts, tokens) if any(len(b.bit) for b in parts) else np.zeros(len(tokens))
     own = symbols - len(model.code.keys)
     rare = np.flatnonzero(own >= 0 if paths is None else (own >= 0) & (counts == 0))  # without a code of their own
     if len(rare):
         d, c = doc[rare], own[rare]
         _, word = np.unique(keys[rare], return_inverse=True)
-        same, _ = before_counts(word, d)
-        seen, again = before_counts(c, d, same > 0)
+        some = np.bincount(d, minlength=len(tokens))
+        same, _ = before_counts(word, some)
+        seen, again = before_counts(c, some, same > 0)
         turn = (again + 0.2) / (seen + 4.0) * (seen > 0)
         share = (counts[rare] + 0.5) / model.mass[c]
-        log[rare] += np.log(turn * same / np.maximum(seen, 1) + (1 - turn) * share)
-    return np.add.reduceat(log, begin) / np.log(10), np.add.reduceat(base, begin), np.add.reduceat((counts > 0).astype(np.int64), begin)
+        log += np.bincount(d, np.log(turn * same / np.maximum(seen, 1) + (1 - turn) * share), len(tokens))
+    return log / np.log(10), np.add.reduceat(base, begin), np.add.reduceat((counts > 0).astype(np.int64), begin)
 
 
 def sparse(sums: np.ndarray) -> bytes:
@@ -544,7 +569,7 @@ def add_sparse(sums: np.ndarray, data: bytes) -> None:
         sums[np.frombuffer(data, np.uint16, n)] += unplanes(data[2 * n :], np.int32)
 
 
-def slices(tokens: np.ndarray, limit: int = 16_000) -> list[tuple[int, int]]:
+def slices(tokens: np.ndarray, limit: int = 24_000) -> list[tuple[int, int]]:
     """Ranges of texts with at most ``limit`` tokens each; a larger text stands alone."""
     out, lo, held = [], 0, 0
     for k, n in enumerate(tokens.tolist()):
@@ -672,7 +697,10 @@ def score(docs: DataFrame, learn_from: Column, top: int = 255, classes: int = 32
                 nodes[:] += np.bincount(outer.node * 2 + outer.bit, minlength=2 * n_nodes)
                 for j in range(CONTEXTS):
                     for table, part in ((sums[j, 0], outer), (sums[j, 1], inner)):
-                        np.add.at(table, part.slots[j] * 2 + part.bit, np.int32(1))
+                        at = part.slots[j]
+                        at <<= 1
+                        at |= part.bit
+                        np.add.at(table, at, np.int32(1))
 
         now, texts, used, found = None, [], [], []
         for batch in batches:
@@ -735,6 +763,8 @@ def score(docs: DataFrame, learn_from: Column, top: int = 255, classes: int = 32
             return arrow.empty_table()
         m: Model = shared.value
         _, texts, table = ordered(table, id_col, text_col)
+        by_size = np.argsort([len(t) for t in texts], kind="stable")  # texts of a slice then go through as many blocks
+        texts, table = [texts[k] for k in by_size.tolist()], table.take(by_size)
         keys, tokens, distinct, words, n, tails = read(texts, list(zip(*(found[c].to_pylist() for c in ("bucket", "x", "y", "z")))))
         symbols = m.code.symbols(distinct)
         paths = Paths.of(symbols, tails)
