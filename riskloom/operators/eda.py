@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from . import bin_stats, metrics, ranks, selectors, stability
-from .binning import BinModel, fit_binning, fit_many
+from .binning import BinModel, Counts, fit_binning, fit_many
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -172,12 +172,20 @@ def label_correlation(df: DataFrame, overdue: list[str], dpds: list[float]) -> D
 
 def feature_report(df: DataFrame, features: list[str], label: str, models: dict[str, BinModel] | None = None, **options) -> DataFrame:
     """(feature, iv, iv_rating, auc, ks, missing_rate, distinct, bins, top_lift, least_lift): efficiency of every feature, best IV first to read."""
-    models = models or fit_many(df, features, label, **options)
-    bins = bin_stats.table_from_counts(bin_stats.batch_counts(df, models, label), ["feature"])
-    lifts = bins.groupBy("feature").agg(F.max("iv_total").alias("iv"), F.count("*").alias("bins"), F.max("lift").alias("top_lift"), F.min("lift").alias("least_lift"))
-    kinds = _cells(df, features).groupBy("feature").agg(F.avg(F.col("x").isNull().cast("double")).alias("missing_rate"), F.count_distinct("x").alias("distinct"))
-    out = lifts.join(kinds, "feature").join(univariate_auc(df, features, label).select("feature", "auc", "ks"), "feature")
-    return out.select("feature", "iv", L.iv_rating(F.col("iv")).alias("iv_rating"), "auc", "ks", "missing_rate", "distinct", "bins", "top_lift", "least_lift")
+    with Counts(df, features, label) as counted:
+        models = models or fit_many(df, features, label, counted=counted, **options)
+        counts = counted.counts(models) if all(m.groups is None for m in models.values()) else bin_stats.batch_counts(df, models, label)
+        bins = bin_stats.table_from_counts(counts, ["feature"])
+        lifts = bins.groupBy("feature").agg(F.max("iv_total").alias("iv"), F.count("*").alias("bins"), F.max("lift").alias("top_lift"), F.min("lift").alias("least_lift"))
+        gone = F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0))
+        kinds = counted.cells.groupBy("feature").agg((gone / F.sum("n")).alias("missing_rate"), F.count("x").alias("distinct"))
+        out = lifts.join(kinds, "feature").join(_auc(counted).select("feature", "auc", "ks"), "feature")
+        return _kept(out.select("feature", "iv", L.iv_rating(F.col("iv")).alias("iv_rating"), "auc", "ks", "missing_rate", "distinct", "bins", "top_lift", "least_lift"))
+
+
+def _kept(table: DataFrame) -> DataFrame:
+    """A table of few rows, found now, while what it comes from is kept."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
 
 
 def multi_label_efficiency(df: DataFrame, features: list[str], overdue: list[str], dpds: list[float], models: dict[str, BinModel]) -> DataFrame:
@@ -205,9 +213,13 @@ def monotonicity(df: DataFrame, model: BinModel, label: str) -> DataFrame:
 
 def univariate_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(feature, auc, ks, direction) of all features from one scan; ties count half."""
-    cells = _cells(df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label).cast("long")), features, ["_y"]).where("x IS NOT NULL")
-    counts = cells.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("_y").alias("bad"))
-    c = ranks.running(counts, ["feature"], {"b": F.col("bad"), "g": F.col("n") - F.col("bad")}, cells)
+    with Counts(df, features, label) as counted:
+        return _kept(_auc(counted))
+
+
+def _auc(counted: Counts) -> DataFrame:
+    counts = counted.cells.where("x IS NOT NULL AND m > 0").select("feature", "x", F.col("m").alias("n"), "bad")
+    c = ranks.running(counts, ["feature"], {"b": F.col("bad"), "g": F.col("n") - F.col("bad")})
     good = F.col("n") - F.col("bad")
     t = c.groupBy("feature").agg(
         F.try_divide(F.sum(F.col("bad") * (F.col("g") - good / 2)), F.max(F.col("b_total") * F.col("g_total"))).alias("auc"),
@@ -216,9 +228,18 @@ def univariate_auc(df: DataFrame, features: list[str], label: str) -> DataFrame:
     return t.select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"), "ks", F.when(F.col("auc") >= 0.5, "higher is riskier").otherwise("lower is riskier").alias("direction"))
 
 
-def importance_ranking(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Mean rank by IV and AUC."""
-    t = iv_ranking(df, features, label).select("feature", "iv").join(univariate_auc(df, features, label).select("feature", "auc"), "feature")
+def _iv_and_auc(df: DataFrame, features: list[str], label: str, n_bins: int = 10) -> DataFrame:
+    """(feature, iv, auc) by quantile bins and distinct values of the same counts."""
+    with Counts(df, features, label) as counted:
+        models = fit_many(df, features, label, method="quantile", max_n_bins=n_bins, counted=counted)
+        counts = counted.counts(models) if all(m.groups is None for m in models.values()) else bin_stats.batch_counts(df, models, label)
+        iv = bin_stats.table_from_counts(counts, ["feature"]).groupBy("feature").agg(F.max("iv_total").alias("iv"))
+        return _kept(iv.join(_auc(counted).select("feature", "auc"), "feature"))
+
+
+def importance_ranking(df: DataFrame, features: list[str], label: str, digits: int = 6) -> DataFrame:
+    """Mean rank by IV and AUC; IVs that are equal to ``digits`` share a rank."""
+    t = _iv_and_auc(df, features, label).withColumn("iv", F.round("iv", digits))
     rank = lambda c: F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(c)))
     return t.select("feature", "iv", "auc", ((rank("iv") + rank("auc")) / 2).alias("rank"))
 
@@ -245,7 +266,7 @@ def segment_effectiveness(df: DataFrame, features: list[str], label: str, segmen
 
 def leakage(df: DataFrame, features: list[str], label: str, iv_limit: float = 0.5, auc_limit: float = 0.9, least: int = 30) -> DataFrame:
     """Features whose IV or AUC is suspiciously high (strictly above the limits) on enough rows."""
-    t = iv_ranking(df, features, label).select("feature", "iv").join(univariate_auc(df, features, label).select("feature", "auc"), "feature")
+    t = _iv_and_auc(df, features, label)
     enough = df.where(F.col(label).isNotNull()).limit(least).count() >= least
     return t.withColumn("suspicious", F.lit(enough) & ((F.col("iv") > iv_limit) | (F.col("auc") > auc_limit)))
 
