@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 import math
+from contextlib import nullcontext
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bin_stats
-from .binning import BinModel, fit_many, quantile_edges
+from .binning import BinModel, Counts, fit_many, quantile_edges
 from .metrics import _bucket
 
 P_MIN = 1e-10
@@ -100,7 +102,7 @@ class QuantileScore:
 
 @dataclass
 class BoxCoxScore:
-    """Box-Cox of the odds, with the exponent of largest likelihood on a grid (one aggregate), mapped to the range."""
+    """Box-Cox of the odds, with the exponent of largest likelihood on a grid (one pass over Arrow batches), mapped to the range."""
 
     lower: float = 300
     upper: float = 1000
@@ -118,13 +120,38 @@ class BoxCoxScore:
 
     def fit(self, df: DataFrame, p: str) -> BoxCoxScore:
         grid = [self.lmbda] if self.lmbda is not None else [i / 20 - 2 for i in range(81)]
-        c = F.col(p)
-        log_odds = F.log(clip_probability(c) / (1 - clip_probability(c)) + self.shift)
-        row = df.agg(F.count(c), F.sum(log_odds), *[F.var_pop(self._value(c, g)) for g in grid]).first()
-        n, s = row[0], row[1] or 0.0
-        like = [-n / 2 * math.log(v) + (g - 1) * s if v else -math.inf for g, v in zip(grid, row[2:])]
+        shift = self.shift
+
+        def pooled(a: tuple, b: tuple) -> tuple:
+            """(n, means, squared deviations) of two parts together."""
+            n, gap = a[0] + b[0], b[1] - a[1]
+            return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * b[0] / n)
+
+        def moments(batches):
+            """(n, sum of log odds, least and largest p, means and squared deviations on the grid) of a partition."""
+            g = np.array(grid)[:, None]
+            n, s, low, high, mean, dev = 0, 0.0, math.inf, -math.inf, np.zeros(len(grid)), np.zeros(len(grid))
+            for batch in batches:
+                q = batch.column(0).to_numpy(zero_copy_only=False)
+                if not len(q):
+                    continue
+                x = np.log(q / (1 - q) + shift)
+                v = np.where(np.abs(g) < 1e-12, x, np.expm1(g * x) / np.where(np.abs(g) < 1e-12, 1.0, g))
+                own = v.mean(1)
+                n, mean, dev = pooled((n, mean, dev), (len(q), own, ((v - own[:, None]) ** 2).sum(1)))
+                s, low, high = s + float(x.sum()), min(low, float(q.min())), max(high, float(q.max()))
+            if n:
+                yield pa.RecordBatch.from_pydict({"n": [n], "s": [s], "low": [low], "high": [high], "mean": [mean.tolist()], "dev": [dev.tolist()]})
+
+        rows = df.where(F.col(p).isNotNull()).select(clip_probability(F.col(p).cast("double")).alias("q")).mapInArrow(moments, "n long, s double, low double, high double, mean array<double>, dev array<double>").collect()
+        n, mean, dev = 0, np.zeros(len(grid)), np.zeros(len(grid))
+        for r in rows:
+            n, mean, dev = pooled((n, mean, dev), (r["n"], np.array(r["mean"]), np.array(r["dev"])))
+        s = sum(r["s"] for r in rows)
+        like = [-n / 2 * math.log(v / n) + (g - 1) * s if v else -math.inf for g, v in zip(grid, dev)]
         self.lmbda = grid[int(np.argmax(like))]
-        self.low, self.high = df.agg(F.min(self._value(c, self.lmbda)), F.max(self._value(c, self.lmbda))).first()
+        ends = [min((r["low"] for r in rows), default=None), max((r["high"] for r in rows), default=None)]
+        self.low, self.high = df.sparkSession.range(1).select(*[self._value(F.lit(e).cast("double"), self.lmbda) for e in ends]).first()  # the value rises with p
         return self
 
     def score(self, p: Column) -> Column:
@@ -152,16 +179,26 @@ class ScoreCard:
         from .models import logistic
 
         own = {k: options.pop(k) for k in ("base_odds", "base_score", "pdo", "rate", "round_points") if k in options}
-        models = models or fit_many(df, features, label, **options)
-        table = bin_stats.table_from_counts(bin_stats.batch_counts(df, models, label), ["feature"]).select("feature", "bin", "woe").collect()
+        types = dict(df.dtypes)
+        text = options.get("cat_cutoff") or any(types[f] in ("string", "boolean") for f in features) or any(m.groups is not None for m in (models or {}).values())
+        with nullcontext() if text else Counts(df, features, label) as counted:
+            models = models or fit_many(df, features, label, counted=counted, **options)
+            if counted is not None:
+                counts, sizes = counted.counts(models), counted.binned(models).select("feature", "bin", "rows").collect()
+            else:
+                counts = bin_stats.batch_counts(df, models, label)
+                sizes = bin_stats.batch_counts(df.withColumn("_all", F.lit(0)), models, "_all").withColumnRenamed("n", "rows").collect()
+            table = bin_stats.table_from_counts(counts, ["feature"]).select("feature", "bin", "woe").collect()
         woe: dict[str, dict[int, float]] = {f: {} for f in features}
         for r in table:
             woe[r["feature"]][r["bin"]] = r["woe"]
         coded = df.select(F.col(label).cast("double").alias(label), *[models[f].value(woe[f]).alias(f) for f in features])
-        fitted = logistic(coded, features, label, c=reg)
+        fitted = logistic(coded.groupBy(label, *features).agg(F.count("*").alias("_rows")), features, label, c=reg, weight="_rows")  # a row per combination of bins
         card = cls(models, woe, dict(zip(features, fitted.coefficients)), fitted.intercept, **own)
-        medians = df.agg(*[F.percentile_approx(card.points_column(f), 0.5, 10_000) for f in features]).first()
-        card.baseline = dict(zip(features, map(float, medians)))
+        for f in features:  # lower median of the points of all rows
+            points = sorted((card.points_of(f).get(r["bin"], 0.0), r["rows"]) for r in sizes if r["feature"] == f)
+            upto = np.cumsum([n for _, n in points])
+            card.baseline[f] = float(points[int(np.searchsorted(upto, (upto[-1] + 1) // 2))][0])
         return card
 
     @property
