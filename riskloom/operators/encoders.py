@@ -165,10 +165,12 @@ def tree_leaves(df: DataFrame, features: list[str], label: str, n_trees: int = 2
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    from .models import spread
+
     filled = [f"_f_{f}" for f in features]
     prepare = lambda d: d.withColumns({g: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(-1e30)) for f, g in zip(features, filled)})
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=n_trees, maxDepth=max_depth, seed=seed, leafCol="leaf", predictionCol="_pred")
-    model = Pipeline(stages=[VectorAssembler(inputCols=filled, outputCol="_x"), gbt]).fit(prepare(df))
+    model = Pipeline(stages=[VectorAssembler(inputCols=filled, outputCol="_x"), gbt]).fit(prepare(spread(df.select(label, *features))))
 
     def transform(d: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
